@@ -1,0 +1,7 @@
+"""All queries of the library over the given tables, with DuckDB twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "j_events"
