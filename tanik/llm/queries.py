@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from tanik.llm import pii
+import public_tokenizers
+
+from tanik.llm import bpe, packing, pii
 from tanik.session import table
 
 
+def op2_packing(spark, sf_dir):
+    """Every text of documents as tokens, packed into sequences of at most 2048."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_bpe(spark, sf_dir):
+    """Every text of documents encoded and decoded with a word-end vocabulary."""
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_pii(spark, sf_dir):
     """Personal data in every text of documents."""
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_pii,)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_bpe, op6_pii)}
