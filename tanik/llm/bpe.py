@@ -244,7 +244,10 @@ class WordCoder:
         return "".join([decoder.push(i) for i in ids]) + decoder.finish()
 
 
-coder = cache(WordCoder)  # one for each worker process and vocabulary
+@cache
+def coder(path: str) -> WordCoder:
+    """One for each worker process and vocabulary."""
+    return WordCoder(path)
 
 
 def _encoded(path: str, text: str, keep: list[str]):

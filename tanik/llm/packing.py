@@ -9,21 +9,31 @@ it loses about one half-filled sequence against packing everything at once.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from tanik.llm.bpe import alphabet_bytes
 from tanik.session import saved
 
+#: The pattern by which byte-level vocabularies cut a text into words.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: Entries kept of the memory of words, per worker process; it is dropped when full.
 MEMORY = 600_000
 
 
+#: White space next to a space.
+_RUN = re.compile(r" \s|\s ")
+
+
 class TextCoder:
     """Ids of whole texts with a byte-level vocabulary in which a word takes the one space before it.
 
@@ -36,19 +46,26 @@ class TextCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
-
-    def _fresh(self, parts: list[str]) -> None:
-        if len(self.known) + len(parts) > MEMORY:
+        # the ids follow the order of the merges, so they serve as ranks; this coder is quick on words
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(alphabet_bytes()[c] for c in token): n for token, n in vocabulary.items() if token not in added}
+        self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = tuple(added)
+
+    def _fresh(self, part: str) -> bytes:
+        if len(part) > 100 or any(token in part for token in self.added):
+            return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        found = np.array(self.words.encode_ordinary(part), "<u4").tobytes()
+        if len(self.known) > MEMORY:
             self.known.clear()
-        for part, encoded in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False)):
-            self.known[part] = np.array(encoded.ids, "<u4").tobytes()
+        self.known[part] = found
+        return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        cut = [self._cut(text) for text in texts]
-        fresh = list({part for parts in cut for part in parts} - self.known.keys())
-        self._fresh(fresh)
-        return [b"".join([self.known[part] for part in parts]) for parts in cut]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as little-endian 32-bit integers."""
+        known = self.known
+        return b"".join([known.get(part) or self._fresh(part) for part in self._cut(text)])
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -56,7 +73,7 @@ class TextCoder:
             return []
         words = text.split(" ")
         parts = words[:1] + [" " + w for w in words[1:]]
-        if "" in words or any(not w.isprintable() for w in words):
+        if text[-1] == " " or text[0] == " " or _RUN.search(text):
             joined = parts[:1]
             for w, part in zip(words[1:], parts[1:]):
                 # next to other white space the space may belong to a longer run
@@ -68,7 +85,10 @@ class TextCoder:
         return parts
 
 
-coder = cache(TextCoder)  # one for each worker process and vocabulary
+@cache
+def coder(path: str) -> TextCoder:
+    """One for each worker process and vocabulary."""
+    return TextCoder(path)
 
 
 def pieces_of(ids: bytes, most: int) -> list[tuple[int, int, int]]:
@@ -86,7 +106,7 @@ def _pieces(path: str, most: int, end: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(n, k, *piece) for n, ids in enumerate(code.encode([t or "" for t in part.column("text").to_pylist()])) for k, piece in enumerate(pieces_of(ids + tail, most))]
+                rows = [(n, k, *piece) for n, t in enumerate(part.column("text").to_pylist()) for k, piece in enumerate(pieces_of(code.encode(t or "") + tail, most))]
                 n, k, start, length, crc = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(n)), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["key", "piece", "start", "length", "ids_crc32"])
 
