@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tanik.llm import bpe, packing, pii
+from tanik.llm import bpe, packing, pii, quality
 from tanik.session import table
 
 
@@ -13,6 +13,11 @@ def op2_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality(spark, sf_dir):
+    """A quality score of every text of documents, learned from labels."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark, sf_dir):
     """Every text of documents encoded and decoded with a word-end vocabulary."""
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -23,4 +28,4 @@ def op6_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_bpe, op6_pii)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_bpe, op6_pii)}
