@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tanik.llm import bpe, packing, pii, quality
+from tanik.llm import bpe, langid, packing, pii, quality
 from tanik.session import table
 
 
@@ -28,4 +28,9 @@ def op6_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_bpe, op6_pii)}
+def op7_language(spark, sf_dir):
+    """The language of every text of documents."""
+    return langid.classify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_bpe, op6_pii, op7_language)}
