@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tanik.llm import bpe, langid, packing, pii, quality
+from tanik.llm import bpe, hnsw, langid, packing, pii, quality
 from tanik.session import table
 
 
@@ -33,4 +33,9 @@ def op7_language(spark, sf_dir):
     return langid.classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_bpe, op6_pii, op7_language)}
+def op9_neighbours(spark, sf_dir):
+    """The 10 nearest vectors of every hundredth vector of embeddings."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_bpe, op6_pii, op7_language, op9_neighbours)}
