@@ -43,4 +43,23 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k[0]}, 0)::BIGINT AS n_{k[0]}" for k i
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs d LEFT JOIN totals USING (doc_id)"""
 
-ORACLES = {"op6_pii": OP6}
+OP1 = r"""WITH p AS (
+  SELECT page_id, url, length(coalesce(html, '')) AS n, '"' || md5(coalesce(html, '')) || '"' AS tag, 1704067200 + page_id * 60 AS s,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+u AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
+    || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS head,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS q FROM p),
+k AS (SELECT *, head || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM u),
+r AS (SELECT page_id * 2 AS record_id, canonical_url, s AS ts, 1 AS full_, page_id, n, s AS date, CASE WHEN page_id % 4 <> 0 THEN tag END AS etag, 'day ' || (n % 97) AS modified FROM k
+  UNION ALL SELECT page_id * 2 + 1, canonical_url, s + 30 + (page_id % 5) * 86400, 0, page_id, n, s + 30 + (page_id % 5) * 86400, CASE WHEN page_id % 7 = 0 THEN 'W/' || tag WHEN page_id % 4 <> 0 THEN tag END, 'day ' || (n % 97) FROM k),
+j AS (SELECT *, last_value(CASE WHEN full_ = 1 THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM r),
+m AS (SELECT j.record_id, j.canonical_url, j.base_id, j.etag AS fe, j.modified AS fm, j.date AS fd, b.etag AS be, b.modified AS bm, b.n AS bn,
+    CASE WHEN j.base_id IS NULL THEN 'no_base'
+      WHEN b.etag IS NOT NULL AND j.etag IS NOT NULL THEN CASE WHEN b.etag = regexp_replace(j.etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+      WHEN b.modified = j.modified THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM j LEFT JOIN r b ON b.record_id = j.base_id WHERE j.full_ = 0)
+SELECT record_id, canonical_url, status, base_id, CASE WHEN status = 'resolved' THEN
+  'content-length: ' || bn || '; content-type: text/html; date: ' || fd || CASE WHEN coalesce(fe, be) IS NOT NULL THEN '; etag: ' || coalesce(fe, be) ELSE '' END || '; last-modified: ' || fm ELSE '' END AS headers
+FROM m"""
+
+ORACLES = {"op1_revisits": OP1, "op6_pii": OP6}

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tanik.llm import bpe, hnsw, langid, packing, pii, quality
+from tanik.llm import bpe, embeddings, hnsw, langid, packing, pii, quality, warc
 from tanik.session import table
 
 
+def op1_revisits(spark, sf_dir):
+    """Not-modified revisits of all pages resolved to stored responses."""
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark, sf_dir):
     """Every text of documents as tokens, packed into sequences of at most 2048."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -33,9 +38,14 @@ def op7_language(spark, sf_dir):
     return langid.classify(table(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark, sf_dir):
+    """Near-duplicate vectors of embeddings within labels."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_neighbours(spark, sf_dir):
     """The 10 nearest vectors of every hundredth vector of embeddings."""
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_bpe, op6_pii, op7_language, op9_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op6_pii, op7_language, op8_vectors, op9_neighbours)}
