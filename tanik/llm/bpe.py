@@ -56,7 +56,8 @@ class Merges:
         self.tokens = {*alphabet, *(c + END for c in alphabet), *(a + b for a, b in pairs)}
         self.longest = max(len(t.removesuffix(END)) for t in self.tokens)
         self.lookahead = self._sufficient_lookahead(pairs)
-        self._apart: dict[tuple[str, str], bool] = {}
+        self.known: dict[tuple[str, str], bool] = {}  #: what ``apart`` has found
+        self.states: dict[str, str] = {}  #: the last token of short prefixes of words
 
     def _sufficient_lookahead(self, pairs: list[tuple[str, str]]) -> int:
         """Characters to the right that can still change a token.
@@ -92,13 +93,13 @@ class Merges:
 
     def apart(self, left: str, right: str) -> bool:
         """Whether the two tokens stay two tokens side by side; left may be empty."""
-        known = self._apart.get((left, right))
+        known = self.known.get((left, right))
         if known is None:
-            if len(self._apart) > MEMORY:
-                self._apart.clear()
+            if len(self.known) > MEMORY:
+                self.known.clear()
             body = right.removesuffix(END)
             known = self.merge(left + body, body != right) == ([left, right] if left else [right])
-            self._apart[left, right] = known
+            self.known[left, right] = known
         return known
 
 
@@ -111,11 +112,11 @@ class Transducer:
         self.last = [""]  #: the last token of each prefix of the buffer; first the token before it
         self.limit = 2 * merges.lookahead + 64
 
-    def _step(self, end: int, ended: bool) -> str:
-        buffer, last, tokens, apart = self.buffer, self.last, self.merges.tokens, self.merges.apart
+    def _last(self, end: int) -> str:
+        """The token with a word end that the whole buffer ends with."""
         for start in range(max(0, end - self.merges.longest), end):
-            token = buffer[start:end] + END if ended else buffer[start:end]
-            if token in tokens and last[start] is not None and apart(last[start], token):
+            token = self.buffer[start:end] + END
+            if token in self.merges.tokens and self.merges.apart(self.last[start], token):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
@@ -131,14 +132,37 @@ class Transducer:
     def push(self, text: str) -> Iterator[str]:
         """Takes characters that are known not to be the word's last one."""
         for at in range(0, len(text), 64):
-            piece = text[at : at + 64]
             start = len(self.buffer)
-            self.buffer += piece
-            for end in range(start + 1, start + len(piece) + 1):
-                self.last.append(self._step(end, False))
+            self.buffer += text[at : at + 64]
+            self._extend(start + 1, len(self.buffer))
             if len(self.buffer) > self.limit:
                 yield from self._emit()
 
+    def _extend(self, first: int, end: int) -> None:
+        """The last tokens of the prefixes of the lengths first..end."""
+        buffer, last, merges = self.buffer, self.last, self.merges
+        tokens, longest, known, states = merges.tokens, merges.longest, merges.known, merges.states
+        for n in range(first, end + 1):
+            early = n <= 20 and not last[0]  # still at the word's start: words share such prefixes
+            if early and (token := states.get(buffer[:n])):
+                last.append(token)
+                continue
+            for start in range(max(0, n - longest), n):
+                token = buffer[start:n]
+                if token in tokens:
+                    apart = known.get((last[start], token))
+                    if apart is None:
+                        apart = merges.apart(last[start], token)
+                    if apart:
+                        last.append(token)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            if early:
+                if len(states) > MEMORY:
+                    states.clear()
+                states[buffer[:n]] = token
+
     def _emit(self) -> Iterator[str]:
         final, cut = len(self.buffer) - self.merges.lookahead, 0
         for token in self._path(len(self.buffer), self.last[-1]):
@@ -152,7 +176,7 @@ class Transducer:
         """Takes the rest of the word, its last character included."""
         yield from self.push(text[:-1])
         self.buffer += text[-1]
-        yield from self._path(len(self.buffer), self._step(len(self.buffer), True))
+        yield from self._path(len(self.buffer), self._last(len(self.buffer)))
 
 
 class Decoder:
@@ -191,30 +215,32 @@ class WordCoder:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.gaps = regex.compile(r"\p{White_Space}+")
         self.table = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
-        self.known: dict[str, list[str]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
 
-    def encode_word(self, word: str) -> Iterable[str]:
+    def encode_word(self, word: str) -> tuple[bytes, bytes]:
+        """Ids as little-endian 32-bit integers, and the decoded bytes, of one word."""
         found = self.known.get(word)
         if found is None:
-            found = Transducer(self.merges).finish(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))
+            ids, shown, decoder = bytearray(), [], Decoder(self.strings, True)
+            plain = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+            for token in Transducer(self.merges).finish(plain):
+                token_id = self.merges.ids[token]
+                ids += token_id.to_bytes(4, "little")
+                shown.append(decoder.push(token_id))
+            found = bytes(ids), "".join(shown).encode()
             if len(word) <= 40:
                 if len(self.known) > MEMORY:
                     self.known.clear()
-                found = self.known[word] = list(found)
+                self.known[word] = found
         return found
 
     def encode_chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers, and the decoded bytes, of a text without white space."""
+        """The same of a text without white space."""
         found = self.chunks.get(chunk)
         if found is None:
-            ids, decoder, shown = bytearray(), Decoder(self.strings, True), []
-            for word in self.words.findall(chunk):
-                for token in self.encode_word(word):
-                    token_id = self.merges.ids[token]
-                    ids += struct.pack("<I", token_id)
-                    shown.append(decoder.push(token_id))
-            found = bytes(ids), "".join(shown).encode()
+            parts = [self.encode_word(word) for word in self.words.findall(chunk)]
+            found = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
             if len(chunk) <= 40:
                 if len(self.chunks) > MEMORY:
                     self.chunks.clear()
@@ -226,7 +252,8 @@ class WordCoder:
             text = unicodedata.normalize("NFC", text)
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space for split(), not for the pattern
-        return [self.encode_chunk(c) for c in (self.gaps.split(text) if odd else text.split()) if c]
+        known = self.chunks.get
+        return [known(c) or self.encode_chunk(c) for c in (self.gaps.split(text) if odd else text.split()) if c]
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Ids as bytes and the decoded text as UTF-8 of a whole text."""
