@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tanik.llm import bpe, embeddings, hnsw, langid, packing, pii, quality, warc
+from tanik.llm import bpe, embeddings, hnsw, langid, minhash, packing, pii, quality, warc
 from tanik.session import table
 
 
@@ -28,6 +28,11 @@ def op4_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_neardup(spark, sf_dir):
+    """Near-duplicate groups of all documents."""
+    return minhash.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark, sf_dir):
     """Personal data in every text of documents."""
     return pii.digest(table(spark, sf_dir, "documents"))
@@ -48,4 +53,4 @@ def op9_neighbours(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op6_pii, op7_language, op8_vectors, op9_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op5_neardup, op6_pii, op7_language, op8_vectors, op9_neighbours)}
