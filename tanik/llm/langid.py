@@ -202,6 +202,31 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], names: list[str], te
     return rows.mapInArrow(_named(model, names, list(keep)), f"{kinds}, lang_pred string, lang_score double")
 
 
+def _selected(model, names: list[str], least: float):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                p = document_probabilities(model, texts)
+                fine = [bool(names) and any(map(str.isalpha, t)) and p[n].max() >= least for n, t in enumerate(texts)]
+                found = [lang or names[p[n].argmax()] if fine[n] else lang for n, lang in enumerate(part.column("lang").to_pylist())]
+                yield part.set_column(part.schema.get_field_index("lang"), "lang", pa.array(found, pa.string())).filter(pa.array(fine))
+
+    return run
+
+
+def keep_known_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows and columns of documents without texts that are in no learned language.
+
+    Rejected: null texts, texts without a letter, and texts whose best language has a probability
+    under ``least``. A null lang is filled with the language found; others stay as they are.
+    """
+    model, names = fit(docs, F.lit(True))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    return docs.mapInArrow(_selected(model, names, least), kinds)
+
+
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; one quarter of the keys is held out."""
     model, names = fit(docs, fold(F.col("key"), 4) != 2)

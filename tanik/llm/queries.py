@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tanik.llm import bpe, embeddings, hnsw, langid, minhash, packing, pii, quality, warc
+from tanik.llm import bpe, embeddings, hnsw, langid, minhash, packing, pii, quality, repeats, warc
 from tanik.session import table
 
 
@@ -53,4 +53,9 @@ def op9_neighbours(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op5_neardup, op6_pii, op7_language, op8_vectors, op9_neighbours)}
+def op10_repeats(spark, sf_dir):
+    """Passages that repeat across all documents, removed from all but the first."""
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op5_neardup, op6_pii, op7_language, op8_vectors, op9_neighbours, op10_repeats)}
