@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from tanik.functions import vocab
 
@@ -28,13 +28,13 @@ def plain_folded(text: str) -> str:
     return " ".join(bare.replace("ı", "i").split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text(texts: pd.Series) -> pd.Series:
     """``plain_normalized`` of a column; null stays null."""
     return texts.map(plain_normalized, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_turkish(texts: pd.Series) -> pd.Series:
     """``plain_folded`` of a column; null stays null."""
     return texts.map(plain_folded, na_action="ignore")

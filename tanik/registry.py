@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tanik.plans import logs, news  # noqa: F401  these register their queries
+from tanik.plans.query import ORACLES, QUERIES
+
 FLAGSHIP = "j_events"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
