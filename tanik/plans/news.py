@@ -191,14 +191,14 @@ def b14_freshness(spark, sf):
     return fact_jobs.freshness_reasons(rows, F.expr(_AS_OF), 86400 * 200).select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"""WITH {FACTS}, a AS (SELECT l_orderkey || '-' || l_linenumber AS fact_id, unnest([l_shipdate + INTERVAL 1 DAY, l_shipdate + INTERVAL 5 DAY]) AS t, 'verified' AS action FROM lineitem WHERE l_linenumber = 1),
+@query(f"""WITH {FACTS}, a AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS fact_id, unnest([l_shipdate + INTERVAL 1 DAY, l_shipdate + INTERVAL 5 DAY]) AS t, 'verified' AS action FROM lineitem WHERE l_linenumber = 1),
 h AS (SELECT id AS fact_id, created_at AS t, 'extracted' AS action, 'lifecycle' AS origin FROM facts UNION ALL SELECT id, verified_at, 'verified', 'lifecycle' FROM facts UNION ALL SELECT id, published_at, 'published', 'lifecycle' FROM facts
   UNION ALL SELECT id, superseded_at, 'superseded', 'lifecycle' FROM facts UNION ALL SELECT fact_id, t, action, 'review' FROM a)
 SELECT fact_id, strftime(t, '%Y-%m-%d') AS at_day, action, max(origin) AS origin FROM h WHERE t IS NOT NULL GROUP BY ALL""")
 def e11_fact_history(spark, sf):
     first = table(spark, sf, "lineitem").where("l_linenumber = 1")
     day = F.col("l_shipdate").cast("timestamp")
-    done = first.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fact_id"), F.explode(F.array(day + F.expr("INTERVAL 1 DAY"), day + F.expr("INTERVAL 5 DAYS"))).alias("at"), F.lit("verified").alias("action"))
+    done = first.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"), F.explode(F.array(day + F.expr("INTERVAL 1 DAY"), day + F.expr("INTERVAL 5 DAYS"))).alias("at"), F.lit("verified").alias("action"))
     return fact_jobs.fact_history(shapes.facts(spark, sf), done).select("fact_id", F.date_format("at", "yyyy-MM-dd").alias("at_day"), "action", "origin")
 
 

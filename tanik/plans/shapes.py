@@ -56,13 +56,13 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(s) for s in ("verified", "published", "superseded", "extracted")]), (F.col("l_orderkey") % 4 + 1).cast("int"))
     shipped = F.col("l_shipdate").cast("timestamp")
     return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_partkey").alias("subject_entity_id"), (F.col("l_suppkey") % 5).alias("topic_id"), F.col("l_returnflag").alias("predicate"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("subject_entity_id"), (F.col("l_suppkey") % 5).alias("topic_id"), F.col("l_returnflag").alias("predicate"),
         F.year("l_shipdate").cast("string").alias("reference_period"), value.alias("value"), F.lit("piece").alias("unit"), F.col("l_suppkey").alias("authority_source_id"), status.alias("status"), shipped.alias("created_at"),
         F.when(F.col("l_orderkey") % 4 != 3, shipped + F.expr("INTERVAL 1 DAY")).alias("verified_at"), F.when(F.col("l_orderkey") % 4 == 1, shipped + F.expr("INTERVAL 2 DAYS")).alias("published_at"),
         F.when(F.col("l_orderkey") % 4 == 2, shipped + F.expr("INTERVAL 9 DAYS")).alias("superseded_at"), shipped.alias("valid_from"), (shipped + F.expr("INTERVAL 400 DAYS")).alias("valid_until"), F.lit(None).cast("timestamp").alias("effective_at"))
 
 
-FACTS = """facts AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_partkey AS subject_entity_id, l_suppkey % 5 AS topic_id, l_returnflag AS predicate, year(l_shipdate)::VARCHAR AS reference_period,
+FACTS = """facts AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_partkey AS subject_entity_id, l_suppkey % 5 AS topic_id, l_returnflag AS predicate, year(l_shipdate)::VARCHAR AS reference_period,
   l_quantity::INT::VARCHAR AS value, l_suppkey AS authority_source_id, ['verified', 'published', 'superseded', 'extracted'][l_orderkey % 4 + 1] AS status, l_shipdate AS created_at,
   CASE WHEN l_orderkey % 4 <> 3 THEN l_shipdate + INTERVAL 1 DAY END AS verified_at, CASE WHEN l_orderkey % 4 = 1 THEN l_shipdate + INTERVAL 2 DAY END AS published_at,
   CASE WHEN l_orderkey % 4 = 2 THEN l_shipdate + INTERVAL 9 DAY END AS superseded_at, l_shipdate AS valid_from, l_shipdate + INTERVAL 400 DAY AS valid_until FROM lineitem)"""
