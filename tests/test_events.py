@@ -1,0 +1,91 @@
+"""The accident story, its negative twins, and order-exact clustering."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tanik.functions import spans
+from tanik.functions.text import normalize_text, word_set
+from tanik.operators import claims, events, pairs
+from tanik.operators.components import connected_components
+
+BASE = datetime(2026, 9, 10, 9)
+COPY = "Ankara Eskişehir yolunda zincirleme kaza oldu. Kazada 3 araç çarpıştı, 2 kişi yaralandı. Ekipler olay yerinde inceleme yaptı, trafik akışı kontrollü sağlandı, sürücüler alternatif güzergahlara yönlendirildi."
+FOUR = "Ankara Eskişehir yolunda zincirleme kaza oldu. Kazada 4 yaralı olduğu bildirildi."
+FIX = "Ankara Eskişehir yolunda zincirleme kaza oldu. Düzeltme: 4 kişi yaralandı, sayı güncellendi."
+
+
+def story(spark, rows):
+    raw = spark.createDataFrame([(f"r{n}", key, source, text, BASE + timedelta(minutes=m)) for n, (key, source, text, m) in enumerate(rows)], "id string, key string, source_id string, text string, at timestamp")
+    raw = raw.withColumn("a", spans.analyze(F.lit("Kaza"), F.col("text"))).withColumn("n", normalize_text(F.concat(F.lit("Kaza "), F.col("text"))))
+    return raw.select("id", "key", "source_id", F.col("a.kind").alias("kind"), "at", F.col("at").alias("published_at"), F.col("at").alias("discovered_at"), F.transform("a.entities", lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"))).alias("entities"), word_set(F.col("n")).alias("tokens"), word_set(normalize_text("text")).alias("body_tokens"), F.sha2("text", 256).alias("content_hash"), "a.claims")
+
+
+@pytest.fixture(scope="module")
+def accident(spark):
+    return story(spark, [("ka", "a", COPY, 0), ("kb", "b", COPY, 5), ("kc", "c", FOUR, 10), ("ka", "a", FIX, 60)]).cache()
+
+
+def test_story_is_one_event(spark, accident):
+    found = events.cluster_reports(accident).collect()
+    assert len({r.event_id for r in found}) == 1 and {r.decision for r in found} == {"created", "joined"}
+    assert found[0].event_id == events.event_id("ka")
+    again = events.cluster_reports(accident.unionAll(accident.where("id = 'r0'")))
+    assert again.count() == 4
+
+
+def test_story_claims(spark, accident):
+    rows = accident.withColumn("event_id", F.lit("e")).withColumn("agency", F.lit(None).cast("string")).withColumn("source_family", F.lit(None).cast("string"))
+    families = {r.report_id: r.family for r in events.evidence_families(rows).collect()}
+    assert families == {"r0": "unknown:a", "r1": "unknown:a", "r2": "unknown:c", "r3": "unknown:a"}
+
+    def status(limit):
+        told = rows.where(F.col("id") < limit).join(events.evidence_families(rows).withColumnRenamed("report_id", "id"), ["event_id", "id"]).withColumn("c", F.explode("claims"))
+        evidence = told.select("event_id", F.col("id").alias("report_id"), "key", "family", "c.predicate", "c.scope", "c.value", F.col("at").alias("as_of"), "c.correction", F.when(F.col("c.correction"), F.col("at")).alias("correction_as_of"), "discovered_at", F.lit(None).cast("string").alias("official_version_id"))
+        return {r.value: r.status for r in claims.reconcile_claims(evidence).where("predicate = 'injury_count'").collect()}
+
+    assert status("r2") == {"2": "weakly_supported"}
+    assert status("r3") == {"2": "conflicting", "4": "conflicting"}
+    assert status("r9") == {"2": "superseded", "4": "supported"}
+
+
+def test_other_district_and_other_day_are_other_events(spark):
+    place = "Ankara {} ilçesinde kaza oldu. Kazada 3 araç çarpıştı, 2 kişi yaralandı."
+    rows = story(spark, [("k1", "a", place.format("Sincan"), 0), ("k2", "b", place.format("Polatlı"), 5)])
+    assert len({r.event_id for r in events.cluster_reports(rows).collect()}) == 2
+    scored = pairs.score_pairs(spark.createDataFrame([("r0", "r1")], "a string, b string"), rows).first()
+    assert scored.reasons == ["incompatible_district"] and scored.score == 0
+    late = story(spark, [("k1", "a", COPY, 0), ("k2", "b", COPY, 3 * 24 * 60)])
+    assert len({r.event_id for r in events.cluster_reports(late).collect()}) == 2
+
+
+def test_component_replay_equals_global_replay(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    n = 60
+    rows = spark.createDataFrame([(f"r{k:02}", f"k{k}", BASE + timedelta(minutes=k), BASE + timedelta(minutes=k)) for k in range(n)], "id string, key string, published_at timestamp, discovered_at timestamp")
+    scored = [(f"r{a:02}", f"r{b:02}", float(draw.choice([0.7, 0.72, 0.8, 0.95, 1.0]))) for a in range(n) for b in range(a + 1, n) if draw.random() < 0.03]
+    edges = spark.createDataFrame(scored, "a string, b string, score double")
+    near = {}
+    for a, b, s in scored:
+        near.setdefault(a, []).append((b, s))
+        near.setdefault(b, []).append((a, s))
+    member = {}
+    for k in range(n):
+        best = {}
+        for other, s in near.get(f"r{k:02}", []):
+            if other in member:
+                best[member[other]] = max(best.get(member[other], 0), s)
+        event, _ = events.choose(best)
+        member[f"r{k:02}"] = event or events.event_id(f"k{k}")
+    found = {r.report_id: r.event_id for r in events.cluster_reports(rows, edges).collect()}
+    assert found == member
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(1, 40)] + [(100, 105), (105, 103), (7, 7), (200, 200)]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{k: 1 for k in range(1, 41)}, 100: 100, 105: 100, 103: 100, 200: 200}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
