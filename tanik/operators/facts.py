@@ -125,8 +125,9 @@ def validate_candidates(rows: DataFrame, now: Column) -> DataFrame:
     rows = rows.withColumn("block", F.when(F.size("blocks") > 0, F.try_element_at(F.filter("blocks", lambda b: (b["start"] <= col("start")) & (b["end"] >= col("end")) & F.equal_null(b["page"], col("page"))), F.lit(1))))
     heading = F.coalesce(col("block.folded_heading"), F.lit(""))
     named = lambda *texts: F.exists("aliases", lambda a: _any(*[mentions(t, a) for t in texts]))
-    before = F.substring_index("folded_quote", col("folded_value_text"), 1)
-    last = F.transform("cues", lambda c: F.struct((F.length(before) - F.length(F.substring_index(before, c, -1))).alias("end"), c.alias("cue")))
+    until = lambda text, part, n: F.call_function("substring_index", text, part, F.lit(n))
+    before = until(col("folded_quote"), col("folded_value_text"), 1)
+    last = F.transform("cues", lambda c: F.struct((F.length(before) - F.length(until(before, c, -1))).alias("end"), c.alias("cue")))
     label = F.array_max(F.filter(last, lambda x: x["end"] > 0))
     between = F.substring(before, label["end"] + 1, F.length(before))
     loose = (F.length(between) > 80) | (F.size(parse_dates(between)) > 0) | F.exists("other_cues", lambda c: F.contains(between, c))
