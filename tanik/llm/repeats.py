@@ -17,15 +17,18 @@ same. Equal texts are found first, by hash: a later copy repeats its first copy
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tanik.llm.minhash import FILTER_BITS
 from tanik.session import saved
 
 GRAM = 20
+#: The span of a text that is a copy from end to end.
+WHOLE = -1
 #: Bytes whose anchors are found at once; positions inside such a piece fit into 20 bits.
 PIECE = 1 << 18
 _MASK = np.uint64((1 << 20) - 1)
@@ -66,7 +69,7 @@ def anchors(raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return (low & _MASK).astype(np.int64), h
 
 
-def _pieces(texts: list[bytes], least: int):
+def _pieces(texts: Iterable[bytes], least: int):
     """(raw bytes, document of each byte, start in the document of each byte's first) in pieces of bounded size."""
     held, size = [], 0
     for n, text in enumerate(texts):
@@ -108,26 +111,35 @@ def _numbers(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).reshape(-1)
 
 
+def _dealt(docs: list, places: list, hashes: list, buckets: int) -> pa.RecordBatch:
+    """The anchors of some pieces as one row for each bucket."""
+    doc, place, h = map(np.concatenate, (docs, places, hashes))
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+    rows = [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    short = [(h[o] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for _, o in rows]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array(short, pa.binary()), pa.array([_planes(doc[o]) for _, o in rows], pa.binary()), pa.array([_planes(place[o]) for _, o in rows], pa.binary())], ["bucket", "hashes", "docs", "places"])
+
+
 def _anchored(least: int, buckets: int):
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("id"), np.int64)
-            docs, places, hashes = [], [], []
-            for held in _pieces([t.as_py() or b"" for t in batch.column("text").cast(pa.binary())], least):
+            docs, places, hashes, size = [], [], [], 0
+            for held in _pieces((t.as_py() or b"" for t in batch.column("text").cast(pa.binary())), least):
                 raw, begin, start, part, at, h = _windows(held, least)
                 new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (part[1:] != part[:-1])])
                 at, part = at[new], part[new]
                 docs.append(ids[np.array([n for n, *_ in held])[part]])
                 places.append((at - begin[part] + np.array([a for _, a, _ in held])[part]).astype(np.int32))
                 hashes.append(h[at])
-            if not docs:
-                continue
-            doc, place, h = map(np.concatenate, (docs, places, hashes))
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
-            rows = [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([(h[o] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for _, o in rows], pa.binary()), pa.array([_planes(doc[o]) for _, o in rows], pa.binary()), pa.array([_planes(place[o]) for _, o in rows], pa.binary())], ["bucket", "hashes", "docs", "places"])
+                size += len(raw)
+                if size > 16 * PIECE:
+                    yield _dealt(docs, places, hashes, buckets)
+                    docs, places, hashes, size = [], [], [], 0
+            if docs:
+                yield _dealt(docs, places, hashes, buckets)
 
     return run
 
@@ -146,39 +158,88 @@ def _shared(rows: pa.Table) -> pa.Table:
     return pa.table({"id": doc[kept], "place": place[kept]})
 
 
+def _bit(key) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)), F.lit(0)).cast("long")
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over hashes of the ids; it only keeps texts that no id needs out of a join."""
+    words = ids.select(_bit("id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[np.asarray(words.column("word"), np.int64)] = np.asarray(words.column("bits"), np.int64).view(np.uint64)
+    return bits
+
+
+def _set(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    at = np.asarray(batch.column("_bit"), np.int64)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def _flagged(bits: np.ndarray):
+    """Rows whose bit is set."""
+
     def run(batches):
         for batch in batches:
-            at = np.asarray(batch.column("bit"), np.int64)
-            yield batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).drop_columns(["bit"])
+            yield batch.filter(pa.array(_set(bits, batch))).drop_columns(["_bit"])
+
+    return run
+
+
+def _unflagged(bits: np.ndarray, each):
+    """What ``each`` makes of the other rows."""
+
+    def run(batches):
+        yield from each(batch.filter(pa.array(~_set(bits, batch))).drop_columns(["_bit"]) for batch in batches)
 
     return run
 
 
+def _packed(found: list[tuple], buckets: int) -> pa.RecordBatch:
+    """The runs of some pieces as one row for each bucket."""
+    shift = np.cumsum([0, *(len(f[0]) for f in found[:-1])])
+    raw = np.concatenate([f[0] for f in found])
+    first = np.concatenate([f[1] + n for f, n in zip(found, shift)])
+    size, offset, doc, start, h = (np.concatenate([f[k] for f in found]) for k in range(2, 7))
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    first, size, offset, doc, start, bucket = (x[order] for x in (first, size, offset, doc, start, bucket))
+    begin = np.cumsum(size) - size
+    at = np.repeat((first - begin).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
+    data, cut = raw[at].tobytes(), np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True])
+    rows = [(slice(a, b), int(begin[a]), int(begin[b - 1] + size[b - 1])) for a, b in zip(cut[:-1], cut[1:])]
+    planes = lambda x, kind: pa.array([_planes(np.ascontiguousarray(x[s].astype(kind))) for s, *_ in rows], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), planes(doc, np.int64), planes(start, np.int64), planes(size, np.int32), planes(offset, np.int32), pa.array([data[a:b] for _, a, b in rows], pa.binary())], ["bucket", "docs", "starts", "lengths", "offsets", "raw"])
+
+
 def _runs(least: int, buckets: int):
     """The bytes of each kept anchor's run of windows, packed by bucket."""
 
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("id"), np.int64)
-            out: dict[int, list] = {}
             texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-            wanted = [np.sort(np.asarray(p.values, np.int64)) for p in batch.column("places")]
+            wanted = [np.asarray(p.values, np.int64) for p in batch.column("places")]
+            found, size = [], 0
             for held in _pieces(texts, least):
                 raw, begin, start, part, at, h = _windows(held, least)
                 cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (part[1:] != part[:-1])])
                 last = np.r_[cut[1:], len(at)] - 1
-                base = np.array([a for _, a, _ in held]) - begin
-                for k, (n, *_) in enumerate(held):
-                    mine = slice(*np.searchsorted(part[cut], [k, k + 1]))
-                    places = at[cut[mine]] + base[k]
-                    hit = np.flatnonzero(np.isin(places, wanted[n]))
-                    for c, e in zip(cut[mine][hit].tolist(), last[mine][hit].tolist()):
-                        a, b = int(start[c]), int(start[e]) + least
-                        out.setdefault(int(h[at[c]] % np.uint64(buckets)), []).append((int(ids[n]), a + int(base[k]), raw[a:b].tobytes()))
-            if out:
-                rows = sorted(out.items())
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([_planes(np.array([r[0] for r in x], np.int64)) for _, x in rows], pa.binary()), pa.array([_planes(np.array([r[1] for r in x], np.int64)) for _, x in rows], pa.binary()), pa.array([_planes(np.array([len(r[2]) for r in x], np.int32)) for _, x in rows], pa.binary()), pa.array([b"".join([r[2] for r in x]) for _, x in rows], pa.binary())], ["bucket", "docs", "starts", "lengths", "raw"])
+                number = np.array([n for n, *_ in held])
+                base = np.array([a for _, a, _ in held]) - begin  # from the piece to the document
+                edge = np.searchsorted(part[cut], np.arange(len(held) + 1))
+                hit = np.zeros(len(cut), bool)
+                for k, n in enumerate(number):
+                    a, b = edge[k], edge[k + 1]
+                    hit[a:b] = np.isin(at[cut[a:b]] + base[k], wanted[n])
+                c, e = cut[hit], last[hit]
+                if len(c):
+                    found.append((raw, start[c], start[e] + least - start[c], at[c] - start[c], ids[number[part[c]]], start[c] + base[part[c]], h[at[c]]))
+                    size += len(raw)
+                if size > 16 * PIECE:
+                    yield _packed(found, buckets)
+                    found, size = [], 0
+            if found:
+                yield _packed(found, buckets)
 
     return run
 
@@ -220,8 +281,11 @@ class SuffixArray:
         self.common = np.minimum(common, np.minimum(left[1:], left[:-1]))
 
 
-def intervals(suffixes: SuffixArray, doc: np.ndarray, least: int):
-    """(first, last, length) of each left-diverse interval of the common-prefix tree with two documents."""
+def intervals(suffixes: SuffixArray, lowest: np.ndarray, highest: np.ndarray, least: int):
+    """(first, last, length) of each left-diverse interval of the common-prefix tree with two documents.
+
+    ``lowest`` and ``highest``: the smallest and largest document that holds each string.
+    """
     common, left = suffixes.common, suffixes.left
     n = len(suffixes.owner)
     if n < 2:
@@ -235,8 +299,7 @@ def intervals(suffixes: SuffixArray, doc: np.ndarray, least: int):
     padded = lambda v: np.r_[v, v[-1]]  # noqa: E731  reduceat needs an index past the end
     low = lambda v: np.minimum.reduceat(padded(v), bounds)[::2]
     high = lambda v: np.maximum.reduceat(padded(v), bounds)[::2]
-    of = doc[suffixes.owner]
-    useful = (low(of) < high(of)) & ((low(left) < 0) | (low(left) != high(left)))
+    useful = (low(lowest[suffixes.owner]) < high(highest[suffixes.owner])) & ((low(left) < 0) | (low(left) != high(left)))
     for a, b in zip(first[useful].tolist(), last[useful].tolist()):
         depth = common[a:b].tolist()
         if min(depth) == max(depth):  # one interval
@@ -264,28 +327,54 @@ def _groups(least: int):
     def run(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         read = lambda name, dtype: np.concatenate([_numbers(x, dtype) for x in rows.column(name).to_pylist()])
-        doc, start, length = read("docs", np.int64), read("starts", np.int64), read("lengths", np.int32).astype(np.int64)
-        suffixes = SuffixArray(b"".join(rows.column("raw").to_pylist()), length, least)
-        out, of = [], doc[suffixes.owner]
-        for number, (a, b, size) in enumerate(intervals(suffixes, doc, least)):
-            docs = of[a : b + 1]
-            low = docs.min()
-            if low < docs.max():
-                out.append((np.full(len(docs), number), np.full(len(docs), low), docs, start[suffixes.owner[a : b + 1]] + suffixes.offset[a : b + 1], np.full(len(docs), size)))
-        group, low, docs, starts, sizes = (np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else [()] * 5))
-        return pa.table({"bucket": np.full(len(group), bucket, np.int64), "group": group.astype(np.int64), "first_id": low.astype(np.int64), "id": docs.astype(np.int64), "start": starts.astype(np.int64), "length": sizes.astype(np.int64)})
+        doc, start, length, offset = read("docs", np.int64), read("starts", np.int64), read("lengths", np.int32).astype(np.int64), read("offsets", np.int32).tolist()
+        raw, ends = b"".join(rows.column("raw").to_pylist()), np.cumsum(length).tolist()
+        # equal runs are one string with many occurrences
+        number: dict[bytes, int] = {}
+        of = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends], ends)], np.int64)
+        strings = list(number)
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(len(strings) + 1))
+        lowest, highest = np.minimum.reduceat(doc[order], cut[:-1]), np.maximum.reduceat(doc[order], cut[:-1])
+        size = np.array([len(s) for s in strings])
+        out: list[tuple] = []  # (occurrences, their offsets in the strings, length, smallest document)
+
+        def add(occurrences, inside, span, low):
+            out.append((occurrences, inside, np.full(len(occurrences), span), np.full(len(occurrences), low), np.full(len(occurrences), len(out))))
+
+        for u in np.flatnonzero(lowest < highest):  # the whole string is a repeat
+            add(order[cut[u] : cut[u + 1]], np.zeros(cut[u + 1] - cut[u], np.int64), size[u], lowest[u])
+        # other repeats need two strings around one anchor
+        spot = np.array(offset, np.int64)[order[cut[:-1]]].tolist()
+        anchor: dict[bytes, list[int]] = {}
+        for u, (s, k) in enumerate(zip(strings, spot)):
+            anchor.setdefault(s[k : k + GRAM], []).append(u)
+        mixed = np.array([u for us in anchor.values() if len(us) > 1 for u in us], np.int64)
+        if len(mixed):
+            suffixes = SuffixArray(b"".join([strings[u] for u in mixed]), size[mixed], least)
+            for a, b, span in intervals(suffixes, lowest[mixed], highest[mixed], least):
+                owners = mixed[suffixes.owner[a : b + 1]]
+                low = lowest[owners].min()
+                if low < highest[owners].max():
+                    counts = cut[owners + 1] - cut[owners]
+                    places = np.concatenate([order[cut[u] : cut[u + 1]] for u in owners])
+                    add(places, np.repeat(suffixes.offset[a : b + 1], counts), span, low)
+        places, inside, span, low, group = (np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else [()] * 5))
+        places = places.astype(np.int64)
+        return pa.table({"bucket": np.full(len(places), bucket, np.int64), "group": group.astype(np.int64), "first_id": low.astype(np.int64), "id": doc[places], "start": (start[places] + inside).astype(np.int64), "length": span.astype(np.int64)})
 
     return run
 
 
-def maximal_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 1 << 23, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def maximal_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 1 << 23, bucket_runs: int = 20_000, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(groups, copies).
 
     ``groups``: bucket, group, first_id, id, start, length: all occurrences of every repeat of at
     least ``least`` bytes in two documents; offsets are UTF-8 bytes; first_id is the smallest key in
     the group. ``copies``: id of each document whose whole text is that of a smaller key; these are
     left out of the groups. Null keys and texts take no part; rows that share a key must share their
-    text. Keys are whole numbers. ``bucket_bytes``: text for each task of steps 2 and 4.
+    text. Keys are whole numbers. ``bucket_bytes``: text behind each task
+    of step 2; ``bucket_runs``: runs in each task of step 4.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     sums = rows.select("id", F.octet_length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("hash"))
@@ -297,12 +386,10 @@ def maximal_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 1 << 2
 
     places = rows.mapInArrow(_anchored(least, buckets), "bucket long, hashes binary, docs binary, places binary").groupBy("bucket").applyInArrow(_shared, "id long, place int")
     places = saved(places.join(copies, "id", "left_anti").groupBy("id").agg(F.collect_set("place").alias("places")))
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = places.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)  # of fixed size; it only keeps texts out of the join
-    bits[np.asarray(words.column("word"), np.int64)] = np.asarray(words.column("bits"), np.int64).view(np.uint64)
-    texts = rows.select("id", "text", bit.alias("bit")).mapInArrow(_flagged(bits), "id long, text string")
-    runs = texts.join(places, "id").mapInArrow(_runs(least, buckets), "bucket long, docs binary, starts binary, lengths binary, raw binary")
+    texts = rows.select("id", "text", _bit("id").alias("_bit")).mapInArrow(_flagged(_bitmap(places)), "id long, text string")
+    kept = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    parts = max(1, -(-kept // bucket_runs))
+    runs = texts.join(places, "id").mapInArrow(_runs(least, parts), "bucket long, docs binary, starts binary, lengths binary, offsets binary, raw binary")
     groups = runs.groupBy("bucket").applyInArrow(_groups(least), "bucket long, group long, first_id long, id long, start long, length long")
     return groups, copies
 
@@ -320,19 +407,32 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, spans): the bytes of each document that repeat a passage of a smaller key, where there are any.
 
-    ``spans``: array of (start, end) in bytes, sorted and disjoint. A later copy of a whole text has
-    one span with a null end, which stands for its end.
+    ``spans``: array of start * 2**20 + length, in bytes, in no order; they may overlap. A later copy of
+    a whole text has the one span WHOLE.
     """
     groups, copies = maximal_repeats(docs, least, text=text, key=key)
-    later = groups.where("id > first_id").select("id", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
-    merged = later.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    whole = copies.select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))).alias("spans"))
+    # one number for each span: its start and, in the last 20 bits, its length
+    later = groups.where("id > first_id").select("id", (F.shiftleft("start", 20) + F.col("length")).alias("span"))
+    merged = later.groupBy("id").agg(F.collect_set("span").alias("spans"))
+    whole = copies.select("id", F.array(F.lit(WHOLE).cast("long")).alias("spans"))
     return saved(merged.unionByName(whole))
 
 
-def _cut(text: bytes, spans: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
+def _applied(docs: DataFrame, key: str, least: int, text: str, each, kinds: str) -> DataFrame:
+    """``each`` over all rows, with the column ``spans`` where a row may have some.
+
+    Texts of the other rows are not dealt out: a bitmap tells them apart where they are read.
+    """
+    spans = repeated_spans(docs, least, text, key)
+    bits, own = _bitmap(spans), ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    marked = docs.withColumn("_bit", _bit(F.col(f"`{key}`").cast("long")))
+    found = marked.mapInArrow(_flagged(bits), own).join(spans.withColumnRenamed("id", "_id"), F.col(f"`{key}`") == F.col("_id"), "left").drop("_id")
+    return found.mapInArrow(each, kinds).unionAll(marked.mapInArrow(_unflagged(bits, each), kinds))
+
+
+def _cut(text: bytes, spans: list[int]) -> tuple[bytes, list[tuple[int, int]]]:
     """The bytes outside the spans, and the spans merged; touching spans are one."""
-    merged = _merged([(s["start"], len(text) if s["end"] is None else s["end"]) for s in spans])
+    merged = [(0, len(text))] if spans == [WHOLE] else _merged([(s >> 20, (s >> 20) + (s & 0xFFFFF)) for s in spans])
     at, kept = 0, []
     for a, b in merged:
         kept.append(text[at:a])
@@ -340,32 +440,39 @@ def _cut(text: bytes, spans: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join([*kept, text[at:]]), merged
 
 
-def _digested(batches):
+def _slices(batches, rows: int = 256):
+    """(part, texts, spans or nulls) of small parts of batches."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            spans = part.column("spans").to_pylist() if "spans" in part.schema.names else [None] * part.num_rows
+            yield part, part.column("text").cast(pa.binary()).to_pylist(), spans
+
+
+def _digested(batches):
+    for part, texts, every in _slices(batches):
         size, gone, runs, sha = [], [], [], []
-        for text, spans in zip(batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist()):
-            raw = text.as_py() or b""
-            kept, merged = _cut(raw, spans or [])
+        for raw, spans in zip(texts, every):
+            raw = raw or b""
+            kept, merged = _cut(raw, spans) if spans else (raw, [])
             size.append(len(raw))
             gone.append(len(raw) - len(kept))
             runs.append(len(merged))
             sha.append(hashlib.sha256(kept).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def digest(docs: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what is kept, of every document."""
-    spans = repeated_spans(docs, least)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(spans, "id", "left")
-    return rows.mapInArrow(_digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _applied(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", least, "text", _digested, kinds)
 
 
 def _cleaned(batches):
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            out.append(text if text is None or not spans else _cut(text.encode("utf-8", "replace"), spans)[0].decode("utf-8", "ignore"))
-        yield batch.drop_columns(["spans"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+    for part, texts, every in _slices(batches):
+        out = [raw if raw is None or not spans else _cut(raw, spans)[0].decode("utf-8", "ignore").encode() for raw, spans in zip(texts, every)]
+        part = part.drop_columns(["spans"]) if "spans" in part.schema.names else part
+        yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(out, pa.binary()).cast(pa.string()))
 
 
 def remove_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -374,8 +481,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: st
     A character of which only a part is cut is dropped. A null text stays null.
     """
     names = docs.columns
-    spans = repeated_spans(docs, least, text, key).withColumnRenamed("id", "span_key")
     plain = docs.select(*[F.col(f"`{c}`").alias("text" if c == text else c) for c in names])
-    joined = plain.join(spans, F.col(f"`{key}`") == F.col("span_key"), "left").drop("span_key")
-    kinds = ", ".join(f"`{n}` {t}" for n, t in joined.drop("spans").dtypes)
-    return joined.mapInArrow(_cleaned, kinds).select(*[F.col("text").alias(text) if c == text else F.col(f"`{c}`") for c in names])
+    kinds = ", ".join(f"`{n}` {t}" for n, t in plain.dtypes)
+    done = _applied(plain, key, least, "text", _cleaned, kinds)
+    return done.select(*[F.col("text").alias(text) if c == text else F.col(f"`{c}`") for c in names])
