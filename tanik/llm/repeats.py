@@ -118,7 +118,7 @@ def _dealt(docs: list, places: list, hashes: list, buckets: int) -> pa.RecordBat
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
     rows = [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-    short = [(h[o] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for _, o in rows]
+    short = [(h[o] >> np.uint64(32)).astype("<u4").tobytes() for _, o in rows]
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array(short, pa.binary()), pa.array([_planes(doc[o]) for _, o in rows], pa.binary()), pa.array([_planes(place[o]) for _, o in rows], pa.binary())], ["bucket", "hashes", "docs", "places"])
 
 
@@ -146,8 +146,7 @@ def _anchored(least: int, buckets: int):
 
 def _shared(rows: pa.Table) -> pa.Table:
     """The anchors of a bucket whose hash occurs in two documents."""
-    h = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint8).reshape(-1, 5)
-    h = np.ascontiguousarray(np.pad(h, ((0, 0), (0, 3)))).view("<u8").reshape(-1)
+    h = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), "<u4")  # a bucket's hashes share their rest; a clash only costs work
     doc = np.concatenate([_numbers(x, np.int64) for x in rows.column("docs").to_pylist()])
     place = np.concatenate([_numbers(x, np.int32) for x in rows.column("places").to_pylist()])
     order = np.argsort(h, kind="stable")
