@@ -384,7 +384,7 @@ def maximal_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 1 << 2
     copies = saved(sums.join(firsts, ["n", "hash"]).where("id > first").select("id").distinct())
 
     places = rows.mapInArrow(_anchored(least, buckets), "bucket long, hashes binary, docs binary, places binary").groupBy("bucket").applyInArrow(_shared, "id long, place int")
-    places = saved(places.join(copies, "id", "left_anti").groupBy("id").agg(F.collect_set("place").alias("places")))
+    places = saved(places.groupBy("id").agg(F.collect_list("place").alias("places")).join(copies, "id", "left_anti"))
     texts = rows.select("id", "text", _bit("id").alias("_bit")).mapInArrow(_flagged(_bitmap(places)), "id long, text string")
     kept = places.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(1, -(-kept // bucket_runs))
