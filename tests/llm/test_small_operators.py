@@ -161,6 +161,30 @@ def test_vectors_link_like_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_blocks_are_bounded_at_skew(spark, monkeypatch):
+    draw, linked = np.random.default_rng(6), embeddings._linked
+    base = draw.normal(size=(40, 8))
+    rows = [(k, [float(x) for x in base[k % 40] + draw.normal(size=8) * 0.01], 0 if k < 500 else k) for k in range(700)]
+    rows += [(0, [float(x) for x in base[0] * 3], 0), (0, [float(x) for x in base[1] * -1], 0)]
+
+    def bounded(least):
+        run = linked(least)
+
+        def check(key, homes, others):
+            assert max(homes.num_rows, others.num_rows) <= 120, "a group as large as its cell"
+            return run(key, homes, others)
+
+        return check
+
+    monkeypatch.setattr(embeddings, "_linked", bounded)
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), per_cell=40, block=40).collect()
+    x = np.array([np.array(v, np.float32).astype(float) for _, v, label in rows if label == 0])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98).sum(axis=1) - 1
+    want = sorted([(k, int(n)) for (k, _, label), n in zip([r for r in rows if r[2] == 0], links)] + [(k, 0) for k, _, label in rows if label])
+    assert sorted((r.vec_id, r.n_links) for r in found) == want
+
+
 def test_neighbours(spark):
     df, rows = vectors(spark)
     found = hnsw.search(hnsw.index(df, per_shard=90), df.where("vec_id % 10 = 0"), block=8).collect()
