@@ -84,6 +84,47 @@ def test_component_replay_equals_global_replay(spark):
     assert found == member
 
 
+def test_events_are_not_limited_and_replayed_in_segments(spark):
+    import numpy as np
+
+    draw, n = np.random.default_rng(8), 1203
+    when = lambda k: BASE + timedelta(minutes=int(k))
+    rows = spark.createDataFrame([(f"r{k:04}", f"k{k}", when(k), when(k)) for k in range(n)], "id string, key string, published_at timestamp, discovered_at timestamp")
+    chain = spark.createDataFrame([(f"r{k:04}", f"r{k + 1:04}", 0.95) for k in range(n - 1)], "a string, b string, score double")
+    found = events.cluster_reports(rows, chain).collect()
+    assert len(found) == n and {r.event_id for r in found} == {events.event_id("k0")} and sorted(r.position for r in found) == list(range(n))
+    mixed = {(a, b): float(draw.choice([0.7, 0.72, 0.8, 0.95, 1.0])) for a, b in ((int(b - min(b, draw.integers(1, 30))), b) for b in range(1, 120) for _ in range(2)) if a < b}
+    edges = spark.createDataFrame([(f"r{a:04}", f"r{b:04}", s) for (a, b), s in mixed.items()], "a string, b string, score double")
+    member = {}
+    for k in range(120):
+        best = {}
+        for (a, b), s in mixed.items():
+            if b == k:
+                best[member[a]] = max(best.get(member[a], 0), s)
+        member[k] = events.choose(best)[0] or events.event_id(f"k{k}")
+    some = rows.where("id < 'r0120'")
+    assert {r.report_id: r.event_id for r in events.cluster_reports(some, edges, segment=25).collect()} == {f"r{k:04}": e for k, e in member.items()}
+
+
+def test_families_equal_an_ordered_scan(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(9)
+    base = [[f"w{draw.integers(0, 60)}" for _ in range(40)] for _ in range(6)]
+    rows = []
+    for k in range(90):
+        words = [w for w in base[k % 6] if draw.random() > 0.05] + [f"x{draw.integers(0, 9)}" for _ in range(draw.integers(0, 3))]
+        rows.append((f"e{k % 2}", f"r{k:02}", BASE + timedelta(minutes=int(draw.integers(0, 20))), f"h{draw.integers(0, 60)}", sorted(set(words if k % 7 else words[:5])), "AA" if k % 11 == 0 else None, "own" if k % 5 == 0 else None, f"s{k}"))
+    want, seen = {}, {"e0": [], "e1": []}
+    for event, rid, _, content, body, agency, owner, source in sorted(rows, key=lambda r: (r[2], r[1])):
+        words = set(body)
+        own = f"agency:{agency}" if agency else f"owner:{owner}" if owner else f"unknown:{source}"
+        want[rid] = next((f for c, w, f in seen[event] if c == content or (min(len(w), len(words)) >= 15 and len(w & words) >= 0.85 * len(w | words))), own)
+        seen[event].append((content, words, want[rid]))
+    table = spark.createDataFrame(rows, "event_id string, id string, discovered_at timestamp, content_hash string, body_tokens array<string>, agency string, source_family string, source_id string")
+    assert {r.report_id: r.family for r in events.evidence_families(table).collect()} == want
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 105), (105, 103), (7, 7), (200, 200)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
