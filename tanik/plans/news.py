@@ -16,17 +16,19 @@ from tanik.sources import reports as report_jobs
 #: Kinds, words without a topic and named things of the invented languages.
 KINDS = (("crime", r"\bthe\b|\band\b"), ("fire", r"\ble\b|\bla\b"), ("sports", r"\bder\b|\bdie\b"))
 STOP = ("the", "and", "les", "des", "der", "die", "que")
+#: Body words that the SQL of the twins compares.
+TWIN_WORDS = 1200
 
 
-def features(spark, sf):
-    """documents as reports with the features that pairing reads."""
+def features(spark, sf, most=None):
+    """documents as reports with the features that pairing reads; bodies with all their words, or the first ``most``."""
     rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_id"), "text", normalize_text("text").alias("n"))
     words = word_set(F.col("n"), STOP, {})
     long = F.filter(words, lambda w: F.length(w) >= 16)
     key = F.sha2(F.concat("source_id", F.lit(":"), F.when(F.col("doc_id") % 50 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id")).cast("string")), 256)
     return rows.select(
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), key.alias("key"), "source_id", event_kind(F.col("n"), KINDS).alias("kind"), at_minutes(F.col("doc_id") * 5).alias("at"), at_minutes(F.col("doc_id") * 5).alias("published_at"), at_minutes(F.col("doc_id") * 5).alias("discovered_at"),
-        F.transform(long, lambda w: F.struct(F.lit("location").alias("kind"), w.alias("value"))).alias("entities"), words.alias("tokens"), F.slice(words, 1, 1200).alias("body_tokens"), F.sha2("text", 256).alias("content_hash"))
+        F.transform(long, lambda w: F.struct(F.lit("location").alias("kind"), w.alias("value"))).alias("entities"), words.alias("tokens"), (words if most is None else F.slice(words, 1, most)).alias("body_tokens"), F.sha2("text", 256).alias("content_hash"))
 
 
 _N = "trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))"
@@ -44,14 +46,14 @@ s AS (SELECT a, b, CASE WHEN same THEN 1.0::DOUBLE WHEN NOT kin THEN 0 WHEN h <=
 
 @query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.7")
 def c2_strong_pairs(spark, sf):
-    return pairs.strong_pairs(saved(features(spark, sf))).select("a", "b", F.round("score", 6).alias("score"))
+    return pairs.strong_pairs(saved(features(spark, sf, TWIN_WORDS))).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM s WHERE score >= 0.7 UNION SELECT b, a FROM s WHERE score >= 0.7),
 r AS (SELECT a AS node, b AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
 SELECT node, least(node, min(seen)) AS component FROM r GROUP BY node""")
 def c2_report_components(spark, sf):
-    return connected_components(pairs.strong_pairs(saved(features(spark, sf))))
+    return connected_components(pairs.strong_pairs(saved(features(spark, sf, TWIN_WORDS))))
 
 
 @query(None)

@@ -125,6 +125,15 @@ def test_families_equal_an_ordered_scan(spark):
     assert {r.report_id: r.family for r in events.evidence_families(table).collect()} == want
 
 
+def test_long_bodies_are_compared_whole(spark, tmp_path):
+    from tanik.registry import QUERIES
+
+    shared = [f"a{k}" for k in range(1000, 2200)]
+    texts = [" ".join([*shared, *(f"{end}{k}" for k in range(1000, 2000))]) for end in "yz"]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts, 10)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r.event_id for r in QUERIES["e7_cluster_reports"](spark, str(tmp_path)).collect()}) == 2
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 105), (105, 103), (7, 7), (200, 200)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
