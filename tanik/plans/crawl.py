@@ -284,8 +284,7 @@ def d14_answer_quality(spark, sf):
 @query(None)
 def c12_explain_pairs(spark, sf):
     rows = saved(features(spark, sf))
-    near = rows.select(F.col("id").alias("a"), F.lpad((F.col("id").cast("long") + 1).cast("string"), 12, "0").alias("b"))
-    return pairs.score_pairs(near, rows).withColumn("reasons", F.array_join("reasons", ","))
+    return pairs.score_pairs(pairs.candidate_pairs(rows), rows).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"""WITH {shapes.FACTS} SELECT id FROM facts WHERE status = 'verified' AND subject_entity_id % 3 <> 0 AND subject_entity_id % 4 <> 0""")

@@ -134,6 +134,15 @@ def test_long_bodies_are_compared_whole(spark, tmp_path):
     assert len({r.event_id for r in QUERIES["e7_cluster_reports"](spark, str(tmp_path)).collect()}) == 2
 
 
+def test_candidates_are_explained(spark, tmp_path):
+    from tanik.registry import QUERIES
+
+    text = " ".join(f"word{k}" for k in range(30))
+    spark.createDataFrame([(k, text, "en", "s", len(text)) for k in (10, 13, 17)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((int(r.a), int(r.b), r.score, r.reasons.split(",")[0]) for r in QUERIES["c12_explain_pairs"](spark, str(tmp_path)).collect())
+    assert found == [(a, b, 0.95, "syndicated_body") for a, b in ((10, 13), (10, 17), (13, 17))]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 105), (105, 103), (7, 7), (200, 200)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
