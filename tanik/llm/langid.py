@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tanik.llm.common import fold
+from tanik.llm.vectors import smallest_ids
 
 WINDOW = 64
 HIDDEN = 8
@@ -143,22 +144,23 @@ def _sampled(per_text: int):
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = 1200, per_text: int = 6) -> tuple[dict[str, np.ndarray], list[str]]:
     """A model and its language names, learned from documents where ``learn`` (over key) holds.
 
-    Bounded sample: of each of the at most 64 most frequent languages, the ``most`` documents with the
-    smallest hash of the key, and of each ``per_text`` windows spread over the whole text.
+    Bounded sample: of every language the ``most`` documents with the smallest hash of the key, fewer
+    beyond 64 languages so that all have about 64 * ``most`` at most, and of each ``per_text`` windows
+    spread over the whole text. No language is left out.
     """
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     known = rows.where("key IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(learn)
-    names = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
-    chosen = None
-    for name in names:  # bounded by 64
-        part = known.where(F.col("lang") == name).select("key", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(most).select("key")
-        chosen = part if chosen is None else chosen.unionAll(part)
-    if chosen is None:
+    names = sorted(r.lang for r in known.select("lang").distinct().collect())
+    if not names:
         return new_model(1), []
+    most = max(1, min(most, 64 * most // len(names)))
+    hashed = known.select("lang", F.struct(F.xxhash64("key").alias("h"), "key").alias("hashed"))
+    chosen = smallest_ids(hashed, ["lang"], "hashed", most).select(F.explode("ids").alias("id")).select("id.key")
     sample = known.join(F.broadcast(chosen.distinct()), "key").select("text", "lang").mapInArrow(_sampled(per_text), "raw binary, lang string").toArrow()
-    found = sorted((lang, raw) for lang, raw in zip(sample.column("lang").to_pylist(), sample.column("raw").to_pylist()) if lang in set(names))
+    found = sorted((lang, raw) for lang, raw in zip(sample.column("lang").to_pylist(), sample.column("raw").to_pylist()))
     data = np.frombuffer(b"".join(raw for _, raw in found), np.int16).reshape(-1, WINDOW)
-    label = np.array([names.index(lang) for lang, _ in found])
+    place = {name: n for n, name in enumerate(names)}
+    label = np.array([place[lang] for lang, _ in found])
     return train(data, label, len(names)), names
 
 
@@ -209,8 +211,8 @@ def _selected(model, names: list[str], least: float):
                 part = batch.slice(at, 64)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 p = document_probabilities(model, texts)
-                fine = [bool(names) and any(map(str.isalpha, t)) and p[n].max() >= least for n, t in enumerate(texts)]
-                found = [lang or names[p[n].argmax()] if fine[n] else lang for n, lang in enumerate(part.column("lang").to_pylist())]
+                fine = [any(map(str.isalpha, t)) and (not names or p[n].max() >= least) for n, t in enumerate(texts)]
+                found = [lang or names[p[n].argmax()] if fine[n] and names else lang for n, lang in enumerate(part.column("lang").to_pylist())]
                 yield part.set_column(part.schema.get_field_index("lang"), "lang", pa.array(found, pa.string())).filter(pa.array(fine))
 
     return run
@@ -220,7 +222,8 @@ def keep_known_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows and columns of documents without texts that are in no learned language.
 
     Rejected: null texts, texts without a letter, and texts whose best language has a probability
-    under ``least``. A null lang is filled with the language found; others stay as they are.
+    under ``least``; if no row has a lang, nothing can be learned and every text with a letter stays. A
+    null lang is filled with the language found; others stay as they are.
     """
     model, names = fit(docs, F.lit(True))
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)

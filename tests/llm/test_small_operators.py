@@ -134,6 +134,19 @@ def test_gradients():
         assert (losses[0] - losses[1]) / 0.02 == pytest.approx(grads[name][at], rel=0.02, abs=1e-6)
 
 
+def test_documents_stay_where_no_language_is_labelled(spark):
+    docs = documents(spark, ["a clean text", "ein anderer Text", "123 !!", None]).withColumn("lang", F.lit(None).cast("string"))
+    found = langid.keep_known_languages(docs)
+    assert found.columns == docs.columns and sorted((r.doc_id, r.text, r.lang) for r in found.collect()) == [(0, "a clean text", None), (1, "ein anderer Text", None)]
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(k, f"{chr(0x4E00 + k % 70) * 8} text", f"l{k % 70:02}") for k in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, names = langid.fit(docs, F.lit(True), most=3)
+    assert names == [f"l{k:02}" for k in range(70)] and model["shift"].shape == (70,)
+
+
 def vectors(spark):
     draw = np.random.default_rng(5)
     base = draw.normal(size=(300, 8))
