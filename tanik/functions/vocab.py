@@ -67,3 +67,50 @@ NAMED = (
     *(("institution", None, (name,)) for name in ("AFAD", "KGM", "TBMM", "ÖSYM", "MEB", "İçişleri Bakanlığı", "Sağlık Bakanlığı")),
     *(("team", None, (name,)) for name in ("Galatasaray", "Fenerbahçe", "Beşiktaş", "Trabzonspor")),
 )
+
+# --- fixed values: what a sentence says in numbers: pattern, and the claim by a part of the normalised label
+COUNT_CLAIMS = (
+    (
+        r"(?P<value>\d+|sıfır|bir|iki|üç|dört|beş|altı|yedi|sekiz|dokuz|on)\s+(?:(?:kişi|kişinin)\s+)?(?P<label>araç|otomobil|yaralı|yaralandı|yaralanan|öldü|ölü|hayatını kaybetti|gözaltına alındı)",
+        (("arac", "vehicle_count"), ("otomobil", "vehicle_count"), ("yaral", "injury_count"), ("gozalti", "detention_count"), ("", "death_count")),
+    ),
+    (r"(?P<label>yaralı|ölü|can kaybı) sayısı(?:nın)?\s+(?P<value>\d+|iki|üç|dört|beş|altı|yedi|sekiz|dokuz|on)", (("yarali", "injury_count"), ("", "death_count"))),
+)
+#: Only in reports of an earthquake.
+MAGNITUDE_CLAIM = (r"(?P<value>\d+[.,]\d+)\s+(?P<label>büyüklüğünde)", (("", "earthquake_magnitude"),))
+
+# --- fixed values: what a normalised sentence says as yes or no
+STATE_CLAIMS = (
+    ("(?:yol|trafik|ulasim).*(?:kapandi|kapatildi|kapali)", "road_closed", "true"),
+    ("(?:yol|trafik|ulasim).*(?:acildi|normale dondu)", "road_closed", "false"),
+    ("yangin.*sonduruldu|olay.*sona erdi", "event_ended", "true"),
+)
+#: Words of a correction, over normalised text.
+CORRECTION = "duzelt|guncelle|yukseldi|artti|azaldi|olarak aciklandi|normale dondu|trafige acildi"
+#: When a text says that its event happened.
+OCCURRED = r"(?:olay|kaza|deprem|yangın)[^\n.]{0,40}?(\d{1,2} [A-Za-zÇĞİÖŞÜçğıöşü]+ \d{4}(?: (?:saat )?\d{2}:\d{2})?)"
+#: Kinds of entities that a sentence reports as a place.
+PLACES = ("city", "district", "road", "location")
+#: Claims that only the patterns above can make.
+COUNTED = ("injury_count", "death_count", "vehicle_count", "detention_count", "earthquake_magnitude")
+
+# --- fixed values: names by their form: pattern, and the kind of entity by the end of the name
+NAME_FORMS = (
+    (r"(?<![A-Za-z0-9_])([A-ZÇĞİÖŞÜ][a-zçğıöşü]+(?: [A-ZÇĞİÖŞÜ][a-zçğıöşü]+){1,2})\s+(?:açıkladı|dedi|konuştu|gözaltına)", (("", "person"),)),
+    (
+        r"(?<![A-Za-z0-9_])([A-ZÇĞİÖŞÜ][^\W\d_]+(?: [A-ZÇĞİÖŞÜ][^\W\d_]+){0,2} (?:Mahallesi|Caddesi|Sokağı|Köprüsü|Stadyumu|Partisi|Holding))",
+        (("Partisi", "organization"), ("Holding", "organization"), ("", "location")),
+    ),
+)
+
+# --- fixed values: titles of official results and of the preference period, with what they state
+RESULT_TITLES = (
+    (r"^([0-9]{4})-YKS:\s*Sınav Sonuçları Açıklandı$", "yks"),
+    (r"^([0-9]{4})-YKS:\s*Yerleştirme Sonuçları Açıklandı$", "yks_yerlestirme"),
+)
+PREFERENCE_TITLE = r"^([0-9]{4})-YKS:\s*Tercihlerin Alınması$"
+PREFERENCE_RANGE = (
+    r"Adaylar tercihlerini,\s+(([0-9]{1,2})\s+(Ocak|Şubat|Mart|Nisan|Mayıs|Haziran|Temmuz|Ağustos|Eylül|Ekim|Kasım|Aralık)\s+([0-9]{4})\s*-\s*"
+    r"([0-9]{1,2})\s+(Ocak|Şubat|Mart|Nisan|Mayıs|Haziran|Temmuz|Ağustos|Eylül|Ekim|Kasım|Aralık)\s+([0-9]{4}))\s+tarihleri arasında"
+)
+MONTH_NAMES = ("Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık")
