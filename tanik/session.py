@@ -15,11 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and cut from its lineage by ``checkpoint()``.
 
-    The files go to ``spark.checkpoint.dir``, which all executors share; a folder of our own is set
-    only where that setting is missing, as in local tests.
+    The files go to ``spark.checkpoint.dir``, which all executors share. Where that setting is missing,
+    a session on one machine, as in tests, gets a folder of its own; on a cluster it is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
