@@ -16,16 +16,21 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from tanik.llm.common import small_batches
 
 END = "</w>"
 #: Entries kept of each memory of words and pairs, per worker process; they are dropped when full.
 MEMORY = 600_000
+#: Ids decoded at a time.
+BLOCK = 4096
 
 
 @cache
@@ -180,74 +185,75 @@ class Transducer:
 
 
 class Decoder:
-    """Ids to text, one id at a time, with constant state.
+    """Ids to text, any number at a time, with constant state.
 
-    ``spaced``: token strings with a space between two, as a vocabulary without a decoder is read.
-    Otherwise the bytes behind the tokens as UTF-8, a space after each word end; a character may
-    need several tokens and comes out when its last byte is there; stray bytes become U+FFFD.
+    ``pieces``: the bytes behind each id; ``gap`` comes between two. The bytes go through an incremental
+    UTF-8 machine: a character may need several ids and comes out when its last byte is there; stray
+    bytes become U+FFFD.
     """
 
-    def __init__(self, strings: dict[int, str], spaced: bool):
-        self.strings, self.spaced, self.begun = strings, spaced, False
+    def __init__(self, pieces: list[bytes], gap: bytes = b""):
+        self.pieces, self.gap, self.begun = pieces, gap, False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def push(self, token_id: int) -> str:
-        token = self.strings[token_id]
-        if self.spaced:
-            gap, self.begun = " " if self.begun else "", True
-            return gap + token
-        body = token.removesuffix(END)
-        raw = bytes(alphabet_bytes().get(c, 63) for c in body)
-        return self.utf8.decode(raw) + (" " if body != token else "")
+    def push(self, ids: list[int]) -> str:
+        raw = self.gap.join(map(self.pieces.__getitem__, ids))
+        if self.begun and ids:
+            raw = self.gap + raw
+        self.begun |= bool(ids)
+        return self.utf8.decode(raw)
 
     def finish(self) -> str:
         return self.utf8.decode(b"", final=True)
 
 
+def _bytes_of(token: str) -> bytes:
+    body = token.removesuffix(END)
+    return bytes(alphabet_bytes().get(c, 63) for c in body) + (b" " if body != token else b"")
+
+
 class WordCoder:
     """Encodes whole texts word by word; short words are remembered, within a bound."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.strings = {i: t for t, i in (self.merges.ids | self.merges.added).items()}
+        strings = {i: t for t, i in (self.merges.ids | self.merges.added).items()}
+        #: Of each id its token as the library shows it, and the bytes behind it with a space at a word's end.
+        self.shown = [strings.get(i, "").encode() for i in range(max(strings) + 1)]
+        self.bytes = [_bytes_of(strings.get(i, "")) for i in range(len(self.shown))]
         self.special = regex.compile("|".join(map(regex.escape, self.merges.added)) or r"(?!)")
         #: The vocabulary's own pattern; its white space is the Unicode property.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.gaps = regex.compile(r"\p{White_Space}+")
         self.table = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
-    def encode_word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers, and the decoded bytes, of one word."""
+    def encode_word(self, word: str) -> bytes:
+        """Ids of one word as little-endian 32-bit integers."""
         found = self.known.get(word)
         if found is None:
-            ids, shown, decoder = bytearray(), [], Decoder(self.strings, True)
             plain = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-            for token in Transducer(self.merges).finish(plain):
-                token_id = self.merges.ids[token]
-                ids += token_id.to_bytes(4, "little")
-                shown.append(decoder.push(token_id))
-            found = bytes(ids), "".join(shown).encode()
+            found = b"".join([self.merges.ids[token].to_bytes(4, "little") for token in Transducer(self.merges).finish(plain)])
             if len(word) <= 40:
                 if len(self.known) > MEMORY:
                     self.known.clear()
                 self.known[word] = found
         return found
 
-    def encode_chunk(self, chunk: str) -> tuple[bytes, bytes]:
+    def encode_chunk(self, chunk: str) -> bytes:
         """The same of a text without white space."""
         found = self.chunks.get(chunk)
         if found is None:
             parts = [self.encode_word(word) for word in self.words.findall(chunk)]
-            found = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
+            found = parts[0] if len(parts) == 1 else b"".join(parts)
             if len(chunk) <= 40:
                 if len(self.chunks) > MEMORY:
                     self.chunks.clear()
                 self.chunks[chunk] = found
         return found
 
-    def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
+    def _plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
@@ -255,20 +261,22 @@ class WordCoder:
         known = self.chunks.get
         return [known(c) or self.encode_chunk(c) for c in (self.gaps.split(text) if odd else text.split()) if c]
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as bytes and the decoded text as UTF-8 of a whole text."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers."""
         found, at = [], 0
         for match in self.special.finditer(text) if "<|" in text else ():
             found += self._plain(text[at : match.start()])
-            found.append((struct.pack("<I", self.merges.added[match[0]]), match[0].encode()))
+            found.append(struct.pack("<I", self.merges.added[match[0]]))
             at = match.end()
         found += self._plain(text[at:] if at else text)
-        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])
+        return b"".join(found)
 
-    def text(self, ids: Iterable[int]) -> str:
-        """Readable text of ids."""
-        decoder = Decoder(self.strings, False)
-        return "".join([decoder.push(i) for i in ids]) + decoder.finish()
+    def decoded(self, ids: bytes, spaced: bool = True) -> Iterator[str]:
+        """The text of ids in parts: as the library shows it, or with ``spaced`` false the bytes behind the tokens."""
+        decoder = Decoder(self.shown, b" ") if spaced else Decoder(self.bytes)
+        for at in range(0, len(ids), 4 * BLOCK):
+            yield decoder.push(np.frombuffer(ids[at : at + 4 * BLOCK], "<u4").tolist())
+        yield decoder.finish()
 
 
 @cache
@@ -283,7 +291,8 @@ def _encoded(path: str, text: str, keep: list[str]):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, shown = zip(*(words.encode(t or "") for t in part.column(text).to_pylist()))
+                ids = [words.encode(t or "") for t in part.column(text).to_pylist()]
+                shown = ["".join(words.decoded(i)).encode() for i in ids]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(ids, pa.binary()), pa.array(shown, pa.binary())], [*keep, "ids", "decoded"])
 
     return run
@@ -296,7 +305,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
     and null keys stay, an empty table gives an empty one, other columns are left out.
     """
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(_encoded(path, text, [key]), f"`{key}` {kind}, ids binary, decoded binary")
+    return small_batches(docs).select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(_encoded(path, text, [key]), f"`{key}` {kind}, ids binary, decoded binary")
 
 
 def _digested(path: str):
@@ -305,10 +314,13 @@ def _digested(path: str):
         for batch in batches:
             count, ids_sha, text_sha = [], [], []
             for text in batch.column("text"):
-                ids, shown = words.encode(text.as_py() or "")
+                ids = words.encode(text.as_py() or "")
+                sha = hashlib.sha256()
+                for shown in words.decoded(ids):
+                    sha.update(shown.encode())
                 count.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(shown).hexdigest())
+                text_sha.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -316,4 +328,4 @@ def _digested(path: str):
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the hashes of ids and decoded text, computed where the ids are made."""
-    return docs.select("doc_id", "text").mapInArrow(_digested(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_digested(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: Rows of one Arrow batch of texts.
+ROWS = 2000
 
 
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the key written as text, modulo ``modulus``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % modulus
+
+
+def small_batches(texts: DataFrame) -> DataFrame:
+    """``texts`` unchanged; its session hands rows to Python ``ROWS`` at a time at most.
+
+    The usual 10,000 whole texts are some tens of megabytes, held several times over by each task.
+    """
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return texts

@@ -57,14 +57,14 @@ def _gaps(centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
 
 
-def fitted_centres(rows: np.ndarray, n: int, apart: float, block: int, most: int = 512) -> np.ndarray | None:
+def fitted_centres(rows: np.ndarray, n: int, apart: float, block: int, most: int | None = None) -> np.ndarray | None:
     """The centres for a label of ``n`` points like ``rows`` that send the fewest rows to blocks; None is one cell.
 
     Each home row goes to all visiting blocks of its cell, each visiting row to all home blocks. More
     cells make fewer blocks but more visits, which the sample tells.
     """
     best, least, cells = None, 2 * n * max(1.0, n / block), 2
-    while cells <= min(most, len(rows) // 4, 2 * n // block):
+    while cells <= min(most or len(rows), len(rows) // 4, 2 * n // block):  # a centre needs some rows of the sample
         centres = spherical_kmeans(rows, cells)
         gap = _gaps(centres)
         visits = sum(int(_visits(rows[at : at + 1024], centres, gap, apart)[1].sum()) for at in range(0, len(rows), 1024)) / len(rows)
@@ -134,26 +134,14 @@ def _linked(least: float, step: int = 512):
     return run
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = 8192, per_cell: int = 2048, block: int = 2048) -> DataFrame:
-    """(key, n_links, component_id, kept): every row of the input, one representative kept per group.
-
-    Rows are compared only when labels are equal and not null. Null, empty or zero vectors, and those
-    with null or non-finite components, link with nothing; so do rows with a null key, whose component
-    is null. Repeated keys are one row each and count as one point per different vector. ``sample``
-    bounds the rows on which centres are fitted; every row is assigned and compared. ``block`` bounds
-    both sides of a group.
-    """
-    all_rows = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label"), F.when(usable(F.col(f"`{vector}`")), as_double(F.col(f"`{vector}`"))).alias("vector"))
-    all_rows = saved(all_rows)
-    good = all_rows.where("vector IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
-    points = good.groupBy("label", "vector").agg(F.min("id").cast("long").alias("first"), F.count("*").alias("copies"))
-    points = saved(points.withColumn("point", F.monotonically_increasing_id()))
+def _known(points: DataFrame, least: float, sample: int, per_cell: int, block: int) -> DataFrame:
+    """(label, vector, n_links, component_id) of points (label, vector, first, copies, point) of one length."""
     # Labels beyond per_cell points number at most points / per_cell; the level is the octave of their size.
     large = points.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > per_cell).withColumn("level", F.ceil(F.log2(F.col("n") / per_cell)).cast("int"))
     large = saved(large)
-    leveled = points.join(F.broadcast(large.select("label", "level")), "label", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    leveled = points.join(large.select("label", "level"), "label", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     apart = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    levels = large.groupBy("level").agg(F.max("n").alias("n")).collect()
+    levels = large.groupBy("level").agg(F.max("n").alias("n")).collect()  # octaves of sizes: some dozens at most
     centres = {}
     for level, n in levels:
         drawn = leveled.where(F.col("level") == level).select("vector", "point", "first").orderBy(F.xxhash64("first"), "first", "point").limit(max(1, sample // len(levels))).select("vector").toArrow()
@@ -164,7 +152,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, key: str = "vec_id", v
     placed = saved(leveled.select("label", "vector", "first", "copies", "point", "level").mapInArrow(_assigned(centres, apart), f"label {kind}, vector array<double>, first long, copies long, point long, level int, cell int, at_home boolean"))
     cut = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
     sizes = placed.groupBy("label", "cell").agg(cut(F.count_if("at_home")).alias("homes"), cut(F.count("*")).alias("visitors")).where("visitors > 1")
-    dealt = placed.join(F.broadcast(sizes), ["label", "cell"], "left").withColumn("homes", F.coalesce("homes", F.lit(1))).withColumn("visitors", F.coalesce("visitors", F.lit(1)))
+    dealt = placed.join(sizes, ["label", "cell"], "left").withColumn("homes", F.coalesce("homes", F.lit(1))).withColumn("visitors", F.coalesce("visitors", F.lit(1)))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("point"), F.col(n)).cast("int")
     by = ["label", "cell", "block", "other"]
@@ -175,7 +163,29 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, key: str = "vec_id", v
     groups = connected_components(found.where("a IS NOT NULL").select("a", "b")).withColumnRenamed("node", "first")
     links = found.where("point IS NOT NULL").groupBy("point").agg(F.sum("links").alias("links"))
     known = points.join(links, "point", "left").join(groups, "first", "left")
-    known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+    return known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+
+
+def near_duplicates(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = 8192, per_cell: int = 2048, block: int = 2048) -> DataFrame:
+    """(key, n_links, component_id, kept): every row of the input, one representative kept per group.
+
+    Rows are compared only when labels are equal and not null. Null, empty or zero vectors, and those
+    with null or non-finite components, link with nothing; so do rows with a null key, whose component
+    is null. Repeated keys are one row each and count as one point per different vector. Vectors of
+    different lengths have no cosine and never link; each length is compared on its own. ``sample``
+    bounds the rows on which centres are fitted; every row is assigned and compared. ``block`` bounds
+    both sides of a group.
+    """
+    all_rows = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label"), F.when(usable(F.col(f"`{vector}`")), as_double(F.col(f"`{vector}`"))).alias("vector"))
+    all_rows = saved(all_rows)
+    good = all_rows.where("vector IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
+    points = good.groupBy("label", "vector").agg(F.min("id").cast("long").alias("first"), F.count("*").alias("copies"))
+    points = saved(points.withColumn("point", F.monotonically_increasing_id()))
+    lengths = [r.n for r in points.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    known = None
+    for n in lengths or [0]:
+        part = _known(points if len(lengths) < 2 else points.where(F.size("vector") == n), least, sample, per_cell, block)
+        known = part if known is None else known.unionAll(part)
     out = all_rows.join(known, ["label", "vector"], "left")
     out = out.withColumn("linkable", F.col("id").isNotNull())
     links = F.when(F.col("linkable"), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long")

@@ -135,14 +135,16 @@ def index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", per_s
     """One row for each shard: its points, flat neighbour arrays and the ids of each point.
 
     Rows whose vector is null, zero or holds null or non-finite components, or whose key is null, are
-    not indexed. Vectors must be of one length; others than the most frequent length are a ValueError
-    in the task. ``spare``: ids kept of equal vectors, which must be more than the results asked for.
+    not indexed; nor are vectors of another length than the most frequent one (the shorter, if two are).
+    ``spare``: ids kept of equal vectors; ``search`` refuses to look for as many results.
     """
     good = rows.where(usable(F.col(f"`{vector}`")) & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("key"), as_double(F.col(f"`{vector}`")).alias("vector"))
+    common = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    good = good.where(F.size("vector") == (common.n if common else 0))
     points = saved(smallest_ids(good.distinct(), ["vector"], "key", spare))
     shards = max(1, -(-points.count() // per_shard))
     dealt = points.select("vector", "ids", F.element_at("ids", 1).alias("first"), F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)).alias("shard"))
-    return saved(dealt.groupBy("shard").applyInArrow(_built, _INDEX))
+    return saved(dealt.groupBy("shard").applyInArrow(_built, _INDEX).withColumn("spare", F.lit(spare)))
 
 
 def _graph(row: dict) -> tuple[Graph, list[list[int]]]:
@@ -170,17 +172,20 @@ def _searched(count: int, width: int):
     return run
 
 
-def search(shards: DataFrame, queries: DataFrame, count: int = 10, width: int = 160, block: int = 512, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(shards: DataFrame, queries: DataFrame, count: int = 10, width: int = 160, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``count`` nearest found, ties to the smaller id.
 
     A query's own id is not among its results. Queries come in blocks of about ``block``; each block
-    meets each shard once. Queries that ``index`` would not take, find nothing; repeated query ids are
-    one query each with the smallest vector. Empty tables give an empty result.
+    meets each shard once. Queries that ``index`` would not take, or of another length than its vectors,
+    find nothing; repeated query ids are one query each with the smallest vector. Empty tables give an
+    empty result. ``count`` must be less than the ids that the index keeps of equal vectors.
     """
+    last, length, spare = shards.agg(F.max("shard"), F.max("width"), F.min("spare")).first()
+    if spare is not None and count >= spare:
+        raise ValueError(f"the index keeps {spare} ids of equal vectors, which is too few to find {count}")
     good = queries.where(usable(F.col(f"`{vector}`")) & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("query_id"), as_double(F.col(f"`{vector}`")).alias("vector"))
-    good = good.groupBy("query_id").agg(F.min("vector").alias("vector"))
+    good = good.where(F.size("vector") == F.lit(length)).groupBy("query_id").agg(F.min("vector").alias("vector"))
     blocks = max(1, -(-good.count() // block))
-    last = shards.agg(F.max("shard")).first()[0]
     if last is None:
         return good.select("query_id", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     asked = good.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tanik.llm.common import fold
+from tanik.llm.common import fold, small_batches
 from tanik.llm.vectors import smallest_ids
 
 WINDOW = 64
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     beyond 64 languages so that all have about 64 * ``most`` at most, and of each ``per_text`` windows
     spread over the whole text. No language is left out.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     known = rows.where("key IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(learn)
     names = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not names:
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], names: list[str], te
     ``und`` with score 0 where the text is null or has no letter, or no language was learned. Repeated
     rows and nulls in kept columns stay; an empty table gives an empty one.
     """
-    rows = docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("lang_text"))
+    rows = small_batches(docs).select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("lang_text"))
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return rows.mapInArrow(_named(model, names, list(keep)), f"{kinds}, lang_pred string, lang_score double")
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tanik.llm.common import small_batches
 from tanik.operators.components import connected_components
 from tanik.session import saved
 
@@ -31,7 +32,7 @@ BLOCK = 512
 #: Bits of the filter that saves making sets of documents which no pair needs.
 FILTER_BITS = 1 << 24
 #: Entries kept of the memory of words, per worker process; it is dropped when full.
-MEMORY = 600_000
+MEMORY = 300_000
 
 _draw = np.random.default_rng(2024)
 _A = _draw.integers(1 << 62, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,6 +100,7 @@ def _signed(batches):
             found.append(bands(signature(s)) if len(s) else None)
         key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(found, pa.list_(pa.int64()))], ["id", "n_shingles", "k1", "k2", "bands"])
+    _words.clear()  # the worker process goes on with other work
 
 
 def _wanted(bits: np.ndarray):
@@ -108,6 +110,7 @@ def _wanted(bits: np.ndarray):
             batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             sets = [shingles(t.as_py() or b"").view(np.int64) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+        _words.clear()
 
     return run
 
@@ -187,7 +190,7 @@ def link_documents(docs: DataFrame, percent: int = 85, text: str = "text", key:
     row with a null key links with nothing; its component is null and it is kept. Keys are whole
     numbers. An empty table gives an empty one; other columns are left out.
     """
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    texts = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = saved(texts.mapInArrow(_signed, "id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     classes = saved(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
 
@@ -208,10 +211,16 @@ def link_documents(docs: DataFrame, percent: int = 85, text: str = "text", key:
     links = saved(links.union(_confirmed(pairs, sets, percent)))
     groups = connected_components(links)
 
+    # In a large bucket most classes are in one component by now; pairs inside it need no look, so its
+    # blocks only meet those of the other classes.
     large = _with_component(members.where(F.col("members") > SMALL), groups, "rep", "component")
-    mixed = large.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y").select("bucket", "blocks")
-    large = large.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    shares = large.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("components")).where("components > 1")
+    mixed = mixed.select("bucket", F.col("top.component").alias("major"), F.ceil(F.col("top.n") / BLOCK).alias("majors"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).alias("minors"))
+    large = large.join(mixed, "bucket").withColumn("own", F.col("component") == F.col("major"))
+    large = large.withColumn("block", F.when(F.col("own"), F.pmod(F.xxhash64("rep"), "majors")).otherwise(F.col("majors") + F.pmod(F.xxhash64("rep"), "minors")))
+    met = F.when(F.col("own"), F.sequence(F.col("majors"), F.col("majors") + F.col("minors") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("majors") + F.col("minors") - 1))
+    meets = F.transform(met, lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
     tasks = large.select("bucket", "rep", "component", "block", F.explode(meets).alias("meet")).join(sets.withColumnRenamed("id", "rep"), "rep")
     found = tasks.groupBy("bucket", "meet").applyInArrow(_blocks(percent), "a long, b long")
     groups = saved(connected_components(links.union(saved(found.distinct()))))

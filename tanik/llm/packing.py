@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from tanik.llm.bpe import alphabet_bytes
+from tanik.llm.common import small_batches
 from tanik.session import saved
 
 #: The pattern by which byte-level vocabularies cut a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries kept of the memory of words, per worker process; it is dropped when full.
-MEMORY = 600_000
+MEMORY = 300_000
 
 
 #: White space next to a space.
@@ -170,7 +171,7 @@ def _packed(most: int):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, most: int = 2048, end: int = 0, per_shard: int = 16384, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, most: int = 2048, end: int = 0, per_shard: int = 1 << 17, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids by the vocabulary file ``path`` and then ``end``; only longer ones than
@@ -179,7 +180,7 @@ def pack_documents(docs: DataFrame, path: str, most: int = 2048, end: int = 0, p
     ``sequence_id`` numbers are not gapless; offsets within a sequence are.
     """
     kind = docs.schema[key].dataType.simpleString()
-    pieces = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(_pieces(path, most, end), f"key {kind}, piece int, start long, length long, ids_crc32 long")
+    pieces = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(_pieces(path, most, end), f"key {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = saved(pieces)
     shards = max(1, -(-pieces.count() // per_shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "start"), F.lit(shards)))

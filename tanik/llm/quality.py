@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tanik.llm.common import fold
+from tanik.llm.common import fold, small_batches
 
 BITS = 18
 #: Entries kept of the memory of words, per worker process; it is dropped when full.
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
     """
     chosen = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(f"`{key}`").alias("key")).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.where("key IS NOT NULL").where(learn).orderBy(F.xxhash64("key"), "key").limit(most)
-    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    texts = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     rows = texts.join(F.broadcast(chosen), "key").select("text", "label").mapInArrow(_vectors, "index array<int>, value array<float>, label int")
     table = rows.toArrow()  # at most `most` keys
     lists = zip(table.column("index"), table.column("value"), table.column("label").to_pylist())
@@ -135,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", key: str = "
     stay; an empty table gives an empty one; other columns are left out.
     """
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")).mapInArrow(_scored(weights, out), f"`{key}` {kind}, `{out}` double")
+    return small_batches(docs).select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")).mapInArrow(_scored(weights, out), f"`{key}` {kind}, `{out}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tanik.llm.common import small_batches
 from tanik.llm.minhash import FILTER_BITS
 from tanik.session import saved
 
@@ -448,7 +449,7 @@ def _names(least: int, groups: int, everything: bool):
 
 def _named(docs: DataFrame, least: int, text: str, key: str, everything: bool, bucket_bytes: int, bucket_runs: int, stretch: int):
     """(copies, tags, named windows, groups): steps 0 to 3 of ``docs``."""
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     tagged = rows.withColumn("tag", F.xxhash64("text"))
     sums = saved(tagged.select("id", "tag", F.octet_length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("hash")))
     total = sums.agg(F.sum("n")).first()[0] or 0

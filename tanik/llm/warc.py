@@ -1,7 +1,7 @@
 """Not-modified revisits of a web archive resolved to the response they confirm.
 
 An as-of join: for each revisit the latest earlier full response with the same canonical URL. Time is
-cut into at most ``slices`` slices of about equal numbers of records. The last response of each
+cut into slices of about equal numbers of records, more of them for a larger table. The last response of each
 (URL, slice) is a grouped maximum; carrying it over the few slices of a URL gives what each slice
 starts with; inside a slice an ordered window finds the rest. No URL, however frequent, has to be
 sorted in one task.
@@ -34,7 +34,25 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
+def _lower_names(headers: Column) -> Column:
+    """Header names in lower case; fields of one name have their different values in one, joined by commas."""
+    entries = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("key"), e["value"].alias("value"))))
+    names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
+    values = lambda n: F.array_distinct(F.transform(F.filter(entries, lambda e: e["name"] == n), lambda e: e["value"]))
+    value = lambda n: F.when(F.size(values(n)) == 1, F.element_at(values(n), 1)).otherwise(F.array_join(values(n), ", "))
+    return F.coalesce(F.map_from_arrays(names, F.transform(names, value)), F.create_map().cast("map<string,string>"))
+
+
+def _slice(at: Column, cuts: list[float], parts: int) -> Column:
+    """The slice of a time: between two cuts, each such stretch in ``parts`` of equal time."""
+    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    place = F.size(F.filter(edges, lambda e: e < at))
+    low, high = F.coalesce(F.get(edges, place - 1), at), F.coalesce(F.get(edges, place), at)
+    inside = F.when(high > low, F.floor((at - low) / (high - low) * parts)).otherwise(0)
+    return (place.cast("long") * parts + F.least(inside, F.lit(parts - 1))).cast("long")
+
+
+def resolve_revisits(records: DataFrame, slices: int = 256, per_slice: int = 1_000_000) -> DataFrame:
     """One row for each revisit: record_id, canonical_url, status, base_id, merged_headers.
 
     ``records``: record_id, url, ts, kind ('response' or 'revisit'), status_code, headers
@@ -43,15 +61,14 @@ def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
     tags on both sides the last-modified dates agree), mismatch, unverifiable (no common validator), or
     no_base. Headers are merged only when resolved: the response's, with the permitted fields of the
     revisit in place of its own; names in lower case. Rows with a null url or ts have no base and are
-    no base. Repeated rows each count; an empty table gives an empty one.
+    no base. Repeated rows each count; an empty table gives an empty one. Records of one URL at the very
+    same time stay together in one task.
     """
-    low = F.map_from_entries(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", "status_code", low.alias("headers"))
+    rows = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", "status_code", _lower_names(F.col("headers")).alias("headers"))
     rows = rows.where("kind = 'revisit' OR (kind = 'response' AND status_code = 200)")
-    cuts = rows.agg(F.percentile_approx(F.col("ts").cast("double"), [n / slices for n in range(1, slices)], 1000)).first()[0]
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
     at = F.col("ts").cast("double")
-    rows = rows.withColumn("slice", F.size(F.filter(edges, lambda e: e < at)))
+    cuts, total = rows.agg(F.percentile_approx(at, [n / slices for n in range(slices + 1)], 1000), F.count("*")).first()
+    rows = rows.withColumn("slice", _slice(at, sorted(set(cuts or [])), max(1, -(-total // (slices * per_slice)))))
     base = F.when(F.col("kind") == "response", F.struct("record_id", "headers"))
     rows = saved(rows.withColumn("base", base))
 

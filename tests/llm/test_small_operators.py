@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -56,8 +57,31 @@ def test_transducer_keeps_little():
 
 def test_readable_text_comes_back():
     coder = bpe.coder(WORDS)
-    ids, _ = coder.encode("ünlü şehir 😀 it's")
-    assert coder.text(struct.unpack(f"<{len(ids) // 4}I", ids)).split() == ["ünlü", "şehir", "😀", "it", "'s"]
+    ids = coder.encode("ünlü şehir 😀 it's")
+    assert "".join(coder.decoded(ids, spaced=False)).split() == ["ünlü", "şehir", "😀", "it", "'s"]
+
+
+def test_decoder_holds_characters_until_they_are_whole():
+    coder = bpe.coder(WORDS)
+    ids = list(struct.unpack(f"<{len(raw) // 4}I", raw)) if (raw := coder.encode("𓀀 şşş 😀!" * 20)) else []
+    one, all_ = bpe.Decoder(coder.bytes), bpe.Decoder(coder.bytes)
+    parts = [one.push([i]) for i in ids]
+    assert "".join(parts) + one.finish() == all_.push(ids) + all_.finish() and "\ufffd" not in "".join(parts) and "" in parts
+    assert one.push([]) == "" and bpe.Decoder(coder.bytes).finish() == ""
+
+
+def test_bpe_odd_rows(spark):
+    rows = [(1, "one two"), (1, "one two"), (None, "x"), (2, None), (3, ""), (4, "\x1c\x1d"), (5, "long " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("own")).withColumn("n_tokens", F.lit(-1))
+    found = bpe.digest(docs, WORDS).collect()
+    library = Tokenizer.from_file(WORDS)
+    for (_, text), count in zip(rows, [2, 2, 1, 0, 0, None, 9000]):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        same = [r for r in found if r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()]
+        assert same and same[0].n_tokens == len(ids) and (count is None or len(ids) == count)
+        assert same[0].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert sorted(str(r.doc_id) for r in found) == ["1", "1", "2", "3", "4", "5", "None"]
+    assert bpe.encode(docs.limit(0), WORDS).count() == bpe.digest(docs.limit(0), WORDS).count() == 0
 
 
 def test_packing_is_whole_and_gapless(spark):
@@ -80,6 +104,32 @@ def test_packing_is_whole_and_gapless(spark):
         assert at <= 2048
 
 
+def test_packed_ids_are_those_of_the_library(spark):
+    library = Tokenizer.from_file(BYTES)
+    draw = random.Random(8)
+    bits = ["the", " ", "  ", "\n", "\t ", "it's", "İstanbul", "ĠĊ", "😀", "é", "\u00a0", "3.14", "!!", "<|endoftext|>", "　", "x" * 130, "\x1c", "don'T", "ﬁ", "a\u0301"]
+    texts = [*ODD, *("".join(draw.choice(bits) for _ in range(draw.randint(1, 60))) for _ in range(300)), " lead", "trail ", "x  y", "mixed case " * 900]
+    rows = packing.pack_documents(documents(spark, texts), BYTES).collect()
+    for r in rows:
+        ids = [*library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
+        assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+
+
+def test_packing_odd_rows_and_the_number_of_sequences(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string").withColumn("piece", F.lit("own"))
+    rows = packing.pack_documents(docs, BYTES).collect()
+    assert sorted((str(r.doc_id), r.length) for r in rows) == [("1", 3), ("1", 3), ("2", 1), ("None", 3)] and len({r.sequence_id for r in rows}) == 1
+    assert packing.pack_documents(docs.limit(0), BYTES).count() == 0
+    draw = random.Random(4)
+    many = documents(spark, ["w " * draw.randint(1, 2500) for _ in range(600)])
+    split = packing.pack_documents(many, BYTES, per_shard=100).collect()
+    lengths = sorted((r.length for r in split), reverse=True)
+    whole = len({s for s, _ in packing.best_fit(lengths, 2048)})
+    assert whole <= len({r.sequence_id for r in packing.pack_documents(many, BYTES).collect()}) <= whole  # one shard is one global packing
+    assert len({r.sequence_id for r in split}) <= whole + len(lengths) // 100 + 1  # at most about a sequence for each shard
+    assert whole <= -(-sum(lengths) // 2048) * 1.03 + 1
+
+
 def test_best_fit_finds_the_tightest():
     draw = random.Random(2)
     lengths = sorted((draw.randint(1, 50) for _ in range(400)), reverse=True)
@@ -110,6 +160,83 @@ def test_quality_learns(spark):
     assert quality.classify(documents(spark, texts).limit(0), labels.limit(0)).count() == 0
 
 
+def test_training_is_plain_ftrl():
+    """The sparse update against the same update written out over dense vectors."""
+    draw = np.random.default_rng(3)
+    examples = []
+    for k in range(60):
+        index = np.unique(draw.integers(0, 1 << quality.BITS, 12))
+        examples.append((index, draw.random(len(index)), int(k % 3 == 0)))
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.1
+    used = sorted({i for index, *_ in examples for i in index.tolist()})
+    place = {i: n for n, i in enumerate(used)}
+    z, n, last = [0.0] * (len(used) + 1), [0.0] * (len(used) + 1), len(used)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+    order = np.random.default_rng(11)
+    share = np.mean([y for *_, y in examples])
+    for _ in range(3):
+        for k in order.permutation(len(examples)):
+            index, value, y = examples[k]
+            x = {**{place[i]: v for i, v in zip(index.tolist(), value.tolist())}, last: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v * (0.5 / share if y else 0.5 / (1 - share))
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    found = quality.train(examples)
+    assert np.allclose([found[i] for i in used], [weight(place[i]) for i in used], atol=1e-5) and found[-1] == pytest.approx(weight(last), abs=1e-5)
+
+
+def test_quality_scores_are_sparse_dot_products(spark):
+    weights = np.random.default_rng(2).normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    texts = ["A few Words, a few words!", "long text " * 20000, None, "", "A few Words, a few words!"]
+    rows = [(1, texts[0]), (2, texts[1]), (3, None), (None, ""), (1, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(9))
+    found = sorted((str(r.doc_id), r.score) for r in quality.score(docs, weights).collect())
+    want = []
+    for key, text in rows:
+        counts = {}
+        for f in quality.features(text).tolist():
+            counts[f] = counts.get(f, 0) + 1
+        size = sum(c * c for c in counts.values()) ** 0.5
+        dot = sum(float(weights[f]) * c / size for f, c in counts.items()) + float(weights[-1])
+        want.append((str(key), 1 / (1 + np.exp(-dot))))
+    assert [k for k, _ in found] == sorted(k for k, _ in want) and np.allclose([s for _, s in found], [s for _, s in sorted(want)], atol=1e-5)
+
+
+def test_language_probabilities_pool_every_byte():
+    """States, labels and pooling against a plain loop over the bytes of each window."""
+    model = {k: v.astype(float) for k, v in langid.new_model(3).items()}
+    sig, H = lambda x: 1 / (1 + np.exp(-x)), langid.HIDDEN
+    texts = ["short", "é" * 70 + " a longer text that fills some windows " * 4, ""]
+    found = langid.document_probabilities(langid.new_model(3), texts)
+    for text, p in zip(texts, found):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), langid.WINDOW):
+            row = list(raw[at : at + langid.WINDOW]) + [langid.PAD] * max(0, at + langid.WINDOW - len(raw))
+            both = np.zeros((len(row), 2 * H))
+            for d, order in ((0, range(len(row))), (1, range(len(row) - 1, -1, -1))):
+                h, rec = np.zeros(H), model["rec"][d]
+                for t in order:
+                    x = model["in"][d][row[t]] + model["bias"][d]
+                    gate = sig(x[: 2 * H] + h @ rec[:, : 2 * H])
+                    h = (1 - gate[:H]) * h + gate[:H] * np.tanh(x[2 * H :] + (gate[H:] * h) @ rec[:, 2 * H :])
+                    both[t, d * H : (d + 1) * H] = h
+            for t in range(min(langid.WINDOW, len(raw) - at)):
+                e = np.exp(both[t] @ model["out"] + model["shift"])
+                total += e / e.sum()
+        assert np.allclose(p, total / len(raw) if len(raw) else 0, atol=1e-4)
+
+
+def test_language_odd_rows(spark):
+    model = langid.new_model(2)
+    docs = spark.createDataFrame([(1, "ab"), (1, "ab"), (2, "x " * 60000), (None, "q"), (3, "12 !"), (4, None)], "doc_id long, text string").withColumn("lang_pred", F.lit("own"))
+    found = langid.identify(docs, model, ["aa", "bb"]).collect()
+    assert sorted(str(r.doc_id) for r in found) == ["1", "1", "2", "3", "4", "None"] and all(0 <= r.lang_score <= 1 for r in found)
+    assert {r.doc_id: r.lang_pred for r in found if r.doc_id in (3, 4)} == {3: "und", 4: "und"} and len({r.lang_score for r in found if r.doc_id == 1}) == 1
+
+
 def test_language_learns(spark):
     draw = random.Random(1)
     say = lambda letters: " ".join("".join(draw.choice(letters) for _ in range(6)) for _ in range(30))
@@ -198,6 +325,45 @@ def test_vector_blocks_are_bounded_at_skew(spark, monkeypatch):
     assert sorted((r.vec_id, r.n_links) for r in found) == want
 
 
+def test_vectors_with_repeated_keys_and_other_lengths(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0, 1.0, 0.0], 0), (4, [2.0, 0.0, 2.0, 0.0], 0), (5, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.0], 0), (7, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("links", F.lit(1)).withColumn("first", F.lit(1))
+    found = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embeddings.near_duplicates(df).collect())
+    assert found == [("1", 0, "1", True), ("1", 1, "1", True), ("2", 1, "1", False), ("3", 1, "3", True), ("4", 1, "3", False), ("5", 0, "5", True), ("7", 0, "7", True), ("None", 0, "None", True)]
+
+
+def recall(rows, found, count=10):
+    good = {k: np.array(v, np.float32).astype(float) for k, v in rows}
+    keys, table = np.array(list(good)), np.array(list(good.values()))
+    hits = total = 0
+    for q in {r.query_id for r in found}:
+        far = np.sqrt(((table - good[q]) ** 2).sum(axis=1))
+        want = [int(k) for k in keys[np.lexsort([keys, far])] if k != q][:count]
+        hits += len(set(want) & {r.vec_id for r in found if r.query_id == q})
+        total += count
+    return hits / total
+
+
+def test_neighbours_in_shards_far_larger_than_the_search(spark):
+    draw = np.random.default_rng(12)
+    centres = draw.normal(size=(60, 24)) * 2
+    points = centres[draw.integers(0, 60, 6000)] + draw.normal(size=(6000, 24)) * 0.7
+    rows = [(k, [float(x) for x in p]) for k, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = hnsw.search(hnsw.index(df, per_shard=3000), df.where("vec_id % 100 = 0"), width=60).collect()  # 60 of 3,000 points kept
+    assert recall(rows, found) >= 0.95
+
+
+def test_neighbours_of_other_lengths_and_too_many(spark):
+    rows = [(k, [float(k), 1.0], 0) for k in range(30)] + [(100, [1.0, 2.0, 3.0], 0), (200, [], 0), (None, [1.0, 1.0], 0), (0, [0.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("ids", F.lit(1))
+    shards = hnsw.index(df)
+    found = hnsw.search(shards, df.where("vec_id % 100 = 0")).collect()
+    assert {r.query_id for r in found} == {0} and [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == list(range(1, 11))
+    with pytest.raises(ValueError):
+        hnsw.search(shards, df, count=11)
+
+
 def test_neighbours(spark):
     df, rows = vectors(spark)
     found = hnsw.search(hnsw.index(df, per_shard=90), df.where("vec_id % 10 = 0"), block=8).collect()
@@ -229,3 +395,32 @@ def test_revisits(spark):
     assert {k: (r.status, r.base_id) for k, r in found.items()} == {2: ("resolved", 1), 4: ("mismatch", 3), 5: ("no_base", None), 7: ("no_base", None), 8: ("no_base", None)}
     assert found[2].merged_headers == {"etag": 'W/"1"', "content-type": "t", "date": "d2"}
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_revisits_with_odd_headers_ties_and_repeats(spark):
+    rows = [
+        (1, "http://a.org/", 10, "response", 200, {"ETag": '"1"', "etag": '"1"', "Vary": "a", "vary": "b", "X": "old"}),
+        (2, "http://a.org/", 10, "response", 200, {"ETag": '"2"'}),
+        (3, "http://a.org/", 10, "revisit", 304, {"ETAG": '"2"', "Etag": '"2"'}),
+        (4, "http://a.org", 20, "revisit", 304, {"last-modified": "x"}),
+        (4, "http://a.org", 20, "revisit", 304, {"last-modified": "x"}),
+        (0, "http://a.org/", 10, "revisit", 304, {"etag": '"1"'}),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status_code int, headers map<string,string>").withColumn("slice", F.lit(1)).withColumn("base", F.lit(2))
+    for slices in (1, 2, 256):
+        found = sorted((r.record_id, r.status, r.base_id) for r in warc.resolve_revisits(df, slices, 2).collect())
+        assert found == [(0, "no_base", None), (3, "resolved", 2), (4, "unverifiable", 2), (4, "unverifiable", 2)]
+    first = warc.resolve_revisits(df.where("record_id <> 2 AND record_id <> 3").withColumn("headers", F.expr("CASE WHEN record_id = 4 THEN map('ETag', '\"1\"') ELSE headers END"))).where("record_id = 4").first()
+    assert first.merged_headers == {"etag": '"1"', "vary": "a, b", "x": "old"}
+
+
+def test_revisits_like_a_plain_search(spark):
+    draw = random.Random(6)
+    rows = [(k, f"http://h{draw.randint(0, 2)}.org/", draw.randint(0, 60), draw.choice(["response", "revisit"]), 200, {"etag": str(draw.randint(0, 3))}) for k in range(400)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status_code int, headers map<string,string>")
+    want = {}
+    for k, url, ts, kind, _, _ in rows:
+        if kind == "revisit":
+            earlier = [(t, j) for j, u, t, other, _, _ in rows if u == url and other == "response" and (t, j) < (ts, k)]
+            want[k] = max(earlier)[1] if earlier else None
+    assert {r.record_id: r.base_id for r in warc.resolve_revisits(df, 8, 10).collect()} == want
