@@ -40,6 +40,23 @@ def fold_turkish(texts: pd.Series) -> pd.Series:
     return texts.map(plain_folded, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalize_each(lists: pd.Series) -> pd.Series:
+    """``plain_normalized`` of every string of an array; nulls stay in place."""
+    return lists.map(lambda texts: [None if t is None else plain_normalized(t) for t in texts], na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def fold_each(lists: pd.Series) -> pd.Series:
+    """``plain_folded`` of every string of an array; nulls stay in place."""
+    return lists.map(lambda texts: [None if t is None else plain_folded(t) for t in texts], na_action="ignore")
+
+
+def turkish_year(at: Column) -> Column:
+    """The calendar year of a time in Turkey."""
+    return F.year(F.from_utc_timestamp(at, "Europe/Istanbul"))
+
+
 def word_set(normalized: Column, stop: Sequence[str] = vocab.STOP_WORDS, synonyms: Mapping[str, str] = vocab.SYNONYMS) -> Column:
     """Sorted distinct words of three letters or more of a normalised text, some read as others."""
     words = F.filter(F.split(normalized, " "), lambda w: (F.length(w) > 2) & ~w.isin(list(stop)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tanik.session import saved
 
 #: Words of a question that do not name its subject.
 QUESTION_WORDS = ("ne", "zaman", "mi", "mu", "aciklandi", "aciklandimi", "aciklanacak", "tarihi", "tarihleri", "nedir", "icin", "bu", "yil", "basliyor", "baslayacak")
@@ -12,13 +13,14 @@ QUESTION_WORDS = ("ne", "zaman", "mi", "mu", "aciklandi", "aciklandimi", "acikla
 def authority_match(subjects: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
     """(subject columns, source_id): sources that may speak on (topic_id, predicate, entity_id) now.
 
-    A rule with a null entity holds for all; its time range is half open. Rules are equi-joined on topic
-    and predicate.
+    A rule with a null entity holds for all; its time range is half open. Rules of one entity are joined
+    on it as well, so only rules for all entities meet every subject of their topic and predicate.
     """
     live = rules.where((F.col("status") == "active") & F.coalesce(F.col("valid_from") <= now, F.lit(True)) & F.coalesce(F.col("valid_until") > now, F.lit(True)))
-    live = live.select("topic_id", "predicate", F.col("subject_entity_id").alias("rule_entity"), "source_id")
-    matched = subjects.join(live, ["topic_id", "predicate"]).where(F.col("rule_entity").isNull() | (F.col("rule_entity") == F.col("entity_id")))
-    return matched.drop("rule_entity").distinct()
+    live = live.select("topic_id", "predicate", F.col("subject_entity_id").alias("entity_id"), "source_id").distinct()
+    own = subjects.join(live.where("entity_id IS NOT NULL"), ["topic_id", "predicate", "entity_id"])
+    all_ = subjects.join(live.where("entity_id IS NULL").drop("entity_id"), ["topic_id", "predicate"])
+    return own.select(*subjects.columns, "source_id").unionByName(all_.select(*subjects.columns, "source_id")).distinct()
 
 
 def evidence_bundles(facts: DataFrame, evidence: DataFrame, versions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -85,12 +87,33 @@ def answer_quality(answers: DataFrame) -> DataFrame:
     return answers.groupBy("state").agg(F.count("*").alias("answers"))
 
 
+def _third(length: Column, n: int) -> tuple[Column, Column]:
+    """(start from 1, length) of the n-th of three parts of a phrase of a length."""
+    size = F.floor(length / 3).cast("int")
+    return size * n + 1, (length - 2 * size if n == 2 else size).cast("int")
+
+
+def _parts_of_alias(alias: Column) -> Column:
+    length = F.length(alias)
+    parts = [F.struct(length.alias("of"), F.lit(n).alias("n"), F.substring(alias, *_third(length, n)).alias("text")) for n in range(3)]
+    return F.array(*parts)
+
+
+def _parts_of_query(phrase: Column) -> Column:
+    """The parts that an alias within two edits can share, for every length it can have."""
+    lengths = [F.length(phrase) + d for d in range(-2, 3)]
+    cut = lambda of, n, move: F.struct(of.alias("of"), F.lit(n).alias("n"), F.substring(phrase, _third(of, n)[0] + move, _third(of, n)[1]).alias("text"))
+    parts = [F.when((of >= 3) & (_third(of, n)[0] + move >= 1), cut(of, n, move)) for of in lengths for n in range(3) for move in range(-2, 3)]
+    return F.array_distinct(F.array_compact(F.array(*parts)))
+
+
 def resolve_queries(queries: DataFrame, aliases: DataFrame, default_year: int, stop: tuple[str, ...] = QUESTION_WORDS) -> DataFrame:
     """(normalized, resource, year, method, reason, suggestions) of distinct normalised queries.
 
     ``queries``: normalized. ``aliases``: resource, predicate, alias (normalised). Word counts must be
-    equal, so queries and aliases are joined on them; short words must be equal; up to two edits are
-    forgiven in eight letters or more. The best must reach 0.8 and lead by 0.08.
+    equal; short words must be equal; up to two edits are forgiven in eight letters or more. The best must
+    reach 0.8 and lead by 0.08. Two phrases within two edits share one of the three parts of either, moved
+    by two letters at most, so queries and aliases are joined on such parts and not pair by pair.
     """
     asked = queries.select("normalized").where("normalized IS NOT NULL").distinct()
     text = F.regexp_replace("normalized", r"\bzamam\b", "zaman")
@@ -99,9 +122,11 @@ def resolve_queries(queries: DataFrame, aliases: DataFrame, default_year: int, s
     asked = asked.select("normalized", text.alias("text"), years.alias("years"), words.alias("words"), F.array_join(words, " ").alias("phrase"))
     asked = asked.withColumn("vague", (F.col("text") == "") | (F.size("years") > 1) | F.col("text").rlike(r"\b(?:gecen|gelecek|onceki|sonraki)\b"))
     names = aliases.select("resource", "predicate", "alias", F.split("alias", " ").alias("alias_words"))
-    pairs = asked.where("NOT vague").withColumn("n", F.size("words")).join(names.withColumn("n", F.size("alias_words")), "n")
     longest = F.greatest(F.length("phrase"), F.length("alias"))
-    pairs = pairs.where(F.abs(F.length("phrase") - F.length("alias")) <= 2)
+    some = asked.where("NOT vague").select("normalized", "phrase", "words")
+    exact = some.join(names, F.col("phrase") == F.col("alias"))
+    near = some.select("normalized", "phrase", "words", F.explode(_parts_of_query(F.col("phrase"))).alias("part")).join(names.withColumn("part", F.explode(_parts_of_alias(F.col("alias")))), "part").drop("part")
+    pairs = exact.unionByName(near.where((F.size("words") == F.size("alias_words")) & (F.abs(F.length("phrase") - F.length("alias")) <= 2))).distinct()
     fixed = F.forall(F.arrays_zip(F.col("alias_words").alias("a"), F.col("words").alias("w")), lambda p: (F.length(p["a"]) > 3) | (p["a"] == p["w"]))
     edits = F.levenshtein("phrase", "alias", 2)
     score = F.when(F.col("phrase") == F.col("alias"), 1.0).when(fixed & (F.length("phrase") >= 8) & (edits >= 0), 1 - edits / longest)
@@ -171,20 +196,33 @@ def catalog_gaps(resources: DataFrame, entities: DataFrame, topics: DataFrame, r
     return gap(no_entity, "entity").unionByName(gap(no_topic, "topic")).unionByName(gap(no_rule, "authority"))
 
 
-def topic_cycles(topics: DataFrame, most: int = 32) -> DataFrame:
-    """(topic_id, depth, cycle): steps to the root of each topic, and whether its ancestors run in a circle.
+def topic_cycles(topics: DataFrame) -> DataFrame:
+    """(topic_id, depth, cycle): steps to the root of each topic, or a circle, which has no depth.
 
-    Every topic follows its parent; depth is bounded by ``most``, beyond which it is a circle.
+    ``topics``: topic_id, parent_id. Every topic jumps to the ancestor of its ancestor, so after k rounds
+    paths of 2**k steps are known; what has not reached a root after as many steps as there are topics
+    never will. A parent that is not in the table counts as a root's parent: the path ends there.
     """
-    parents = topics.select(F.col("topic_id").alias("at"), F.col("parent_id").alias("next"))
-    rows = topics.select("topic_id", F.col("topic_id").alias("at"), F.lit(0).alias("depth"))
-    rows.createOrReplaceTempView("_topic_start")
-    parents.createOrReplaceTempView("_topic_parent")
-    walk = rows.sparkSession.sql(f"""
-        WITH RECURSIVE walk MAX RECURSION LEVEL {most + 1} AS (
-          SELECT topic_id, at, depth FROM _topic_start
-          UNION ALL
-          SELECT w.topic_id, p.next, w.depth + 1 FROM walk w JOIN _topic_parent p ON p.at = w.at
-          WHERE p.next IS NOT NULL AND w.depth < {most})
-        SELECT * FROM walk""")
-    return walk.groupBy("topic_id").agg(F.max("depth").alias("depth")).withColumn("cycle", F.col("depth") >= most)
+    known = topics.select("topic_id", "parent_id").distinct()
+    own = known.select(F.col("topic_id").alias("up"))
+    paths = saved(known.join(own, F.col("parent_id") == F.col("up"), "left").select("topic_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    steps, most = 1, paths.count()
+    while steps <= most and not paths.where("up IS NOT NULL").isEmpty():
+        over = paths.select(F.col("topic_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        paths = saved(paths.join(over, "up", "left").select("topic_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        steps *= 2
+    cycle = F.col("up").isNotNull()
+    return paths.select("topic_id", F.when(~cycle, F.col("depth")).cast("int").alias("depth"), cycle.alias("cycle"))
+
+
+def canonical_path(group: Column, year: Column, event: Column) -> Column:
+    """The public path of an answer."""
+    return F.concat(F.lit("/"), F.concat_ws("/", group, year.cast("string"), event))
+
+
+def resource_for_route(routes: DataFrame, resources: DataFrame) -> DataFrame:
+    """Adds ``resource`` to routes (path): the resource (resource, group, event) with that path in any year, or null."""
+    part = lambda k: F.regexp_extract("path", "^/([^/]+)/((?:19|20|21)[0-9]{2})/([^/]+)$", k)
+    rows = routes.withColumn("_group", part(1)).withColumn("_event", part(3))
+    named = resources.select(F.col("group").alias("_group"), F.col("event").alias("_event"), "resource")
+    return rows.join(named, ["_group", "_event"], "left").drop("_group", "_event")

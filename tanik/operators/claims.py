@@ -69,3 +69,48 @@ def confidence_signals(reports: DataFrame, claims: DataFrame, entities: DataFram
     rows = rows.withColumn("raw", F.when(F.col("active_claims") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(0.0))
     weight = F.col("raw") * 0.5 + F.least("reports_last_hour", F.lit(10)) * 0.025 + F.least("updates_last_hour", F.lit(5)) * 0.025 + F.col("geographic_specificity") * 0.125
     return rows.select("event_id", "reports", "families", "unknown_origins", "official_reports", "active_claims", "supported_claims", "freshness", "reports_last_hour", "updates_last_hour", "contradictions", "geographic_specificity", "source_reliability", F.round("raw", 3).alias("score"), F.round(F.least(F.lit(1.0), weight), 3).alias("importance"))
+
+
+def claim_timeline(evidence: DataFrame) -> DataFrame:
+    """(event_id, report_id, predicate, scope, value, status, evidence, change): what each report changed.
+
+    ``evidence`` as above with ``position``, the report's place in its event. A claim changes with a
+    report if it is new, or its status or number of evidence rows differs from before. A piece of evidence
+    counts from its own report to the first report that supersedes it, so states are running sums over
+    these two moments, and a claim that others contradict turns where the number of live values passes one:
+    nothing is replayed, and no event is gathered in one task. correction_as_of is a row's as_of or null.
+    """
+    group, claim = ("event_id", "predicate", "scope"), ("event_id", "predicate", "scope", "value")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    never = F.lit(1 << 60)
+    later = lambda by, order: W.partitionBy(*by).orderBy(order).rangeBetween(1, W.unboundedFollowing)
+    rows = evidence.withColumn("seen", micros("discovered_at")).withColumn("told", micros("as_of"))
+    fixing = F.when(F.col("correction") & F.col("correction_as_of").isNotNull(), F.col("position"))
+    revised = F.min("position").over(later(("event_id", "key"), "seen"))
+    fixed = F.min(fixing).over(later(BY_FAMILY, "told"))
+    rows = rows.withColumn("until", F.least(F.coalesce(revised, never), F.coalesce(fixed, never)))
+    official = F.col("official_version_id").isNotNull()
+    lives = F.col("until") > F.col("position")
+    moment = lambda at, e, sign: F.struct(at.alias("at"), F.lit(e).alias("evidence"), F.when(lives, F.lit(sign)).otherwise(0).alias("active"), F.when(lives & official, F.lit(sign)).otherwise(0).alias("official"))
+    moments = rows.select(*claim, "family", F.explode(F.array(moment(F.col("position").cast("long"), 1, 1), moment(F.col("until").cast("long"), 0, -1))).alias("m")).where(F.col("m.at") < never).select(*claim, "family", "m.*")
+    # families count while any of their evidence does
+    by_family = moments.groupBy(*claim, "family", "at").agg(*[F.sum(c).alias(c) for c in ("evidence", "active", "official")])
+    held = F.sum("active").over(W.partitionBy(*claim, "family").orderBy("at"))
+    by_family = by_family.withColumn("now", held).withColumn("families", (F.col("now") > 0).cast("int") - ((F.col("now") - F.col("active")) > 0).cast("int"))
+    steps = by_family.groupBy(*claim, "at").agg(*[F.sum(c).alias(c) for c in ("evidence", "active", "official", "families")])
+    running = W.partitionBy(*claim).orderBy("at")
+    states = steps.select(*claim, "at", *[F.sum(c).over(running).alias(c) for c in ("evidence", "active", "official", "families")])
+    turned = states.withColumn("live", (F.col("active") > 0).cast("int")).withColumn("live", F.col("live") - F.coalesce(F.lag("live").over(running), F.lit(0)))
+    counts = turned.groupBy(*group, "at").agg(F.sum("live").alias("turned"))
+    counts = counts.withColumn("rivals", F.sum("turned").over(W.partitionBy(*group).orderBy("at")))
+    # moments at which the whole group begins or ends to contradict itself concern all of its claims
+    split = counts.where(((F.col("rivals") > 1) != ((F.col("rivals") - F.col("turned")) > 1))).select(*group, "at")
+    every = states.unionByName(states.select(*claim).distinct().join(split, list(group)).join(states.select(*claim, "at"), [*claim, "at"], "left_anti"), allowMissingColumns=True)
+    filled = every.select(*claim, "at", *[F.last(c, True).over(running).alias(c) for c in ("evidence", "active", "official", "families")]).where("evidence > 0")
+    known = filled.join(counts.select(*group, "at", "rivals"), [*group, "at"])
+    status = F.when(F.col("active") == 0, "superseded").when(F.col("rivals") > 1, "conflicting").when((F.col("families") >= 2) | (F.col("official") > 0), "supported").otherwise("weakly_supported")
+    known = known.withColumn("status", status)
+    before = F.struct(F.lag("status").over(running).alias("status"), F.lag("evidence").over(running).alias("evidence"))
+    changed = known.withColumn("before", before).where(~F.equal_null("before.status", "status") | ~F.equal_null("before.evidence", "evidence"))
+    places = rows.groupBy("event_id", F.col("position").cast("long").alias("at")).agg(F.min("report_id").alias("report_id"))
+    return changed.join(places, ["event_id", "at"]).select("event_id", "report_id", "predicate", "scope", "value", "status", "evidence", F.concat_ws(":", "predicate", "status").alias("change"))

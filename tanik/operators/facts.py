@@ -268,8 +268,25 @@ def replay_reviews(facts: DataFrame, actions: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).select("fact_id", "end.status", "end.refused")
 
 
-def fact_snapshot(facts: DataFrame, evidence: DataFrame, entities: list[str], year: str) -> DataFrame:
-    """Facts of some entities and a year, each with its evidence as a sorted array."""
-    chosen = facts.where(F.col("subject_entity_id").isin(entities) & (F.col("reference_period") == year))
-    bundled = evidence.join(chosen.select(F.col("id").alias("fact_id")), "fact_id", "left_semi").groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("version_id", "quote"))).alias("evidence"))
-    return chosen.join(bundled, chosen.id == bundled.fact_id, "left").drop("fact_id")
+def fact_snapshot(facts: DataFrame, evidence: DataFrame, entities: list[str] | None = None, year: str | None = None, versions: DataFrame | None = None, validations: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
+    """Facts of some entities and a year (or all), each with what it rests on as sorted arrays.
+
+    ``evidence``: fact_id, version_id, quote; ``versions``: version_id, document_id; ``validations``:
+    fact_id, decision; ``history``: fact_id, at, action. Adds columns evidence, versions (with their
+    documents), validations and history; an empty array where there is nothing.
+    """
+    chosen = facts
+    if entities is not None:
+        chosen = chosen.where(F.col("subject_entity_id").isin(entities))
+    if year is not None:
+        chosen = chosen.where(F.col("reference_period") == year)
+    mine = chosen.select(F.col("id").alias("fact_id"))
+    parts = [("evidence", evidence, ("version_id", "quote"))]
+    if versions is not None:
+        parts.append(("versions", evidence.select("fact_id", "version_id").distinct().join(versions, "version_id"), ("version_id", "document_id")))
+    parts += [(name, rows, columns) for name, rows, columns in (("validations", validations, ("decision",)), ("history", history, ("at", "action"))) if rows is not None]
+    out = chosen
+    for name, rows, columns in parts:
+        listed = rows.join(mine, "fact_id", "left_semi").groupBy(F.col("fact_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(listed, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+    return out

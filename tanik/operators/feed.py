@@ -40,11 +40,17 @@ def list_public_events(events: DataFrame, source: str | None = None, most: int =
     return rows.orderBy(F.desc_nulls_last("published_at"), "event_id").limit(most)
 
 
-def recent_activity(logs: dict[str, DataFrame], before: Column, most: int = 50) -> DataFrame:
-    """(log, id, at): the newest ``most`` rows of each log before a time, for paging by the last row's time."""
+def recent_activity(logs: dict[str, DataFrame], before: Column, most: int = 50, before_id: dict[str, Column] | None = None) -> DataFrame:
+    """(log, id, at): the newest ``most`` rows of each log before a time, newest first.
+
+    The next page starts at the last row's time and id (``before_id``: of each log), so rows that
+    share a time at the border of two pages are shown once each.
+    """
     out = None
     for name, rows in logs.items():
-        page = rows.where(F.col("at") < before).orderBy(F.desc("at"), F.desc("id")).limit(most).select(F.lit(name).alias("log"), F.col("id").cast("string").alias("id"), "at")
+        last = (before_id or {}).get(name)
+        older = F.col("at") < before
+        page = rows.where(older if last is None else older | ((F.col("at") == before) & (F.col("id") < last))).orderBy(F.desc("at"), F.desc("id")).limit(most).select(F.lit(name).alias("log"), F.col("id").cast("string").alias("id"), "at")
         out = page if out is None else out.unionByName(page)
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tanik.functions.ids import json_hash
 from tanik.functions.text import normalize_content
 
 DOCUMENT = ("source_id", "canonical_url")
@@ -17,6 +18,11 @@ def fingerprint(title: Column, text: Column, mime: Column, kind: Column, publish
     return F.when(F.length(body) > 0, F.sha2(F.to_json(parts), 256))
 
 
+def extraction_key(version: Column, provider: Column, model: Column, most: Column, prompt: Column, ontology: Column, validator: Column) -> Column:
+    """Identity of an extraction: the same version read the same way is the same work."""
+    return json_hash(version, provider, model, most, prompt, ontology, validator)
+
+
 def reject_stale(observations: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Adds ``accepted``: false where a fetch is older than one already accepted for its document."""
     before = W.partitionBy(*DOCUMENT).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tanik.functions import spans
-from tanik.functions.ids import quote_matches
+from tanik.functions.ids import quote_matches, utf16_length
 from tanik.functions.text import agency_hint, fold_turkish, normalize_query, normalize_text, parse_news_date, private_summary, read_number
 from tanik.operators import answers, facts as fact_jobs, feed, pairs
 from tanik.plans import shapes
-from tanik.plans.news import features
+from tanik.plans.news import PAIRS, features
 from tanik.plans.query import query
 from tanik.plans.shapes import START, at_minutes, now
 from tanik.session import saved, table
@@ -54,7 +54,7 @@ def b3_robots(spark, sf):
 
 @query("""SELECT problem, count(*) AS n FROM (SELECT 'duplicate_source_slug' AS problem FROM supplier GROUP BY s_nationkey HAVING count(*) > 1 UNION ALL SELECT 'duplicate_hostname' FROM supplier WHERE false) GROUP BY 1
 UNION ALL SELECT 'orphan_host', count(*) FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey <> 0 HAVING count(*) > 0 UNION ALL SELECT 'not_government_host', count(*) FROM supplier WHERE s_suppkey % 4 = 0 HAVING count(*) > 0
-UNION ALL SELECT 'active_endpoint_of_inactive_source', count(*) FROM supplier WHERE s_acctbal < 0 AND s_suppkey % 5 <> 0 HAVING count(*) > 0""")
+UNION ALL SELECT 'active_endpoint_of_inactive_source', count(*) FROM supplier WHERE s_acctbal < 0 AND s_suppkey % 5 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'endpoint_outside_hosts', count(*) FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 5 <> 0 HAVING count(*) > 0""")
 def b15_registry_problems(spark, sf):
     rows = table(spark, sf, "supplier")
     sources = rows.select(F.col("s_suppkey").alias("source_id"), F.col("s_nationkey").alias("slug"), F.when(F.col("s_acctbal") < 0, "inactive").otherwise("active").alias("status"))
@@ -62,33 +62,57 @@ def b15_registry_problems(spark, sf):
     hosts = rows.select(F.when(F.col("s_suppkey") % 5 == 0, -F.col("s_suppkey")).otherwise(F.col("s_suppkey")).alias("source_id"), name.alias("hostname"), F.lit(False).alias("include_subdomains"), F.lit("active").alias("status"))
     points = rows.where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("endpoint_id"), F.col("s_suppkey").alias("source_id"), F.col("s_suppkey").alias("slug"), F.concat(F.lit("https://"), name, F.lit("/x")).alias("url"), F.lit("active").alias("status"))
     found = urls.registry_problems(sources, hosts, points)
-    return found.where("problem <> 'endpoint_outside_hosts'").groupBy("problem").agg(F.count("*").alias("n"))
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^HTTP', 'http') AS canonical_url, CASE WHEN false THEN '' END AS problem FROM pages""")
+#: Text of a piece of a page in SQL: no tags, entities read, white space as one space.
+_PLAIN = "trim(regexp_replace(html_unescape(regexp_replace(regexp_replace({0}, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')), '\\s+', ' ', 'g'))".replace("html_unescape(", "replace(replace(replace(").replace("'', 'g'))", "'', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')", 1)
+_BLOCKS = f"""art AS (SELECT page_id, url, html, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS head, list_filter(list_transform(string_split(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<p>')[2:], lambda x: {_PLAIN.format("string_split(x, '</p>')[1]")}), lambda x: x <> '') AS paras FROM pages)"""
+
+
+@query(rf"""WITH {_BLOCKS}, t AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^HTTP', 'http') AS canonical_url, {_PLAIN.format('head')} AS title, array_to_string(paras, chr(10)) AS text FROM art)
+SELECT page_id, canonical_url, title, md5(text) AS text_md5, length(text)::BIGINT AS n, CASE WHEN length(text) < 40 THEN 'article_parser_drift' END AS problem, strftime({START} + to_minutes(page_id), '%Y-%m-%d %H:%M') AS discovered, sha256('["' || page_id || '",' || to_json(canonical_url) || ']') AS key FROM t""")
 def a8_parse_articles(spark, sf):
     rows = _pages(spark, sf).select("page_id", F.col("page_id").cast("string").alias("source_id"), "url", F.col("html").alias("body"), at_minutes(F.col("page_id")).alias("checked_at"))
-    out = html.parse_articles(rows).select(F.col("source_id").cast("long").alias("page_id"), "canonical_url", "problem")
-    return out.withColumn("problem", F.when(F.col("problem") != "article_parser_drift", F.col("problem")))
+    out = html.parse_articles(rows)
+    return out.select(F.col("source_id").cast("long").alias("page_id"), "canonical_url", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n"), "problem", F.date_format("discovered_at", "yyyy-MM-dd HH:mm").alias("discovered"), "key")
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '<a\s+href="[^"]*"'))::BIGINT AS links FROM pages""")
+@query(rf"""WITH {_BLOCKS}, b AS (SELECT page_id, html, list_concat(list_filter(list_transform(regexp_extract_all(split_part(html, '<article>', 2), '<h1>(.*?)</h1>', 1, 's'), lambda x: {_PLAIN.format('x')}), lambda x: x <> ''), paras) AS t FROM art)
+SELECT page_id, array_to_string(t, chr(10)) AS raw_text, len(t)::BIGINT AS blocks, coalesce(list_sum(list_transform(t, lambda x: length(x))), 0)::BIGINT AS letters, array_to_string(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1), ' ') AS links FROM b""")
 def a9_parse_blocks(spark, sf):
+    """Blocks of the article itself; the length of each is that of its place in the text."""
     rows = html.parse_blocks(_pages(spark, sf).select("page_id", F.col("html").alias("body")))
-    return rows.select("page_id", F.size("links").cast("long").alias("links"))
+    same = F.forall("blocks", lambda b: F.substring(F.col("raw_text"), b["start"] + 1, b["end"] - b["start"]) == b["text"])
+    letters = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["end"] - b["start"])
+    return rows.select("page_id", "raw_text", F.size("blocks").cast("long").alias("blocks"), F.when(same, letters).alias("letters"), F.array_join("links", " ").alias("links"))
 
 
-@query(None)
+@query(r"""WITH l AS (SELECT url, list_distinct(list_filter(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1), lambda x: regexp_full_match(x, '/[a-zA-Z]+'))) AS p FROM pages)
+SELECT url AS page_url, lower(regexp_extract(url, '^[A-Za-z]+://[^/]*')) || unnest(CASE WHEN len(p) = 0 THEN [NULL] ELSE p END) AS url, NULL::VARCHAR AS next FROM l""")
 def a10_parse_listing(spark, sf):
     return html.parse_listing(_pages(spark, sf).select("url", F.col("html").alias("body")), "^/[a-zA-Z]+$")
 
 
-@query(f"""SELECT page_id, 'https://x.example.org/' || page_id AS url, strftime({START} + to_minutes(page_id), '%Y-%m-%d %H:%M') AS published_at FROM pages""")
+@query(f"""WITH k AS (SELECT page_id, ['rss', 'atom', 'news_sitemap', 'sitemap', 'index'][page_id % 5 + 1] AS kind, {START} + to_minutes(page_id) AS t FROM pages),
+i AS (SELECT page_id, kind, unnest(CASE WHEN kind = 'index' THEN ['item', 'next'] WHEN kind = 'sitemap' THEN ['item', 'feed'] ELSE ['item'] END) AS role, t FROM k WHERE page_id % 11 <> 0)
+SELECT page_id, role, 'https://x.example.org/' || CASE role WHEN 'item' THEN 'a' WHEN 'next' THEN 'next' ELSE 'more' END || page_id AS url, CASE WHEN kind IN ('rss', 'atom', 'news_sitemap') THEN strftime(t, '%Y-%m-%d %H:%M') END AS published_at FROM i
+UNION ALL SELECT page_id, 'parser_drift', NULL, NULL FROM k WHERE page_id % 11 = 0""")
 def a7_parse_feeds(spark, sf):
-    at = F.date_format(at_minutes(F.col("page_id")), "dd MMM yyyy HH:mm:ss")
-    body = F.concat(F.lit("<rss><channel><item><title>t</title><link>https://x.example.org/"), F.col("page_id").cast("string"), F.lit("</link><pubDate>Mon, "), at, F.lit(" GMT</pubDate></item></channel></rss>"))
-    rows = _pages(spark, sf).select(F.col("page_id").cast("string").alias("source_id"), F.lit("https://x.example.org/feed").alias("url"), F.lit("rss").alias("kind"), body.alias("body"))
-    return html.parse_feeds(rows).select(F.col("source_id").cast("long").alias("page_id"), "url", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
+    """Each page's own feed in one of five forms, in which its item comes twice; one in eleven is empty."""
+    key, at = F.col("page_id").cast("string"), at_minutes(F.col("page_id"))
+    link, iso = F.concat(F.lit("https://x.example.org/a"), key), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rss = F.concat(F.lit("<item><link>"), link, F.lit("</link><pubDate>Mon, "), F.date_format(at, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    atom = F.concat(F.lit('<entry><link rel="alternate" href="'), link, F.lit('"/><updated>'), iso, F.lit("</updated></entry>"))
+    news = F.concat(F.lit("<url><loc>"), link, F.lit("</loc><news:publication_date>"), iso, F.lit("</news:publication_date></url>"))
+    plain = F.concat(F.lit("<url><loc>"), link, F.lit("</loc><lastmod>"), iso, F.lit("</lastmod></url>"))
+    more = F.concat(F.lit("<sitemap><loc>https://x.example.org/more"), key, F.lit("</loc></sitemap>"))
+    after = F.concat(F.lit('<link rel="next" href="/next'), key, F.lit('">'))
+    forms = F.array(F.concat(rss, rss), F.concat(atom, atom), F.concat(news, news), F.concat(plain, plain, more), F.concat(F.lit('<a href="/a'), key, F.lit('">t</a><a href="/a'), key, F.lit('#part">u</a>'), after))
+    kind = (F.col("page_id") % 5 + 1).cast("int")
+    body = F.when(F.col("page_id") % 11 == 0, F.lit("")).otherwise(F.element_at(forms, kind))
+    rows = _pages(spark, sf).select(key.alias("source_id"), F.lit("https://x.example.org/feed").alias("url"), F.element_at(F.array(*[F.lit(k) for k in ("rss", "atom", "news_sitemap", "sitemap", "index")]), kind).alias("kind"), body.alias("body"))
+    return html.parse_feeds(rows).select(F.col("source_id").cast("long").alias("page_id"), "role", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
 
 
 @query("SELECT count(DISTINCT sha256(html)) AS artifacts, count(*) AS links FROM pages WHERE strlen(html) BETWEEN 1 AND 10000000")
@@ -115,18 +139,26 @@ def a4_new_reports(spark, sf):
     return report_jobs.new_reports(rows.unionAll(rows.where("doc_id % 2 = 1")), rows.where("doc_id % 4 = 0")).agg(F.count("*").alias("new_rows"))
 
 
-@query("""SELECT lpad(doc_id::VARCHAR, 9, '0') AS id FROM documents WHERE doc_id % 3 <> 0 AND doc_id * 5 BETWEEN 600 AND 3000 AND source <> 'src0' ORDER BY doc_id LIMIT 100""")
+def _middle(rows):
+    """The middle half of the table's own range of times."""
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = low or 0, high or 0
+    return at_minutes(F.lit((low * 3 + high) // 4 * 5)), at_minutes(F.lit((low + high * 3) // 4 * 5))
+
+
+@query("""SELECT lpad(doc_id::VARCHAR, 9, '0') AS id FROM documents WHERE doc_id % 3 <> 0 AND doc_id BETWEEN (SELECT (min(doc_id) * 3 + max(doc_id)) // 4 FROM documents) AND (SELECT (min(doc_id) + max(doc_id) * 3) // 4 FROM documents) AND source <> 'src0' ORDER BY doc_id LIMIT 100""")
 def a3_scan_reports(spark, sf):
     rows = _reports(spark, sf).withColumn("id", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     done = rows.where("doc_id % 3 = 0").select(F.lit("main").alias("namespace"), F.col("id").alias("report_id"))
     names = [f"src{k}" for k in range(1, 40)]
-    return report_jobs.scan_reports(rows, done, "main", at_minutes(F.lit(600)), at_minutes(F.lit(3000)), names, 100).select("id")
+    start, end = _middle(rows)
+    return report_jobs.scan_reports(rows, done, "main", start, end, names, 100).select("id")
 
 
-@query("""SELECT source_id, sum(n)::BIGINT AS n FROM (SELECT source AS source_id, count(*) FILTER (doc_id % 5 = 0 OR doc_id * 5 BETWEEN 600 AND 3000) AS n FROM documents GROUP BY 1) GROUP BY 1 HAVING sum(n) > 0""")
+@query("""SELECT source_id, sum(n)::BIGINT AS n FROM (SELECT source AS source_id, count(*) FILTER (doc_id % 5 = 0 OR doc_id BETWEEN (SELECT (min(doc_id) * 3 + max(doc_id)) // 4 FROM documents) AND (SELECT (min(doc_id) + max(doc_id) * 3) // 4 FROM documents)) AS n FROM documents GROUP BY 1) GROUP BY 1 HAVING sum(n) > 0""")
 def b4_publication_range(spark, sf):
     rows = _reports(spark, sf).withColumn("published_at", F.when(F.col("doc_id") % 5 != 0, F.col("published_at")))
-    return report_jobs.publication_range(rows, at_minutes(F.lit(600)), at_minutes(F.lit(3000))).groupBy("source_id").agg(F.count("*").alias("n"))
+    return report_jobs.publication_range(rows, *_middle(rows)).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT 'official:h' || (o_custkey % 10) AS source_id, 'https://d/' || o_orderkey AS canonical_url FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0 AND o_custkey % 4 <> 0 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100""")
@@ -146,23 +178,30 @@ def g1_union_reports(spark, sf):
     return report_jobs.union_reports(web, official).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(None)
-def h11_analyze(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", spans.analyze(F.substring("text", 1, 80), F.col("text")).alias("a"))
-    return rows.select("doc_id", "a.kind", F.size("a.claims").alias("claims"), F.size("a.entities").alias("entities"))
+_LETTERS = "trim(regexp_replace(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query("SELECT doc_id, true AS exact FROM documents WHERE regexp_matches(text, '[^\\n.!?]{35,}[.!?]') AND false")
-def h14_quotes_exact(spark, sf):
-    """Rows would be quotes that are not exactly a slice of their text: there are none."""
-    rows = table(spark, sf, "documents").select("doc_id", "text", F.explode(spans.extract_quotes(F.substring("text", 1, 80), F.col("text"))).alias("q"))
-    return rows.where(~quote_matches(F.col("text"), F.col("q.quote"), F.col("q.start"), F.col("q.end"))).select("doc_id", F.lit(True).alias("exact"))
+@query(f"""WITH p AS (SELECT doc_id, 'Birinci haber ' || doc_id || ' numaradan bildirildi bugün.' AS a, 'İkinci 😀 haber de 3.' || doc_id || ' saatte buradan geldi!' AS b, {_LETTERS} AS w FROM documents),
+q AS (SELECT doc_id, unnest([a, b, CASE WHEN length(w) + 1 >= 35 THEN w || '.' END]) AS quote, unnest([0, length(a) + 1, length(a) + length(b) + 10]) AS "start" FROM p)
+SELECT doc_id, md5(quote) AS quote, "start" + 0 AS "start", "start" + length(quote) + CASE WHEN contains(quote, '😀') THEN 1 ELSE 0 END AS "end" FROM q WHERE quote IS NOT NULL""")
+def h14_extract_quotes(spark, sf):
+    """Two written sentences, the first once more, a short one, and the words of the whole text as a last sentence."""
+    key = F.col("doc_id").cast("string")
+    one, two = F.concat(F.lit("Birinci haber "), key, F.lit(" numaradan bildirildi bugün.")), F.concat(F.lit("İkinci 😀 haber de 3."), key, F.lit(" saatte buradan geldi!"))
+    words = F.trim(F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z ]", " "), " +", " "))
+    text = F.concat(one, F.lit(" "), two, F.lit(" Kısa.\n "), words, F.lit(". "), one)
+    rows = table(spark, sf, "documents").select("doc_id", text.alias("t")).select("doc_id", "t", F.explode(spans.extract_quotes(F.lit("Birinci"), F.col("t"))).alias("q"))
+    exact = quote_matches(F.col("t"), F.col("q.quote"), F.col("q.start"), F.col("q.end"))
+    return rows.select("doc_id", F.when(exact, F.md5(F.col("q.quote").cast("binary"))).alias("quote"), "q.start", "q.end")
 
 
-@query("SELECT doc_id, md5(text) AS joined FROM documents")
+@query(r"""SELECT doc_id, md5('bkz. (https://x.org/' || doc_id || '/a(b)), ' || text || ' www.b' || doc_id % 7 || '.org/c. me@www.d.org') AS joined, array_to_string(list_concat(['https://x.org/' || doc_id || '/a(b)'], ['https://www.b' || doc_id % 7 || '.org/c']), ' ') AS links FROM documents""")
 def h15_text_links(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", spans.text_links("text").alias("parts"))
-    return rows.select("doc_id", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "").cast("binary")).alias("joined"))
+    """Two links around the whole text: one in brackets, one that names no scheme; an address is no link."""
+    key = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("bkz. (https://x.org/"), key, F.lit("/a(b)), "), F.col("text"), F.lit(" www.b"), (F.col("doc_id") % 7).cast("string"), F.lit(".org/c. me@www.d.org"))
+    rows = table(spark, sf, "documents").select("doc_id", spans.text_links(text).alias("parts"))
+    return rows.select("doc_id", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "").cast("binary")).alias("joined"), F.array_join(F.transform("parts", lambda p: p["href"]), " ").alias("links"))
 
 
 @query("""SELECT o_orderkey AS document_id, (o_custkey % 9 + 1)::BIGINT AS windows FROM orders""")
@@ -213,11 +252,13 @@ def b9_check_fact_values(spark, sf):
     return fact_jobs.check_fact_values(rows.withColumn("value", value)).select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), "valid")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'version_mismatch' WHEN doc_id % 3 = 0 THEN 'evidence_not_found_in_raw_text' END AS error FROM documents WHERE length(text) > 40""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'version_mismatch' WHEN doc_id % 3 = 0 THEN 'evidence_not_found_in_raw_text' END AS error FROM documents""")
 def b12_validate_evidence(spark, sf):
-    rows = table(spark, sf, "documents").where(F.length("text") > 40)
-    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 3, 8), F.lit("~"))).otherwise(F.substring("text", 3, 9))
-    rows = rows.select("doc_id", F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("doc_id")).alias("fact_version_id"), F.col("doc_id").alias("version_id"), F.col("text").alias("raw_text"), quote.alias("quote"), F.lit(2).alias("start"), F.lit(11).alias("end"))
+    rows = table(spark, sf, "documents").withColumn("text", F.concat(F.lit("😀 "), F.col("text"), F.lit(" son kelime")))
+    whole = F.substring("text", 3, 1 << 30)
+    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(whole, F.lit("~"))).otherwise(whole)
+    length = utf16_length(F.col("text"))
+    rows = rows.select("doc_id", F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("doc_id")).alias("fact_version_id"), F.col("doc_id").alias("version_id"), F.col("text").alias("raw_text"), quote.alias("quote"), F.lit(3).alias("start"), length.alias("end"))
     return fact_jobs.validate_evidence(rows).select("doc_id", "error")
 
 
@@ -266,8 +307,26 @@ def j6_answer_news(spark, sf):
     return feed.answer_news(said, editions).select("resource", "year", F.col("edition_id").cast("string").alias("edition_id"))
 
 
-@query(None)
+_NOW = "TIMESTAMP '1996-06-01 00:00:00'"
+_ANSWERS = f"""{shapes.FACTS}, {shapes.RULES}, live AS (SELECT * FROM rules WHERE status = 'active' AND coalesce(valid_from <= {_NOW}, true) AND coalesce(valid_until > {_NOW}, true)),
+asked AS (SELECT DISTINCT subject_entity_id AS e, topic_id AS t, predicate AS p, reference_period AS y FROM facts),
+may AS (SELECT DISTINCT asked.*, source_id FROM asked JOIN live ON topic_id = t AND predicate = p AND (subject_entity_id IS NULL OR subject_entity_id = e)),
+told AS (SELECT m.e, m.t, m.p, m.y, f.* FROM may m JOIN facts f ON f.subject_entity_id = m.e AND f.topic_id = m.t AND f.predicate = m.p AND f.reference_period = m.y AND f.authority_source_id = m.source_id),
+g AS (SELECT e, t, p, y, count(DISTINCT value) FILTER (status IN ('verified', 'published')) AS vals, count(*) FILTER (status = 'published') AS pub, count(*) FILTER (status = 'published' AND valid_until <= {_NOW}) AS ended, count(*) FILTER (status = 'superseded') AS gone,
+  arg_max({{'id': id, 'value': value, 'at': verified_at, 'day': created_at::DATE}}, (verified_at, id)) FILTER (status = 'published') AS best FROM told GROUP BY ALL),
+w AS (SELECT e, t, p, y, bool_and(source_id % 2 = 0) AS complete FROM may GROUP BY ALL),
+answers AS (SELECT e || '-' || t || '-' || p AS resource, y AS year, CASE WHEN coalesce(vals, 0) > 1 THEN 'needs_review' WHEN pub > 0 AND best.day > DATE '1996-06-01' THEN 'future_announced' WHEN pub > 0 AND best.day < DATE '1996-06-01' THEN 'expired' WHEN pub > 0 THEN 'current'
+    WHEN coalesce(pub, 0) > 0 AND pub = ended THEN 'expired' WHEN coalesce(gone, 0) > 0 AND pub = 0 THEN 'superseded' WHEN w.e IS NOT NULL AND complete AND coalesce(pub, 0) = 0 THEN 'monitored_absence' ELSE 'no_verified_fact' END AS state,
+  CASE WHEN pub > 0 AND vals = 1 THEN best.id END AS fact_id, CASE WHEN pub > 0 AND vals = 1 THEN best.value END AS value, CASE WHEN pub > 0 AND vals = 1 THEN strftime(best.at, '%Y-%m-%d') END AS verified, CASE WHEN pub > 0 AND vals = 1 THEN false ELSE w.e IS NULL END AS stale
+  FROM asked LEFT JOIN g USING (e, t, p, y) LEFT JOIN w USING (e, t, p, y))"""
+
+
+@query(f"WITH {_ANSWERS} SELECT resource, year, state, fact_id, value, verified, stale FROM answers")
 def j3_resolve_answers(spark, sf):
+    return _answers(spark, sf).withColumn("verified", F.date_format("verified_at", "yyyy-MM-dd")).drop("verified_at")
+
+
+def _answers(spark, sf):
     rows = saved(shapes.facts(spark, sf))
     asked = rows.select("subject_entity_id", "topic_id", "predicate", "reference_period").distinct().select(F.concat_ws("-", "subject_entity_id", "topic_id", "predicate").alias("resource"), F.col("subject_entity_id").alias("entity_id"), "topic_id", "predicate", F.col("reference_period").alias("year"))
     day = F.to_date("created_at")
@@ -276,15 +335,18 @@ def j3_resolve_answers(spark, sf):
     return answers.resolve_answers(asked, shapes.rules(spark, sf), rows, ready, points, F.expr("TIMESTAMP '1996-06-01 00:00:00'"))
 
 
-@query(None)
+@query(f"""WITH {_ANSWERS} SELECT state, count(*) AS answers FROM answers GROUP BY 1""")
 def d14_answer_quality(spark, sf):
-    return answers.answer_quality(j3_resolve_answers(spark, sf))
+    return answers.answer_quality(_answers(spark, sf))
 
 
-@query(None)
+@query(f"""WITH {PAIRS} SELECT a, b, round(score, 6) AS score, CASE WHEN score = 1 AND same THEN 'same_logical_report' WHEN h <= 6 AND na >= 15 AND nb >= 15 AND copy >= 0.85 THEN 'syndicated_body,time_hours:' || printf('%.2f', h::DOUBLE)
+  ELSE CASE WHEN spec THEN 'shared_distinctive_entity,' ELSE '' END || 'time_hours:' || printf('%.2f', h::DOUBLE) || ',lexical' END AS reasons FROM s JOIN q USING (a, b) WHERE score >= 0.7""")
 def c12_explain_pairs(spark, sf):
+    """Why reports belong together; the measure of common words is compared by the score."""
     rows = saved(features(spark, sf))
-    return pairs.score_pairs(pairs.candidate_pairs(rows), rows).withColumn("reasons", F.array_join("reasons", ","))
+    told = pairs.score_pairs(pairs.candidate_pairs(rows), rows).where(F.col("score") >= pairs.JOIN_AT)
+    return told.select("a", "b", F.round("score", 6).alias("score"), F.regexp_replace(F.array_join("reasons", ","), "lexical:[0-9.]+", "lexical").alias("reasons"))
 
 
 @query(f"""WITH {shapes.FACTS} SELECT id FROM facts WHERE status = 'verified' AND subject_entity_id % 3 <> 0 AND subject_entity_id % 4 <> 0""")
@@ -295,9 +357,15 @@ def j2_publication_gate(spark, sf):
     return fact_jobs.publication_gate(rows, audits, points, now()).select("id")
 
 
-@query(f"""WITH {shapes.FACTS} SELECT subject_entity_id, count(*) AS facts, count(*) AS evidence FROM facts WHERE subject_entity_id IN (1, 2, 3, 5, 8) AND reference_period = '1996' GROUP BY 1""")
+@query(f"""WITH {shapes.FACTS} SELECT subject_entity_id, reference_period, count(*) AS facts, sum(k)::BIGINT AS evidence, sum(k)::BIGINT AS versions, sum(v)::BIGINT AS validations, sum(k + h)::BIGINT AS history
+FROM (SELECT *, count(*) OVER w AS k, count(*) FILTER (status = 'verified') OVER w AS v, count(verified_at) OVER w AS h FROM facts WINDOW w AS (PARTITION BY id)) GROUP BY ALL""")
 def d12_fact_snapshot(spark, sf):
-    rows = shapes.facts(spark, sf)
-    proof = rows.select(F.col("id").alias("fact_id"), F.lit("v").alias("version_id"), F.lit("q").alias("quote"))
-    out = fact_jobs.fact_snapshot(rows, proof, [1, 2, 3, 5, 8], "1996")
-    return out.groupBy("subject_entity_id").agg(F.count("*").alias("facts"), F.sum(F.size("evidence")).alias("evidence"))
+    rows = saved(shapes.facts(spark, sf))
+    key = F.col("id").alias("fact_id")
+    proof = rows.select(key, F.col("id").alias("version_id"), F.lit("q").alias("quote"))
+    versions = rows.select(F.col("id").alias("version_id"), F.concat(F.lit("d"), F.col("authority_source_id").cast("string")).alias("document_id"))
+    audits = rows.where("status = 'verified'").select(key, F.lit("verified").alias("decision"))
+    past = rows.select(key, F.col("created_at").alias("at"), F.lit("extracted").alias("action")).unionByName(rows.where("verified_at IS NOT NULL").select(key, F.col("verified_at").alias("at"), F.lit("verified").alias("action")))
+    out = fact_jobs.fact_snapshot(rows, proof, versions=versions, validations=audits, history=past)
+    n = lambda c: F.sum(F.size(c)).alias(c)
+    return out.groupBy("subject_entity_id", "reference_period").agg(F.count("*").alias("facts"), n("evidence"), n("versions"), n("validations"), n("history"))

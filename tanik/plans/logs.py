@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tanik.functions.ids import number_json, quote_matches, utf16_length, utf16_slice
-from tanik.functions.text import event_kind, excerpt, is_breaking, jaccard, normalize_content, normalize_text, word_set
+from tanik.functions.text import event_kind, excerpt, is_breaking, is_recent, jaccard, normalize_content, normalize_text, word_set
 from tanik.operators import health, versions
 from tanik.plans.query import query
 from tanik.plans.shapes import CONTENT_SQL, NOW, OBSERVED, RUNS, now, observations, runs
@@ -63,15 +63,14 @@ def h19_excerpt(spark, sf):
 @query(f"SELECT event_type AS kind, count(*) FILTER (ts BETWEEN {NOW} - INTERVAL 24 HOUR AND {NOW}) AS breaking, count(*) FILTER (ts BETWEEN {NOW} - INTERVAL 48 HOUR AND {NOW}) AS recent FROM events GROUP BY 1")
 def b5_recency(spark, sf):
     rows = table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    age = now().cast("double") - F.col("ts").cast("double")
-    return rows.groupBy(F.col("event_type").alias("kind")).agg(F.count_if(is_breaking(F.col("ts"), now())).alias("breaking"), F.count_if(age.between(0, 172800)).alias("recent"))
+    return rows.groupBy(F.col("event_type").alias("kind")).agg(F.count_if(is_breaking(F.col("ts"), now())).alias("breaking"), F.count_if(is_recent(F.col("ts"), F.lit(False), now())).alias("recent"))
 
 
-@query("""SELECT doc_id, sum(CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END)::BIGINT AS units, true AS slice_ok FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY 1""")
+@query("""SELECT doc_id, coalesce(list_sum(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN 0 WHEN unicode(c) > 65535 THEN 2 ELSE 1 END)), 0)::BIGINT AS units, true AS slice_ok FROM documents""")
 def h7_utf16(spark, sf):
     text = F.col("text")
     half = (utf16_length(text) / 2).cast("int")
-    return table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", utf16_length(text).cast("long").alias("units"), quote_matches(text, utf16_slice(text, F.lit(0), half), F.lit(0), half).alias("slice_ok"))
+    return table(spark, sf, "documents").select("doc_id", utf16_length(text).cast("long").alias("units"), quote_matches(text, utf16_slice(text, F.lit(0), half), F.lit(0), half).alias("slice_ok"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN floor(o_totalprice)::BIGINT::VARCHAR ELSE round(o_totalprice, 2)::VARCHAR END AS shown FROM orders")
@@ -194,15 +193,3 @@ def i6_staleness(spark, sf):
     sources = names.select("source_id", F.col("source_id").isin("src0", "src1").alias("official"), F.lit(3600).alias("poll_seconds"))
     done = table(spark, sf, "events").where("event_type NOT IN ('error', 'click')").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_id"), F.col("ts").cast("timestamp").alias("at"))
     return jobs.staleness(done, sources, now())
-
-
-@query(None)
-def e10_limit_windows(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("at"))
-    return jobs.limit_windows(rows, 3, 86400)
-
-
-@query("SELECT event_type AS kind, window_start AS \"from\", count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events) GROUP BY ALL")
-def i4_hourly_velocity(spark, sf):
-    rows = table(spark, sf, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    return rows.select(F.col("event_type").alias("kind"), F.col("window.start").alias("from"), "n")

@@ -16,44 +16,42 @@ from tanik.sources import reports as report_jobs
 #: Kinds, words without a topic and named things of the invented languages.
 KINDS = (("crime", r"\bthe\b|\band\b"), ("fire", r"\ble\b|\bla\b"), ("sports", r"\bder\b|\bdie\b"))
 STOP = ("the", "and", "les", "des", "der", "die", "que")
-#: Body words that the SQL of the twins compares.
-TWIN_WORDS = 1200
 
 
-def features(spark, sf, most=None):
-    """documents as reports with the features that pairing reads; bodies with all their words, or the first ``most``."""
+def features(spark, sf):
+    """documents as reports with the features that pairing reads; bodies with all their words."""
     rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_id"), "text", normalize_text("text").alias("n"))
     words = word_set(F.col("n"), STOP, {})
     long = F.filter(words, lambda w: F.length(w) >= 16)
     key = F.sha2(F.concat("source_id", F.lit(":"), F.when(F.col("doc_id") % 50 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id")).cast("string")), 256)
     return rows.select(
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), key.alias("key"), "source_id", event_kind(F.col("n"), KINDS).alias("kind"), at_minutes(F.col("doc_id") * 5).alias("at"), at_minutes(F.col("doc_id") * 5).alias("published_at"), at_minutes(F.col("doc_id") * 5).alias("discovered_at"),
-        F.transform(long, lambda w: F.struct(F.lit("location").alias("kind"), w.alias("value"))).alias("entities"), words.alias("tokens"), (words if most is None else F.slice(words, 1, most)).alias("body_tokens"), F.sha2("text", 256).alias("content_hash"))
+        F.transform(long, lambda w: F.struct(F.lit("location").alias("kind"), w.alias("value"))).alias("entities"), words.alias("tokens"), words.alias("body_tokens"), F.sha2("text", 256).alias("content_hash"))
 
 
 _N = "trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))"
 FEATURES = rf"""f AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, sha256(source || ':' || CASE WHEN doc_id % 50 = 1 THEN doc_id - 1 ELSE doc_id END) AS key, source AS source_id, doc_id,
   CASE WHEN regexp_matches(n, '\bthe\b|\band\b') THEN 'crime' WHEN regexp_matches(n, '\ble\b|\bla\b') THEN 'fire' WHEN regexp_matches(n, '\bder\b|\bdie\b') THEN 'sports' ELSE 'general' END AS kind,
   list_sort(list_distinct(list_filter(string_split(n, ' '), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'les', 'des', 'der', 'die', 'que')))) AS tokens FROM (SELECT *, {_N} AS n FROM documents)),
-g AS (SELECT *, list_filter(tokens, lambda x: length(x) >= 16) AS things, tokens[1:1200] AS body FROM f)"""
+g AS (SELECT *, list_filter(tokens, lambda x: length(x) >= 16) AS things FROM f)"""
 PAIRS = f"""{FEATURES}, p AS (SELECT a.id AS a, b.id AS b, a.key = b.key AS same, a.kind = b.kind AS kin, abs(a.doc_id - b.doc_id) * 5 / 60.0 AS h, len(list_intersect(a.things, b.things)) > 0 AS spec,
-    len(list_intersect(a.tokens, b.tokens)) AS shared, len(a.tokens) AS na, len(b.tokens) AS nb, len(list_intersect(a.body, b.body)) AS sb, len(a.body) AS ba, len(b.body) AS bb
+    len(list_intersect(a.tokens, b.tokens)) AS shared, len(a.tokens) AS na, len(b.tokens) AS nb
   FROM g a JOIN g b ON a.id < b.id AND abs(a.doc_id - b.doc_id) <= 432),
-q AS (SELECT *, shared / greatest(1, na + nb - shared)::DOUBLE AS lex, sb / greatest(1, ba + bb - sb)::DOUBLE AS copy FROM p),
-s AS (SELECT a, b, CASE WHEN same THEN 1.0::DOUBLE WHEN NOT kin THEN 0 WHEN h <= 6 AND ba >= 15 AND bb >= 15 AND copy >= 0.85 THEN 0.95
+q AS (SELECT *, shared / greatest(1, na + nb - shared)::DOUBLE AS lex, lex AS copy FROM p),
+s AS (SELECT a, b, CASE WHEN same THEN 1.0::DOUBLE WHEN NOT kin THEN 0 WHEN h <= 6 AND na >= 15 AND nb >= 15 AND copy >= 0.85 THEN 0.95
   WHEN NOT spec AND NOT (lex >= 0.65 AND h <= 6) THEN 0 ELSE least(1.0, 0.2::DOUBLE + CASE WHEN spec THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN h <= 6 THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END + lex * CASE WHEN spec THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END) END AS score FROM q)"""
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.7")
 def c2_strong_pairs(spark, sf):
-    return pairs.strong_pairs(saved(features(spark, sf, TWIN_WORDS))).select("a", "b", F.round("score", 6).alias("score"))
+    return pairs.strong_pairs(saved(features(spark, sf))).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM s WHERE score >= 0.7 UNION SELECT b, a FROM s WHERE score >= 0.7),
 r AS (SELECT a AS node, b AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
 SELECT node, least(node, min(seen)) AS component FROM r GROUP BY node""")
 def c2_report_components(spark, sf):
-    return connected_components(pairs.strong_pairs(saved(features(spark, sf, TWIN_WORDS))))
+    return connected_components(pairs.strong_pairs(saved(features(spark, sf))))
 
 
 @query(None)
@@ -87,12 +85,12 @@ def j_events(spark, sf):
 
 
 @query(f"""WITH {FEATURES}, ev AS (SELECT 'e' || (doc_id // 40) AS event_id, {START} + to_minutes((min(doc_id) * 5)::BIGINT) AS lo, {START} + to_minutes((max(doc_id) * 5)::BIGINT) AS hi FROM g GROUP BY 1),
-m AS (SELECT 'e' || (doc_id // 40) AS event_id, key FROM g), r AS (SELECT id AS report_id, key, {START} + to_minutes((doc_id * 5)::BIGINT) AS t FROM g WHERE doc_id % 10 = 0)
+m AS (SELECT 'e' || (doc_id // 40) AS event_id, key FROM g), r AS (SELECT id AS report_id, key, {START} + to_minutes((doc_id * 5)::BIGINT) AS t FROM g)
 SELECT DISTINCT report_id, event_id, false AS over_limit FROM (SELECT report_id, event_id FROM r JOIN ev ON t >= lo - INTERVAL 36 HOUR AND t <= hi + INTERVAL 36 HOUR UNION SELECT report_id, event_id FROM r JOIN m USING (key))""")
 def c3_event_candidates(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("report_id"), F.sha2(F.concat("source", F.lit(":"), F.when(F.col("doc_id") % 50 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id")).cast("string")), 256).alias("key"), at_minutes(F.col("doc_id") * 5).alias("at"), F.concat(F.lit("e"), F.floor(F.col("doc_id") / 40).cast("string")).alias("event_id"))
     known = docs.groupBy("event_id").agg(F.min("at").alias("range_start"), F.max("at").alias("range_end"))
-    return pairs.event_candidates(docs.where("doc_id % 10 = 0").select("report_id", "key", "at"), known, docs.select("event_id", "key"))
+    return pairs.event_candidates(docs.select("report_id", "key", "at"), known, docs.select("event_id", "key"))
 
 
 @query("""WITH r AS (SELECT source AS key, doc_id AS id, doc_id // 3 AS d FROM documents) SELECT key, arg_max(id, (d, id)) AS id, max(d) AS discovered_at FROM r GROUP BY key""")
@@ -101,13 +99,13 @@ def c4_current_revisions(spark, sf):
     return report_jobs.current_revisions(rows)
 
 
-_EVIDENCE = f"""ev AS (SELECT l_partkey AS event_id, l_orderkey || '-' || l_linenumber AS report_id, l_orderkey::VARCHAR AS key, 'f' || (l_suppkey % 7) AS family, l_returnflag AS predicate, 'event' AS scope, (l_quantity::INT % 4)::VARCHAR AS value,
+EVIDENCE = f"""ev AS (SELECT l_partkey AS event_id, l_orderkey || '-' || l_linenumber AS report_id, l_orderkey::VARCHAR AS key, 'f' || (l_suppkey % 7) AS family, l_returnflag AS predicate, 'event' AS scope, (l_quantity::INT % 4)::VARCHAR AS value,
   l_shipdate AS as_of, l_tax >= 0.07 AS correction, l_shipdate AS fixed, l_shipdate AS discovered, CASE WHEN l_discount >= 0.1 THEN 'v' END AS official FROM lineitem),
 m AS (SELECT *, NOT (coalesce(EXISTS (SELECT 1 FROM ev n WHERE n.event_id = e.event_id AND n.key = e.key AND n.discovered > e.discovered), false)
   OR EXISTS (SELECT 1 FROM ev n WHERE n.event_id = e.event_id AND n.family = e.family AND n.predicate = e.predicate AND n.scope = e.scope AND n.report_id <> e.report_id AND n.correction AND n.fixed > e.as_of)) AS active FROM ev e)"""
 
 
-def _evidence(spark, sf):
+def evidence(spark, sf):
     day = F.col("l_shipdate").cast("timestamp")
     return table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("event_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("report_id"), F.col("l_orderkey").cast("string").alias("key"), F.concat(F.lit("f"), (F.col("l_suppkey") % 7).cast("string")).alias("family"),
@@ -115,15 +113,15 @@ def _evidence(spark, sf):
         F.when(F.col("l_discount") >= 0.1, "v").alias("official_version_id"))
 
 
-@query(f"WITH {_EVIDENCE} SELECT event_id, report_id, active FROM m")
+@query(f"WITH {EVIDENCE} SELECT event_id, report_id, active FROM m")
 def c7_supersession(spark, sf):
-    return claims.mark_superseded(_evidence(spark, sf)).select("event_id", "report_id", "active")
+    return claims.mark_superseded(evidence(spark, sf)).select("event_id", "report_id", "active")
 
 
-@query(f"""WITH {_EVIDENCE}, c AS (SELECT event_id, predicate, scope, value, count(*) AS evidence, count(*) FILTER (active) AS active_evidence, count(DISTINCT family) FILTER (active) AS families, bool_or(active AND official IS NOT NULL) AS o FROM m GROUP BY ALL)
+@query(f"""WITH {EVIDENCE}, c AS (SELECT event_id, predicate, scope, value, count(*) AS evidence, count(*) FILTER (active) AS active_evidence, count(DISTINCT family) FILTER (active) AS families, bool_or(active AND official IS NOT NULL) AS o FROM m GROUP BY ALL)
 SELECT event_id, predicate, scope, value, evidence, active_evidence, families, CASE WHEN active_evidence = 0 THEN 'superseded' WHEN count(*) FILTER (active_evidence > 0) OVER (PARTITION BY event_id, predicate, scope) > 1 THEN 'conflicting' WHEN families >= 2 OR o THEN 'supported' ELSE 'weakly_supported' END AS status FROM c""")
 def d2_claim_status(spark, sf):
-    return claims.reconcile_claims(_evidence(spark, sf)).drop("claim_id")
+    return claims.reconcile_claims(evidence(spark, sf)).drop("claim_id")
 
 
 _SIGNALS = f"""w AS (SELECT l_partkey AS event_id, 'f' || (l_suppkey % 7) AS family, CASE WHEN l_suppkey % 7 = 3 THEN 'unknown:' ELSE '' END || 'f' || (l_suppkey % 7) AS fam, l_discount * 10 AS rel, l_shipdate AS t FROM lineitem)"""
@@ -204,7 +202,12 @@ def e11_fact_history(spark, sf):
     return fact_jobs.fact_history(shapes.facts(spark, sf), done).select("fact_id", F.date_format("at", "yyyy-MM-dd").alias("at_day"), "action", "origin")
 
 
-@query(None)
+@query("""WITH RECURSIVE a AS (SELECT l_orderkey::VARCHAR AS fact_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS n, l_linenumber::VARCHAR AS id, ['publish', 'review', 'reject', 'correct'][l_suppkey % 4 + 1] AS act FROM lineitem),
+r AS (SELECT DISTINCT fact_id, 0::BIGINT AS n, 'verified' AS status, '' AS refused FROM a UNION ALL
+  SELECT r.fact_id, a.n, CASE WHEN act = 'publish' AND status = 'verified' THEN 'published' WHEN act = 'review' AND status IN ('verified', 'published') THEN 'needs_review' WHEN act = 'reject' AND status IN ('needs_review', 'verified') THEN 'revoked' WHEN act = 'correct' AND status = 'published' THEN 'superseded' ELSE status END,
+    CASE WHEN (act = 'publish' AND status = 'verified') OR (act = 'review' AND status IN ('verified', 'published')) OR (act = 'reject' AND status IN ('needs_review', 'verified')) OR (act = 'correct' AND status = 'published') THEN refused WHEN refused = '' THEN id ELSE refused || ',' || id END
+  FROM r JOIN a ON a.fact_id = r.fact_id AND a.n = r.n + 1)
+SELECT fact_id, arg_max(status, n) AS status, arg_max(refused, n) AS refused FROM r GROUP BY 1""")
 def e12_replay_reviews(spark, sf):
     names = F.array(*[F.lit(a) for a in ("publish", "review", "reject", "correct")])
     rows = table(spark, sf, "lineitem")
@@ -220,26 +223,42 @@ def c5_authority_match(spark, sf):
     return answers.authority_match(subjects, shapes.rules(spark, sf), F.expr(_AS_OF))
 
 
-@query("""SELECT l_orderkey AS fact_id, l_linenumber AS line, o_orderkey AS version_id, c_custkey AS doc_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_orderkey % 2 = 0 AND o_orderkey % 3 = 0""")
+@query("""SELECT l_orderkey AS fact_id, l_linenumber AS line, o_orderkey AS version_id, c_custkey AS doc_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 1""")
 def c6_evidence_bundles(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fact_id"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("version_id"))
     orders = table(spark, sf, "orders")
     versions = orders.select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("document_id"))
-    documents = orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("current_version_id"))
-    facts = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"))
+    current = F.when(F.col("o_orderkey") % 3 == 1, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))  # one in three versions is an old one
+    documents = orders.select(F.col("o_custkey").alias("doc_id"), current.alias("current_version_id"))
+    facts = orders.select(F.col("o_orderkey").alias("id"))
     return answers.evidence_bundles(facts, lines, versions, documents).select("fact_id", "line", "version_id", "doc_id")
 
 
 
 
-@query(None)
+@query(r"""WITH n AS (SELECT DISTINCT lower(p_name) AS alias, p_type AS resource FROM part), q AS (SELECT DISTINCT replace(alias, 'e', 'a') AS phrase FROM n),
+p AS (SELECT phrase, resource, alias, string_split(phrase, ' ') AS w, string_split(alias, ' ') AS v, levenshtein(phrase, alias) AS d FROM q JOIN n ON abs(length(phrase) - length(alias)) <= 2 AND len(string_split(phrase, ' ')) = len(string_split(alias, ' '))),
+s AS (SELECT phrase, resource, max(CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 1 - d / greatest(length(phrase), length(alias))::DOUBLE END) AS score, max(d = 0) AS exact FROM p
+  WHERE d = 0 OR (d <= 2 AND length(phrase) >= 8 AND list_bool_and(list_transform(range(1, len(v) + 1), lambda i: length(v[i]) > 3 OR v[i] = w[i]))) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, resource) AS place, lead(score) OVER (PARTITION BY phrase ORDER BY score DESC, resource) AS next FROM s),
+b AS (SELECT phrase, max(CASE WHEN place = 1 THEN resource END) AS top, max(CASE WHEN place = 1 THEN exact END) AS exact, max(CASE WHEN place = 1 THEN score >= 0.8 AND (next IS NULL OR score - next >= 0.08) END) AS clear, string_agg(resource, ',' ORDER BY place) FILTER (place <= 3) AS names FROM r GROUP BY 1)
+SELECT phrase || ' 2024 ne zaman' AS normalized, CASE WHEN clear THEN top END AS resource, CASE WHEN clear THEN 2024 END AS year, CASE WHEN clear THEN CASE WHEN exact THEN 'alias' ELSE 'spelling' END END AS method,
+  CASE WHEN NOT coalesce(clear, false) THEN 'no_single_topic' END AS reason, CASE WHEN coalesce(clear, false) THEN '' ELSE coalesce(names, '') END AS suggestions FROM q LEFT JOIN b USING (phrase)""")
 def c10_resolve_queries(spark, sf):
     said = table(spark, sf, "part").select(F.lower("p_name").alias("alias"), F.col("p_type").alias("resource")).distinct()
     asked = said.select(F.concat(F.regexp_replace("alias", "e", "a"), F.lit(" 2024 ne zaman")).alias("normalized"))
     return answers.resolve_queries(asked, said.withColumn("predicate", F.lit("p")), 2024).withColumn("suggestions", F.array_join("suggestions", ","))
 
 
-@query(None)
+_TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT lower(p_name) AS alias, lower(p_type) AS resource FROM part), q AS (SELECT lower(c_mktsegment) AS query FROM customer UNION SELECT alias[1:12] FROM s),
+a AS (SELECT alias, resource, {_TRIGRAMS.format('alias')} AS t FROM s), b AS (SELECT query, {_TRIGRAMS.format('query')} AS t FROM q WHERE length(query) BETWEEN 3 AND 240),
+ag AS (SELECT alias, resource, len(t) AS n, unnest(t) AS g FROM a), bg AS (SELECT query, len(t) AS n, unnest(t) AS g FROM b),
+m AS (SELECT query, resource, alias, count(*) / (any_value(bg.n) + any_value(ag.n) - count(*))::DOUBLE AS near FROM ag JOIN bg USING (g) GROUP BY ALL),
+f AS (SELECT query, resource, max(near) AS similarity FROM m WHERE near > 0.3 OR len(list_filter(list_filter(string_split(query, ' '), lambda w: w <> ''), lambda w: NOT list_contains(string_split(alias, ' '), w))) = 0 GROUP BY ALL)
+SELECT query, resource, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, resource) AS place FROM f) WHERE place <= 5""")
 def c11_search_aliases(spark, sf):
     said = table(spark, sf, "part").select(F.lower("p_name").alias("alias"), F.lower("p_type").alias("resource")).distinct()
     asked = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("query")).union(said.select(F.substring("alias", 1, 12)))
@@ -268,12 +287,16 @@ def f4_combine_feed(spark, sf):
     return out.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(f"""SELECT log, id FROM (SELECT 'run' AS log, event_id::VARCHAR AS id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts < {NOW} - INTERVAL 10 DAY)  WHERE n <= 50
-UNION ALL SELECT 'order', id FROM (SELECT o_orderkey::VARCHAR AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderdate < {NOW} - INTERVAL 10 DAY) WHERE n <= 50""")
+@query("""WITH b AS (SELECT max(o_orderdate) AS t, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders WHERE o_orderkey % 5 = 0)
+SELECT log, id FROM (SELECT 'line' AS log, l_orderkey || '-' || l_linenumber AS id, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey || '-' || l_linenumber DESC) AS n FROM lineitem, b WHERE l_shipdate < b.t) WHERE n <= 50
+UNION ALL SELECT 'order', id FROM (SELECT o_orderkey::VARCHAR AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders, b WHERE o_orderdate < b.t OR (o_orderdate = b.t AND o_orderkey < b.k)) WHERE n <= 50""")
 def f5_recent_activity(spark, sf):
-    one = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    """The page after the newest order whose key ends in 0 or 5; many rows share its day."""
+    one = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_shipdate").cast("timestamp").alias("at"))
     two = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("at"))
-    return feed.recent_activity({"run": one, "order": two}, now() - F.expr("INTERVAL 10 DAYS")).select("log", "id")
+    last = two.where("id % 5 = 0").orderBy(F.desc("at"), F.desc("id")).first()
+    at, key = (last.at, last.id) if last else (None, None)
+    return feed.recent_activity({"line": one, "order": two}, F.lit(at), before_id={"order": F.lit(key)}).select("log", "id")
 
 
 @query("""SELECT document_id, id, place FROM (SELECT o_custkey AS document_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders) WHERE place <= 20""")
@@ -298,12 +321,14 @@ def b7_news_category(spark, sf):
     return rows.groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT n_nationkey AS topic_id, CASE WHEN n_nationkey > 0 THEN n_nationkey // 2 WHEN n_nationkey = 0 THEN NULL END AS parent_id FROM nation),
-w AS (SELECT topic_id, topic_id AS x, 0 AS depth FROM t UNION ALL SELECT w.topic_id, t.parent_id, w.depth + 1 FROM w JOIN t ON t.topic_id = w.x WHERE t.parent_id IS NOT NULL AND depth < 32)
-SELECT topic_id, max(depth)::INT AS depth, max(depth) >= 32 AS cycle FROM w GROUP BY 1""")
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS topic_id, CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 4 WHEN p_partkey % 10 = 7 THEN p_partkey - 4 WHEN p_partkey > 1 THEN p_partkey - 1 - p_partkey % 7 END AS parent_id FROM part),
+w AS (SELECT topic_id, topic_id AS x, [topic_id] AS path, false AS cycle FROM t UNION ALL SELECT w.topic_id, t.parent_id, list_append(path, t.parent_id), list_contains(path, t.parent_id) FROM w JOIN t ON t.topic_id = w.x JOIN t u ON u.topic_id = t.parent_id WHERE NOT cycle)
+SELECT topic_id, CASE WHEN NOT max(cycle) THEN max(len(path)) - 1 END::INT AS depth, max(cycle) AS cycle FROM w GROUP BY 1""")
 def g6_topic_cycles(spark, sf):
-    rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("topic_id"), F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2).cast("int")).alias("parent_id"))
-    return answers.topic_cycles(rows)
+    """Long paths to roots, and pairs of topics that are each other's parents."""
+    key = F.col("p_partkey")
+    parent = F.when(key % 10 == 3, key + 4).when(key % 10 == 7, key - 4).when(key > 1, key - 1 - key % 7)
+    return answers.topic_cycles(table(spark, sf, "part").select(key.alias("topic_id"), parent.alias("parent_id")))
 
 
 @query("""SELECT p_type AS resource, 'entity' AS gap FROM part WHERE p_partkey % 4 = 0 GROUP BY 1 UNION ALL SELECT p_type, 'topic' FROM part WHERE p_size % 7 = 0 GROUP BY 1 UNION ALL SELECT p_type, 'authority' FROM part WHERE p_size % 5 = 1 GROUP BY 1""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tanik.plans import crawl, logs, news  # noqa: F401  these register their queries
+from tanik.plans import crawl, logs, news, stories, streams  # noqa: F401  these register their queries
 from tanik.plans.query import ORACLES, QUERIES
 
 FLAGSHIP = "j_events"

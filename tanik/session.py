@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage by ``checkpoint()``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that all executors share: ``spark.checkpoint.dir``.
 
-    The files go to ``spark.checkpoint.dir``, which all executors share. Where that setting is missing,
-    a session on one machine, as in tests, gets a folder of its own; on a cluster it is an error.
+    Where that setting is missing, a session on one machine, as in tests, gets a folder of its own; on a
+    cluster it is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+        if not folder and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut from its lineage by ``checkpoint()`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

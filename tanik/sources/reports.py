@@ -13,9 +13,9 @@ REPORT = (
 NEWS_SOURCE = "id string, name string, owner string, kind string, url string, hosts array<string>, reliability double, max_reports int, poll_seconds int, active boolean"
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """News sources from JSON with a fixed schema; missing settings get their defaults."""
-    raw = spark.read.schema(NEWS_SOURCE).json(path, multiLine=True)
+def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """News sources from JSON (one document, or one source a line) with a fixed schema; missing settings get their defaults."""
+    raw = spark.read.schema(NEWS_SOURCE).json(path, multiLine=not lines)
     defaults = {"reliability": 0.5, "max_reports": 30, "poll_seconds": 900, "active": True}
     return raw.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in raw.columns])
 
@@ -72,6 +72,13 @@ def current_revisions(reports: DataFrame) -> DataFrame:
     return reports.groupBy("key").agg(F.max_by(F.struct(*reports.columns), F.struct("discovered_at", "id")).alias("r")).select("r.*")
 
 
+def distinct_items(rows: DataFrame, by: list[str], position: str) -> DataFrame:
+    """One row for each value of ``by``: the last one by ``position``, with first_position and the number of items."""
+    rest = [c for c in rows.columns if c not in by]
+    out = rows.groupBy(*by).agg(F.max_by(F.struct(*rest), position).alias("r"), F.min(position).alias("first_position"), F.count("*").alias("items"))
+    return out.select(*by, "r.*", "first_position", "items")
+
+
 def union_reports(web: DataFrame, official: DataFrame) -> DataFrame:
     """Open-web and official reports in one table."""
     return web.unionByName(official, allowMissingColumns=True)
