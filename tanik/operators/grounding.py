@@ -23,6 +23,12 @@ def _bare(value: Column) -> Column:
     return F.regexp_replace(value, '^"|"$', "")
 
 
+def _told(occurrence: Column) -> Column:
+    """The time of an occurrence as a text states it."""
+    text = F.replace(occurrence, F.lit("saat "), F.lit(""))
+    return parse_news_date(text, fold_turkish(text))
+
+
 def _kind_told(kind: Column, normalized: Column) -> Column:
     """Whether a normalised text names the kind of event."""
     found = F.lit(False)
@@ -57,7 +63,7 @@ def ground_analysis(reports: DataFrame, analyses: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", analyze(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).withColumn("n", normalize_text(whole))
     rows = rows.withColumn("nq", normalize_each(get("claims", "quote"))).withColumn("nt", normalize_each(get("claims", "value_text"))).withColumn("nv", normalize_each(F.transform("claims", lambda c: _bare(c["value"]))))
     rows = rows.withColumn("ft", fold_each(get("claims", "value_text"))).withColumn("ev", normalize_each(get("entities", "value"))).withColumn("et", normalize_each(get("entities", "text")))
-    rows = rows.withColumn("told", parse_news_date(F.replace("occurrence_text", F.lit("saat "), F.lit("")), fold_turkish(F.replace("occurrence_text", F.lit("saat "), F.lit("")))))
+    rows = rows.withColumn("told", _told(F.col("occurrence_text")))
 
     def checked(z: Column) -> Column:
         c, kind = z["claims"], z["claims"]["type"]
@@ -97,7 +103,7 @@ def own_analyses(reports: DataFrame) -> DataFrame:
     kind = lambda v: F.when(v.isin("true", "false"), "boolean").when(v.startswith('"'), "text").otherwise("number")
     claims = F.transform("a.claims", lambda c: F.struct(c["predicate"].alias("predicate"), c["scope"].alias("scope"), kind(c["value"]).alias("type"), c["value"].alias("value"), c["value_text"].alias("value_text"), c["quote"].alias("quote"), c["start"].alias("start"), c["end"].alias("end"), c["correction"].alias("correction"), F.lit(None).cast("string").alias("as_of")))
     occurred = F.col("a.occurrence")
-    return rows.select("report_id", "a.kind", claims.alias("claims"), "a.entities", parse_news_date(occurred, fold_turkish(occurred)).alias("occurred_at"), F.when(parse_news_date(occurred, fold_turkish(occurred)).isNotNull(), occurred).alias("occurrence_text"))
+    return rows.select("report_id", "a.kind", claims.alias("claims"), "a.entities", _told(occurred).alias("occurred_at"), occurred.alias("occurrence_text"))
 
 
 def analyzed(reports: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Long on the twin's side.
-CHECKED = ("e1_detect_versions", "e3_current_documents", "d7_assess_coverage", "c7_supersession", "d2_claim_status", "d3_fact_conflicts", "c5_authority_match", "h5_parse_news_date", "b3_robots", "c2_strong_pairs")
+CHECKED = ("e1_detect_versions", "e3_current_documents", "d7_assess_coverage", "c7_supersession", "d2_claim_status", "d3_fact_conflicts", "c5_authority_match", "h5_parse_news_date", "b3_robots", "c2_strong_pairs", "a7_parse_feeds", "a8_parse_articles", "a9_parse_blocks", "h14_extract_quotes", "h15_text_links", "h11_analyze", "b10_ground_analysis", "b11_validate_candidates", "e8_claim_timeline", "c10_resolve_queries", "j3_resolve_answers", "g6_topic_cycles", "i1_stream_reports", "i4_stream_counts", "i5_stream_limits")
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,12 @@ def test_twins(spark, twin, name):
     assert text(found) == text(wanted)
 
 
+def test_streamed_events_are_those_of_a_batch(spark):
+    """Reports of the smallest tables arrive in order of time, in three batches."""
+    batch = {r.report_id: r.event_id for r in registry.QUERIES["e7_cluster_reports"](spark, SMALL).collect()}
+    assert {r.report_id: r.event_id for r in registry.QUERIES["i3_stream_events"](spark, SMALL).collect()} == batch
+
+
 def test_flagship(spark):
     found = registry.QUERIES[registry.FLAGSHIP](spark, SMALL).toPandas()
     assert len(found) and found["score"].between(0, 1).all()
