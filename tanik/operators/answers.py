@@ -87,6 +87,17 @@ def answer_quality(answers: DataFrame) -> DataFrame:
     return answers.groupBy("state").agg(F.count("*").alias("answers"))
 
 
+def invalid_answers(answers: DataFrame, proven: DataFrame) -> DataFrame:
+    """(resource, year, problem): shown answers without a fact, without a value, or whose fact nothing proves.
+
+    ``answers`` as of ``resolve_answers``; ``proven``: fact_id of facts with evidence in a current version.
+    """
+    shown = answers.where(F.col("state").isin("current", "future_announced"))
+    known = proven.select("fact_id").distinct().withColumn("proven", F.lit(True))
+    problem = F.when(F.col("fact_id").isNull(), "missing_fact").when(F.col("value").isNull(), "missing_value").when(F.col("proven").isNull(), "missing_evidence")
+    return shown.join(known, "fact_id", "left").withColumn("problem", problem).where("problem IS NOT NULL").select("resource", "year", "problem")
+
+
 def _third(length: Column, n: int) -> tuple[Column, Column]:
     """(start from 1, length) of the n-th of three parts of a phrase of a length."""
     size = F.floor(length / 3).cast("int")
@@ -187,13 +198,23 @@ def format_value(v: Column) -> Column:
     )
 
 
-def catalog_gaps(resources: DataFrame, entities: DataFrame, topics: DataFrame, rules: DataFrame) -> DataFrame:
-    """(resource, gap): catalogue resources without a known entity, topic or authority."""
+def catalog_gaps(resources: DataFrame, entities: DataFrame, topics: DataFrame, rules: DataFrame, published: DataFrame | None = None, answers: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """(resource, gap): catalogue resources without a known entity, topic or authority.
+
+    With ``published`` (resource, fact_id) and ``answers`` (resource, value) also resources that have a
+    published fact and yet no answer; with ``documents`` (canonical_url) also documents of test fixtures,
+    by their URL.
+    """
     gap = lambda df, name: df.select("resource", F.lit(name).alias("gap")).distinct()
     no_entity = resources.join(entities.select("entity_id"), "entity_id", "left_anti")
     no_topic = resources.join(topics.select("topic_id"), "topic_id", "left_anti")
     no_rule = resources.join(rules.where("status = 'active'").select("topic_id", "predicate").distinct(), ["topic_id", "predicate"], "left_anti")
-    return gap(no_entity, "entity").unionByName(gap(no_topic, "topic")).unionByName(gap(no_rule, "authority"))
+    out = gap(no_entity, "entity").unionByName(gap(no_topic, "topic")).unionByName(gap(no_rule, "authority"))
+    if published is not None and answers is not None:
+        out = out.unionByName(gap(published.join(answers.where("value IS NOT NULL"), "resource", "left_anti"), "answer"))
+    if documents is not None:
+        out = out.unionByName(gap(documents.where(F.lower("canonical_url").rlike("fixture|[./]test[./]")).select(F.col("canonical_url").alias("resource")), "fixture_document"))
+    return out
 
 
 def topic_cycles(topics: DataFrame) -> DataFrame:

@@ -21,12 +21,22 @@ def combine_feed(official: DataFrame, events: DataFrame, now: Column, category:
     return rows.orderBy(F.desc_nulls_last("published_at"), "id").limit(most)
 
 
-def list_news(editions: DataFrame, sources: DataFrame, source: str | None = None, most: int = 1000) -> DataFrame:
-    """Current editions of active sources, newest first. editions: edition_id, source_id, current, published_at, first_seen_at."""
+def list_news(editions: DataFrame, sources: DataFrame, source: str | None = None, most: int = 1000, quotes: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """Current editions of active sources, newest first, with their quotes and the actions that are still trusted.
+
+    editions: edition_id, source_id, current, published_at, first_seen_at. quotes: edition_id, ordinal,
+    quote. actions: edition_id, label, url, trusted. The limit comes first, so only what is shown is joined.
+    """
     rows = editions.where("current").join(sources.where("status = 'active'").select("source_id"), "source_id", "left_semi")
     if source is not None:
         rows = rows.where(F.col("source_id") == source)
-    return rows.orderBy(F.desc_nulls_last("published_at"), F.desc("first_seen_at"), "edition_id").limit(most)
+    shown = rows.orderBy(F.desc_nulls_last("published_at"), F.desc("first_seen_at"), "edition_id").limit(most)
+    parts = {"quotes": None if quotes is None else quotes.select("edition_id", F.struct("ordinal", "quote").alias("x")), "actions": None if actions is None else actions.where("trusted").select("edition_id", F.struct("label", "url").alias("x"))}
+    for name, part in parts.items():
+        if part is not None:
+            listed = part.groupBy("edition_id").agg(F.array_sort(F.collect_list("x")).alias(name))
+            shown = shown.join(listed, "edition_id", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+    return shown
 
 
 def recent_announcements(documents: DataFrame, most: int = 24) -> DataFrame:

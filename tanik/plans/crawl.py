@@ -115,11 +115,13 @@ def a7_parse_feeds(spark, sf):
     return html.parse_feeds(rows).select(F.col("source_id").cast("long").alias("page_id"), "role", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
 
 
-@query("SELECT count(DISTINCT sha256(html)) AS artifacts, count(*) AS links FROM pages WHERE strlen(html) BETWEEN 1 AND 10000000")
+@query("""SELECT sha256(html) AS hash, any_value(strlen(html))::BIGINT AS size, strftime(min(TIMESTAMP '2024-01-01' + to_minutes(page_id)), '%Y-%m-%d %H:%M') AS first_seen, count(DISTINCT page_id) AS links FROM pages WHERE strlen(html) BETWEEN 1 AND 10000000 GROUP BY 1""")
 def a6_archive_artifacts(spark, sf):
+    """Every page's body comes twice."""
     rows = _pages(spark, sf).select(F.col("page_id").alias("version_id"), F.lit(None).cast("long").alias("parent_version_id"), "url", F.base64(F.col("html").cast("binary")).alias("body_base64"), at_minutes(F.col("page_id")).alias("fetched_at"))
-    artifacts, links = report_jobs.archive_artifacts(rows)
-    return artifacts.agg(F.count("*").alias("artifacts")).crossJoin(links.agg(F.count("*").alias("links")))
+    artifacts, links = report_jobs.archive_artifacts(rows.unionAll(rows))
+    counted = links.groupBy("hash").agg(F.count("*").alias("links"))
+    return artifacts.join(counted, "hash").select("hash", F.col("size").cast("long").alias("size"), F.date_format("first_fetched_at", "yyyy-MM-dd HH:mm").alias("first_seen"), "links")
 
 
 def _reports(spark, sf):
@@ -262,22 +264,24 @@ def b12_validate_evidence(spark, sf):
     return fact_jobs.validate_evidence(rows).select("doc_id", "error")
 
 
-@query("""SELECT o_orderpriority AS decision, o_orderstatus AS reason, count(*) AS candidates FROM orders GROUP BY ALL""")
-def b16_review_queue(spark, sf):
-    return fact_jobs.review_queue(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("decision"), F.array("o_orderstatus").alias("reasons")))
-
-
 @query("""SELECT doc_id, CASE WHEN regexp_matches(n, '\\baa\\b|anadolu ajansi') THEN 'aa' WHEN regexp_matches(n, '\\breuters\\b') THEN 'reuters' END AS agency FROM (SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) || CASE WHEN doc_id % 3 = 0 THEN ' aa' WHEN doc_id % 3 = 1 THEN ' reuters' ELSE '' END AS n FROM documents)""".replace("\\\\", "\\"))
 def b8_agency_hint(spark, sf):
     end = F.when(F.col("doc_id") % 3 == 0, " aa").when(F.col("doc_id") % 3 == 1, " reuters").otherwise("")
     return table(spark, sf, "documents").select("doc_id", agency_hint(F.concat(normalize_text("text"), end)).alias("agency"))
 
 
-@query("""WITH w AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0) SELECT s_suppkey AS edition_id, n_name AS source_id FROM w ORDER BY s_suppkey DESC LIMIT 40""")
+@query("""WITH w AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 AND n_name <> 'FRANCE' ORDER BY s_suppkey DESC LIMIT 40)
+SELECT s_suppkey AS edition_id, n_name AS source_id, 'q0,q1' AS quotes, CASE WHEN s_suppkey % 2 = 0 THEN 'open' ELSE '' END AS actions FROM w""")
 def f1_list_news(spark, sf):
     rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    editions = rows.select(F.col("s_suppkey").alias("edition_id"), F.col("n_name").alias("source_id"), (F.col("s_acctbal") > 0).alias("current"), at_minutes(F.col("s_suppkey")).alias("published_at"), at_minutes(F.lit(0)).alias("first_seen_at"))
-    return feed.list_news(editions, rows.select(F.col("n_name").alias("source_id"), F.lit("active").alias("status")).distinct(), most=40).select("edition_id", "source_id")
+    key = F.col("s_suppkey").alias("edition_id")
+    editions = rows.select(key, F.col("n_name").alias("source_id"), (F.col("s_acctbal") > 0).alias("current"), at_minutes(F.col("s_suppkey")).alias("published_at"), at_minutes(F.lit(0)).alias("first_seen_at"))
+    quotes = rows.select(key, F.explode(F.array(F.lit(1), F.lit(0))).alias("ordinal")).withColumn("quote", F.concat(F.lit("q"), F.col("ordinal").cast("string")))
+    actions = rows.select(key, F.lit("open").alias("label"), F.lit("https://x").alias("url"), (F.col("s_suppkey") % 2 == 0).alias("trusted"))
+    sources = rows.select(F.col("n_name").alias("source_id"), F.when(F.col("n_name") == "FRANCE", "inactive").otherwise("active").alias("status")).distinct()
+    shown = feed.list_news(editions, sources, most=40, quotes=quotes, actions=actions)
+    listed = lambda column, part: F.array_join(F.transform(column, lambda x: x[part]), ",").alias(column)
+    return shown.select("edition_id", "source_id", listed("quotes", "quote"), listed("actions", "label"))
 
 
 @query("""SELECT o_orderkey AS document_id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 24""")
@@ -326,6 +330,13 @@ def j3_resolve_answers(spark, sf):
     return _answers(spark, sf).withColumn("verified", F.date_format("verified_at", "yyyy-MM-dd")).drop("verified_at")
 
 
+@query(f"""WITH {_ANSWERS} SELECT resource, year, 'missing_evidence' AS problem FROM answers WHERE state IN ('current', 'future_announced') AND split_part(fact_id, '-', 1)::BIGINT % 3 = 0""")
+def d14_invalid_answers(spark, sf):
+    """Facts of every third order have lost their evidence."""
+    rows = table(spark, sf, "lineitem").where("l_orderkey % 3 <> 0").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"))
+    return answers.invalid_answers(_answers(spark, sf), rows)
+
+
 def _answers(spark, sf):
     rows = saved(shapes.facts(spark, sf))
     asked = rows.select("subject_entity_id", "topic_id", "predicate", "reference_period").distinct().select(F.concat_ws("-", "subject_entity_id", "topic_id", "predicate").alias("resource"), F.col("subject_entity_id").alias("entity_id"), "topic_id", "predicate", F.col("reference_period").alias("year"))

@@ -331,12 +331,15 @@ def g6_topic_cycles(spark, sf):
     return answers.topic_cycles(table(spark, sf, "part").select(key.alias("topic_id"), parent.alias("parent_id")))
 
 
-@query("""SELECT p_type AS resource, 'entity' AS gap FROM part WHERE p_partkey % 4 = 0 GROUP BY 1 UNION ALL SELECT p_type, 'topic' FROM part WHERE p_size % 7 = 0 GROUP BY 1 UNION ALL SELECT p_type, 'authority' FROM part WHERE p_size % 5 = 1 GROUP BY 1""")
+@query("""SELECT p_type AS resource, 'entity' AS gap FROM part WHERE p_partkey % 4 = 0 GROUP BY 1 UNION ALL SELECT p_type, 'topic' FROM part WHERE p_size % 7 = 0 GROUP BY 1 UNION ALL SELECT p_type, 'authority' FROM part WHERE p_size % 5 = 1 GROUP BY 1
+UNION ALL SELECT p_type, 'answer' FROM part GROUP BY 1 HAVING max(p_size) < 50 UNION ALL SELECT DISTINCT 'https://x/' || CASE WHEN p_partkey % 9 = 0 THEN 'Fixture/' ELSE '' END || p_partkey, 'fixture_document' FROM part WHERE p_partkey % 9 = 0""")
 def c9_catalog_gaps(spark, sf):
     part = table(spark, sf, "part")
     rows = part.select(F.col("p_type").alias("resource"), F.col("p_partkey").alias("entity_id"), F.col("p_size").alias("topic_id"), (F.col("p_size") % 5).alias("predicate"))
     known = rows.where("topic_id % 5 <> 1").select("topic_id", "predicate", F.lit("active").alias("status"))
-    return answers.catalog_gaps(rows, rows.where("entity_id % 4 <> 0"), rows.where("topic_id % 7 <> 0").select("topic_id").distinct(), known)
+    given = part.select(F.col("p_type").alias("resource"), F.when(F.col("p_size") == 50, "x").alias("value"))
+    documents = part.select(F.concat(F.lit("https://x/"), F.when(F.col("p_partkey") % 9 == 0, "Fixture/").otherwise(""), F.col("p_partkey").cast("string")).alias("canonical_url"))
+    return answers.catalog_gaps(rows, rows.where("entity_id % 4 <> 0"), rows.where("topic_id % 7 <> 0").select("topic_id").distinct(), known, rows.select("resource", F.col("entity_id").alias("fact_id")), given, documents)
 
 
 @query(f"""WITH {FACTS} SELECT DISTINCT id FROM facts WHERE status = 'verified' AND subject_entity_id % 3 = 0""")

@@ -110,6 +110,18 @@ _CASES = ("'verified'", "'rejected:source_not_trusted'", "'needs_review:historic
 
 @query(f"""SELECT l_orderkey AS o, l_linenumber AS l, [{', '.join(_CASES)}][(l_orderkey + l_linenumber) % 9 + 1] AS decision FROM lineitem""")
 def b11_validate_candidates(spark, sf):
+    out = _decided(spark, sf)
+    return out.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.when(F.col("decision") == "verified", F.col("decision")).otherwise(F.concat_ws(":", "decision", F.get("reasons", 0))).alias("decision"))
+
+
+@query(f"""WITH d AS (SELECT [{', '.join(_CASES)}][(l_orderkey + l_linenumber) % 9 + 1] AS d FROM lineitem)
+SELECT split_part(d, ':', 1) AS decision, split_part(d, ':', 2) AS reason, count(*) AS candidates FROM d WHERE d <> 'verified' GROUP BY ALL
+UNION ALL SELECT 'verified', r, count(*) FROM (SELECT unnest(['official_source', 'exact_evidence', 'structured_locator', 'contextual_authority', 'typed_value', 'explicit_period']) AS r FROM d WHERE d = 'verified') GROUP BY ALL""")
+def b16_review_queue(spark, sf):
+    return fact_jobs.review_queue(_decided(spark, sf))
+
+
+def _decided(spark, sf):
     """A stated quantity of each line, sound or wrong in one of eight ways."""
     case = (F.col("l_orderkey") + F.col("l_linenumber")) % 9
     word, year = F.concat(F.lit("madde"), F.col("l_partkey").cast("string")), F.year("l_shipdate").cast("string")
@@ -125,8 +137,7 @@ def b11_validate_candidates(spark, sf):
         F.array(word).alias("aliases"), F.array().cast("array<string>").alias("ambiguous_when"), F.array(F.lit("miktari")).alias("cues"), F.array(F.lit("bedeli")).alias("other_cues"), F.lit("adet").alias("unit"), F.lit("adet").alias("predicate_unit"), F.array(F.lit("number")).alias("value_types"),
         F.struct(F.lit("number").alias("type"), F.concat(whole, F.when(case == 7, ".6").otherwise(".5")).alias("value"), *[none.alias(n) for n in ("start", "end", "amount", "currency", "schema_key", "json")]).alias("value"),
         F.create_map().cast("map<string,array<string>>").alias("lexicon"), year.alias("reference_period"), year.alias("expected_period"), none.alias("correction_of"))
-    out = fact_jobs.validate_candidates(rows, now())
-    return out.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.when(F.col("decision") == "verified", F.col("decision")).otherwise(F.concat_ws(":", "decision", F.get("reasons", 0))).alias("decision"))
+    return fact_jobs.validate_candidates(rows, now())
 
 
 @query("""SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS reliability, CASE WHEN s_suppkey % 2 = 0 THEN 60 ELSE 900 END AS poll_seconds, 30 AS max_reports, s_acctbal >= 0 AS active FROM supplier""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,11 +17,19 @@ BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h
 SKIPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside"}
 
 
+#: Settings of a source's pages, as columns beside each page; each may be null or absent.
+PROFILE = ("container", "skipped", "pattern")
+
+
 class Page(HTMLParser):
-    """Blocks of text, links, title and metadata of a page; forgiving about unclosed tags."""
+    """Blocks of text, links, title and metadata of a page; forgiving about unclosed tags.
+
+    ``container``: the element whose blocks are an article's; ``skipped``: elements without text.
+    """
 
-    def __init__(self):
+    def __init__(self, container: str | None = None, skipped: Iterable[str] | None = None):
         super().__init__(convert_charrefs=True)
+        self.container, self.skipped = container or "article", SKIPPED if skipped is None else set(skipped)
         self.blocks: list[list[str]] = []  # [kind, text]
         self.links: list[list[str]] = []  # [href, label]
         self.meta: dict[str, str] = {}
@@ -29,7 +38,7 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
-        if tag in SKIPPED:
+        if tag in self.skipped:
             self._skip += 1
         elif tag == "title":
             self._in_title = True
@@ -39,7 +48,7 @@ class Page(HTMLParser):
             self.meta.setdefault("canonical", at.get("href") or "")
         elif tag == "time" and at.get("datetime"):
             self.meta.setdefault("time", at["datetime"])
-        elif tag == "article":
+        elif tag == self.container:
             self._article += 1
             self.articles += 1
         elif tag == "a" and at.get("href"):
@@ -56,11 +65,11 @@ class Page(HTMLParser):
             self.blocks[-1][1] += " "
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
+        if tag in self.skipped:
             self._skip = max(0, self._skip - 1)
         elif tag == "title":
             self._in_title = False
-        elif tag == "article":
+        elif tag == self.container:
             self._article = max(0, self._article - 1)
         elif tag == "a":
             self._link = None
@@ -81,8 +90,8 @@ class Page(HTMLParser):
         return [b for b in found if b[1]]
 
 
-def parsed(body: str | None) -> Page:
-    page = Page()
+def parsed(body: str | None, container: str | None = None, skipped: Iterable[str] | None = None) -> Page:
+    page = Page(container, skipped)
     page.feed(body or "")
     page.close()
     return page
@@ -159,12 +168,24 @@ def parse_feeds(feeds: DataFrame) -> DataFrame:
     return items.unionByName(drift)
 
 
+def with_profiles(pages: DataFrame, profiles: DataFrame | None) -> DataFrame:
+    """Pages with the settings of their source (profiles: source_id and any of PROFILE), null where it has none."""
+    rows = pages if profiles is None else pages.join(profiles, "source_id", "left")
+    kinds = {"container": "string", "skipped": "array<string>", "pattern": "string"}
+    for name in PROFILE:
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kinds[name]))
+    return rows
+
+
 def _blocks(batches):
     for pdf in batches:
         rows = []
-        for key, body in zip(pdf["page_id"], pdf["body"]):
-            page, at, heading, blocks = parsed(body), 0, None, []
-            for kind, text, _ in page.text_blocks():
+        for key, body, container, skipped in zip(pdf["page_id"], pdf["body"], pdf["container"], pdf["skipped"]):
+            page, at, heading, blocks = parsed(body, container, skipped), 0, None, []
+            for kind, text, inside in page.text_blocks():
+                if container and not inside:
+                    continue
                 heading = text if kind == "heading" else heading
                 blocks.append({"kind": kind, "start": at, "end": at + len(text), "heading": heading, "text": text})
                 at += len(text) + 1
@@ -172,27 +193,34 @@ def _blocks(batches):
         yield pd.DataFrame(rows, columns=["page_id", "raw_text", "blocks", "links", "warnings"])
 
 
-def parse_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, raw_text, blocks, links, warnings) of pages (page_id, body); offsets are code points of raw_text."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "body").mapInPandas(_blocks, "page_id long, raw_text string, blocks array<struct<kind:string,start:int,end:int,heading:string,text:string>>, links array<string>, warnings array<string>")
+def parse_blocks(pages: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """(page_id, raw_text, blocks, links, warnings) of pages (page_id, body); offsets are code points of raw_text.
+
+    ``profiles`` by source_id: with a container only its blocks count.
+    """
+    rows = with_profiles(pages, profiles).select(F.col("page_id").cast("long").alias("page_id"), "body", "container", "skipped")
+    return rows.mapInPandas(_blocks, "page_id long, raw_text string, blocks array<struct<kind:string,start:int,end:int,heading:string,text:string>>, links array<string>, warnings array<string>")
 
 
-def parse_listing(pages: DataFrame, pattern: str) -> DataFrame:
-    """(page_url, url, next): distinct document links of listing pages (url, body) whose path matches.
+def _links(batches):
+    for pdf in batches:
+        rows = []
+        for url, body, pattern in zip(pdf["url"], pdf["body"], pdf["pattern"]):
+            follow = re.search(r"<(?:a|link)\b[^>]*rel=[\"']next[\"'][^>]*href=[\"']([^\"']+)", body or "", re.I)
+            rows += [(url, href, follow[1] if follow else None, pattern) for href, _ in parsed(body).links] or [(url, None, None, pattern)]
+        yield pd.DataFrame(rows, columns=["page_url", "raw", "next", "pattern"])
 
-    A page without any gives one row with a null url (parser drift).
-    """
 
-    def links(batches):
-        for pdf in batches:
-            rows = []
-            for url, body in zip(pdf["url"], pdf["body"]):
-                follow = re.search(r"<(?:a|link)\b[^>]*rel=[\"']next[\"'][^>]*href=[\"']([^\"']+)", body or "", re.I)
-                rows += [(url, href, follow[1] if follow else None) for href, _ in parsed(body).links] or [(url, None, None)]
-            yield pd.DataFrame(rows, columns=["page_url", "raw", "next"])
+def parse_listing(pages: DataFrame, pattern: str | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """(page_url, url, next): distinct document links of listing pages (url, body) whose path matches.
 
-    rows = pages.select("url", "body").mapInPandas(links, "page_url string, raw string, next string").withColumn("url", without_fragment(resolved_url(F.col("raw"), F.col("page_url"))))
-    good = F.try_parse_url("url", F.lit("PATH")).rlike(pattern)
+    The pattern of a page's profile counts, else ``pattern``. A page without any such link gives one row
+    with a null url (parser drift).
+    """
+    rows = with_profiles(pages, profiles).select("url", "body", F.coalesce("pattern", F.lit(pattern)).alias("pattern"))
+    rows = rows.mapInPandas(_links, "page_url string, raw string, next string, pattern string").withColumn("url", without_fragment(resolved_url(F.col("raw"), F.col("page_url"))))
+    rows = rows.withColumn("path", F.try_parse_url("url", F.lit("PATH")))
+    good = F.expr("path rlike pattern")
     return rows.select("page_url", F.when(good, F.col("url")).alias("url"), "next").groupBy("page_url").agg(F.array_compact(F.collect_set("url")).alias("urls"), F.first("next", True).alias("next")).select("page_url", F.explode_outer("urls").alias("url"), "next")
 
 
