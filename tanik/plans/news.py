@@ -54,12 +54,27 @@ def c2_report_components(spark, sf):
     return connected_components(pairs.strong_pairs(saved(features(spark, sf))))
 
 
-@query(None)
+#: The replay in SQL, one report a step: what it scores best against the events so far, and its own.
+EVENTS = f"""{PAIRS}, o AS (SELECT id, key, row_number() OVER (ORDER BY doc_id) AS k FROM g), t AS (SELECT b.k, list({{'i': a.k, 's': score}}) AS near FROM s JOIN o a ON a.id = s.a JOIN o b ON b.id = s.b WHERE score >= 0.7 GROUP BY b.k),
+u AS MATERIALIZED (SELECT o.*, coalesce(near, []) AS near FROM o LEFT JOIN t USING (k)),
+r AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS member, ''::VARCHAR AS id, ''::VARCHAR AS decision, 0.0::DOUBLE AS score UNION ALL
+  SELECT k, list_append(member, CASE WHEN decision = 'joined' THEN best[1].e ELSE sha256('["event","' || key || '"]') END), id, decision, coalesce(-best[1].m, 0) FROM (
+    SELECT *, CASE WHEN len(best) = 0 THEN 'created' WHEN -best[1].m < 1 AND len(best) > 1 AND best[2].m - best[1].m < 0.08 THEN 'ambiguous' ELSE 'joined' END AS decision FROM (
+      SELECT k, member, id, key, list_sort(list_transform(list_distinct(list_transform(cand, lambda c: c.e)), lambda e: {{'m': -list_max(list_transform(list_filter(cand, lambda c: c.e = e), lambda c: c.s)), 'e': e}})) AS best FROM (
+        SELECT u.k, r.member, u.id, u.key, list_transform(u.near, lambda x: {{'e': r.member[x.i], 's': x.s}}) AS cand FROM r JOIN u ON u.k = r.k + 1)))),
+ev AS MATERIALIZED (SELECT id, member[k] AS event_id, decision, score FROM r WHERE k > 0)"""
+
+
+@query(f"WITH RECURSIVE {EVENTS} SELECT id AS report_id, event_id, decision, round(score, 6) AS score FROM ev")
 def e7_cluster_reports(spark, sf):
-    return events.cluster_reports(saved(features(spark, sf)))
+    return events.cluster_reports(saved(features(spark, sf))).select("report_id", "event_id", "decision", F.round("score", 6).alias("score"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EVENTS}, m AS (SELECT ev.event_id, g.id, g.doc_id, g.source_id, g.tokens, sha256(text) AS h FROM ev JOIN g USING (id) JOIN documents USING (doc_id)),
+c AS MATERIALIZED (SELECT b.event_id, b.id, b.doc_id, b.source_id, coalesce(min(a.doc_id), b.doc_id) AS up FROM m b LEFT JOIN m a ON a.event_id = b.event_id AND a.doc_id < b.doc_id
+  AND (a.h = b.h OR (len(a.tokens) >= 15 AND len(b.tokens) >= 15 AND len(list_intersect(a.tokens, b.tokens)) >= 0.85 * (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))))) GROUP BY b.event_id, b.id, b.doc_id, b.source_id),
+w AS (SELECT event_id, id, doc_id AS at, up FROM c UNION ALL SELECT w.event_id, w.id, c.doc_id, c.up FROM w JOIN c ON c.event_id = w.event_id AND c.doc_id = w.up WHERE w.up <> w.at)
+SELECT w.event_id, w.id AS report_id, 'unknown:' || c.source_id AS family FROM w JOIN c ON c.event_id = w.event_id AND c.doc_id = w.at WHERE w.up = w.at""")
 def e5_evidence_families(spark, sf):
     rows = saved(features(spark, sf))
     found = events.cluster_reports(rows).select("event_id", F.col("report_id").alias("id"))
