@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tanik.functions.ids import json_hash
 
+# --- fixed values: how far each sign raises or lowers the confidence in an event, and its importance
+FLOOR, FAMILY, FRESH, RELIABLE, PLACED, OFFICIAL, CONTRADICTED, UNKNOWN = 0.15, 0.12, 0.1, 0.1, 0.1, 0.2, 0.2, 0.03
+MOST_FAMILIES, FRESH_SECONDS = 4, 86400
+BY_SCORE, BY_REPORT, BY_UPDATE, BY_PLACE, MOST_REPORTS, MOST_UPDATES = 0.5, 0.025, 0.025, 0.125, 10, 5
+
 BY_FAMILY = ("event_id", "family", "predicate", "scope")
 
 
@@ -63,11 +68,11 @@ def confidence_signals(reports: DataFrame, claims: DataFrame, entities: DataFram
     u = updates.groupBy("event_id").agg(hour("at").alias("updates_last_hour"))
     rows = r.join(c, "event_id", "left").join(e, "event_id", "left").join(u, "event_id", "left")
     rows = rows.fillna(0, ["active_claims", "supported_claims", "contradictions", "updates_last_hour"]).fillna(0.0, ["geographic_specificity"])
-    fresh = F.coalesce(F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), at - F.col("freshest")) / 86400), F.lit(0.0))
+    fresh = F.coalesce(F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), at - F.col("freshest")) / FRESH_SECONDS), F.lit(0.0))
     rows = rows.withColumn("freshness", fresh)
-    raw = 0.15 + F.least("families", F.lit(4)) * 0.12 + F.col("freshness") * 0.1 + F.col("source_reliability") * 0.1 + F.col("geographic_specificity") * 0.1 + F.when(F.col("official_reports") > 0, 0.2).otherwise(0.0) - F.col("contradictions") * 0.2 - F.col("unknown_origins") * 0.03
+    raw = FLOOR + F.least("families", F.lit(MOST_FAMILIES)) * FAMILY + F.col("freshness") * FRESH + F.col("source_reliability") * RELIABLE + F.col("geographic_specificity") * PLACED + F.when(F.col("official_reports") > 0, OFFICIAL).otherwise(0.0) - F.col("contradictions") * CONTRADICTED - F.col("unknown_origins") * UNKNOWN
     rows = rows.withColumn("raw", F.when(F.col("active_claims") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(0.0))
-    weight = F.col("raw") * 0.5 + F.least("reports_last_hour", F.lit(10)) * 0.025 + F.least("updates_last_hour", F.lit(5)) * 0.025 + F.col("geographic_specificity") * 0.125
+    weight = F.col("raw") * BY_SCORE + F.least("reports_last_hour", F.lit(MOST_REPORTS)) * BY_REPORT + F.least("updates_last_hour", F.lit(MOST_UPDATES)) * BY_UPDATE + F.col("geographic_specificity") * BY_PLACE
     return rows.select("event_id", "reports", "families", "unknown_origins", "official_reports", "active_claims", "supported_claims", "freshness", "reports_last_hour", "updates_last_hour", "contradictions", "geographic_specificity", "source_reliability", F.round("raw", 3).alias("score"), F.round(F.least(F.lit(1.0), weight), 3).alias("importance"))
 
 

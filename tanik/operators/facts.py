@@ -10,12 +10,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tanik.functions.ids import json_hash, quote_matches, utf16_slice
 from tanik.functions.text import parse_dates
 
+# --- fixed values: the shape of a fact's value, what makes two facts rivals, and the forms of keys and times
 VALUE = "struct<type:string,value:string,start:string,end:string,amount:string,currency:string,schema_key:string,json:string>"
 CONTEXT = ("subject_entity_id", "topic_id", "predicate", "reference_period")
 _KEY = "^[a-z0-9]+(?:[._-][a-z0-9]+)*$"
 _OFFSET = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
+# --- fixed values: numbers and money as texts write them
+NUMBER_FORM = "^-?[0-9]+(?:,[0-9]+)?$"
+MONEY_FORM = r"^((?:0|[1-9][0-9]*)(?:,[0-9]{1,2})?|[1-9][0-9]{0,2}(?:\.[0-9]{3})+(?:,[0-9]{1,2})?)\s*(TL|TRY|₺)$"
+
+
 def _day(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
@@ -76,6 +82,7 @@ def publication_errors(rows: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("errors", F.array_compact(F.array(*[F.when(broken, name) for broken, name in rules])))
 
 
+# --- fixed values: coverage reasons that do not stand against a fact
 TOLERATED = ("document_limit", "bounded_or_incomplete_discovery")
 
 
@@ -135,10 +142,9 @@ def validate_candidates(rows: DataFrame, now: Column) -> DataFrame:
     years = F.when(value["type"].isin("date", "datetime"), F.array(F.substring(value["value"], 1, 4))).when(value["type"] == "date_range", F.array(F.substring(value["start"], 1, 4), F.substring(value["end"], 1, 4))).otherwise(F.array().cast("array<string>"))
     periods = F.regexp_extract_all("reference_period", F.lit("(?<![0-9])[0-9]{4}(?![0-9])"), F.lit(0))
     text = F.trim("value_text")
-    number = text.rlike("^-?[0-9]+(?:,[0-9]+)?$") & (F.replace(text, F.lit(","), F.lit(".")).try_cast("double") == value["value"].try_cast("double"))
-    money_form = r"^((?:0|[1-9][0-9]*)(?:,[0-9]{1,2})?|[1-9][0-9]{0,2}(?:\.[0-9]{3})+(?:,[0-9]{1,2})?)\s*(TL|TRY|₺)$"
-    amount = F.replace(F.replace(F.regexp_extract("value_text", money_form, 1), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    money = col("value_text").rlike(money_form) & (value["currency"] == "TRY") & (amount == value["amount"])
+    number = text.rlike(NUMBER_FORM) & (F.replace(text, F.lit(","), F.lit(".")).try_cast("double") == value["value"].try_cast("double"))
+    amount = F.replace(F.replace(F.regexp_extract("value_text", MONEY_FORM, 1), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    money = col("value_text").rlike(MONEY_FORM) & (value["currency"] == "TRY") & (amount == value["amount"])
     words = F.coalesce(F.try_element_at("lexicon", value["value"]), F.array().cast("array<string>"))
     grounded = (
         F.when(value["type"] == "date", (F.size(dates) == 1) & (F.get(dates, 0) == value["value"]))
@@ -245,6 +251,7 @@ def fact_history(facts: DataFrame, actions: DataFrame) -> DataFrame:
     return born.unionByName(done).groupBy("fact_id", "at", "action").agg(F.max("origin").alias("origin"))
 
 
+# --- fixed values: states that take no action
 FINAL = ("superseded", "revoked", "expired")
 
 

@@ -70,11 +70,15 @@ def e7_cluster_reports(spark, sf):
     return events.cluster_reports(saved(features(spark, sf))).select("report_id", "event_id", "decision", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {EVENTS}, m AS (SELECT ev.event_id, g.id, g.doc_id, g.source_id, g.tokens, sha256(text) AS h FROM ev JOIN g USING (id) JOIN documents USING (doc_id)),
+#: Each report's first copy in its event, followed to a report that copies none.
+FAMILIES = f"""{EVENTS}, m AS (SELECT ev.event_id, g.*, sha256(text) AS h FROM ev JOIN g USING (id) JOIN documents USING (doc_id)),
 c AS MATERIALIZED (SELECT b.event_id, b.id, b.doc_id, b.source_id, coalesce(min(a.doc_id), b.doc_id) AS up FROM m b LEFT JOIN m a ON a.event_id = b.event_id AND a.doc_id < b.doc_id
   AND (a.h = b.h OR (len(a.tokens) >= 15 AND len(b.tokens) >= 15 AND len(list_intersect(a.tokens, b.tokens)) >= 0.85 * (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))))) GROUP BY b.event_id, b.id, b.doc_id, b.source_id),
-w AS (SELECT event_id, id, doc_id AS at, up FROM c UNION ALL SELECT w.event_id, w.id, c.doc_id, c.up FROM w JOIN c ON c.event_id = w.event_id AND c.doc_id = w.up WHERE w.up <> w.at)
-SELECT w.event_id, w.id AS report_id, 'unknown:' || c.source_id AS family FROM w JOIN c ON c.event_id = w.event_id AND c.doc_id = w.at WHERE w.up = w.at""")
+w AS (SELECT event_id, id, doc_id AS at, up FROM c UNION ALL SELECT w.event_id, w.id, c.doc_id, c.up FROM w JOIN c ON c.event_id = w.event_id AND c.doc_id = w.up WHERE w.up <> w.at),
+fam AS (SELECT w.event_id, w.id, 'unknown:' || c.source_id AS family FROM w JOIN c ON c.event_id = w.event_id AND c.doc_id = w.at WHERE w.up = w.at)"""
+
+
+@query(f"WITH RECURSIVE {FAMILIES} SELECT event_id, id AS report_id, family FROM fam")
 def e5_evidence_families(spark, sf):
     rows = saved(features(spark, sf))
     found = events.cluster_reports(rows).select("event_id", F.col("report_id").alias("id"))
@@ -82,7 +86,17 @@ def e5_evidence_families(spark, sf):
     return events.evidence_families(rows.join(found, "id").withColumn("agency", none).withColumn("source_family", none))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {FAMILIES}, told AS (SELECT m.event_id, m.id, m.doc_id, m.key, m.source_id, family, len(m.tokens) % 3 AS value, len(things) > 0 AS placed, epoch({NOW}) - epoch({START}) - doc_id * 300 AS age FROM m JOIN fam USING (event_id, id)),
+x AS (SELECT *, doc_id = max(doc_id) OVER (PARTITION BY event_id, key) AS active FROM told),
+k AS (SELECT event_id, value, count(*) FILTER (active) AS live, count(DISTINCT family) FILTER (active) AS families FROM x GROUP BY ALL),
+st AS (SELECT *, CASE WHEN live = 0 THEN 'superseded' WHEN count(*) FILTER (live > 0) OVER (PARTITION BY event_id) > 1 THEN 'conflicting' WHEN families >= 2 THEN 'supported' ELSE 'weakly_supported' END AS status FROM k),
+cl AS (SELECT event_id, count(*) FILTER (status <> 'superseded') AS active_claims, count(*) FILTER (status = 'supported') AS supported_claims, count(DISTINCT CASE WHEN status = 'conflicting' THEN 1 END) AS contradictions FROM st GROUP BY 1),
+ql AS (SELECT source AS source_id, avg(quality) AS q FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+e AS (SELECT event_id, count(*) AS reports, count(DISTINCT family) AS families, count(DISTINCT CASE WHEN family LIKE 'unknown:%' THEN family END) AS unknown_origins, min(age) FILTER (age >= 0) AS youngest, count(*) FILTER (age < 3600) AS hour, max(placed) AS placed, avg(coalesce(q, 0.5)) AS rel FROM told LEFT JOIN ql USING (source_id) GROUP BY 1),
+y AS (SELECT *, coalesce(greatest(0, 1 - youngest / 86400), 0)::DOUBLE AS fresh, CASE WHEN placed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS geo FROM e JOIN cl USING (event_id)),
+z AS (SELECT *, CASE WHEN active_claims > 0 THEN greatest(0, least(1, 0.15::DOUBLE + least(families, 4) * 0.12::DOUBLE + fresh * 0.1::DOUBLE + rel * 0.1::DOUBLE + geo * 0.1::DOUBLE - contradictions * 0.2::DOUBLE - unknown_origins * 0.03::DOUBLE)) ELSE 0 END AS raw FROM y)
+SELECT event_id, reports, families, unknown_origins, 0 AS official_reports, active_claims, supported_claims, round(fresh, 6) AS freshness, hour AS reports_last_hour, hour AS updates_last_hour, contradictions, geo AS geographic_specificity, round(rel, 6) AS source_reliability, round(raw, 3) AS score,
+  round(least(1, raw * 0.5::DOUBLE + least(hour, 10) * 0.025::DOUBLE + least(hour, 5) * 0.025::DOUBLE + geo * 0.125::DOUBLE), 3) AS importance FROM z""")
 def j_events(spark, sf):
     """Reports to events with claims, confidence and importance."""
     rows = saved(features(spark, sf))
@@ -96,7 +110,8 @@ def j_events(spark, sf):
     known = claims.reconcile_claims(evidence)
     reports = told.join(quality, "source_id", "left").select("event_id", F.col("id").alias("report_id"), "family", F.coalesce("source_reliability", F.lit(0.5)).alias("source_reliability"), "published_at", F.lit(None).cast("timestamp").alias("modified_at"), "discovered_at", none.alias("official_version_id"))
     things = told.select("event_id", F.explode("entities").alias("e")).select("event_id", "e.kind")
-    return claims.confidence_signals(reports, known, things, told.select("event_id", F.col("discovered_at").alias("at")), now())
+    out = claims.confidence_signals(reports, known, things, told.select("event_id", F.col("discovered_at").alias("at")), now())
+    return out.withColumn("freshness", F.round("freshness", 6)).withColumn("source_reliability", F.round("source_reliability", 6))
 
 
 @query(f"""WITH {FEATURES}, ev AS (SELECT 'e' || (doc_id // 40) AS event_id, {START} + to_minutes((min(doc_id) * 5)::BIGINT) AS lo, {START} + to_minutes((max(doc_id) * 5)::BIGINT) AS hi FROM g GROUP BY 1),
