@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows of one Arrow batch of texts.
@@ -22,3 +26,16 @@ def small_batches(texts: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(name)) <= ROWS:
         conf.set(name, str(ROWS))
     return texts
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; at its end the worker process, which goes on with other tasks, gives back what it no longer uses."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return wrapped

@@ -1,6 +1,6 @@
 """Language of a text: a bidirectional gated recurrent network over bytes, written in numpy.
 
-A text's bytes are cut into windows of 64. Each direction of the network reads a window from its own
+A text's bytes are cut into windows of 64, at whose ends the context ends. Each direction of the network reads a window from its own
 end; at every byte the two states together label the language there. A document's probabilities are
 the mean of those of all its bytes. The network is trained by backpropagation through time on windows
 from a bounded sample of documents whose language is known.
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tanik.llm.common import fold, small_batches
+from tanik.llm.common import fold, released, small_batches
 from tanik.llm.vectors import smallest_ids
 
 WINDOW = 64
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
 
     Bounded sample: of every language the ``most`` documents with the smallest hash of the key, fewer
     beyond 64 languages so that all have about 64 * ``most`` at most, and of each ``per_text`` windows
-    spread over the whole text. No language is left out.
+    spread over the whole text. No language is left out. Of several rows of a key the smallest text counts.
     """
     rows = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     known = rows.where("key IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(learn)
@@ -156,7 +156,8 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     most = max(1, min(most, 64 * most // len(names)))
     hashed = known.select("lang", F.struct(F.xxhash64("key").alias("h"), "key").alias("hashed"))
     chosen = smallest_ids(hashed, ["lang"], "hashed", most).select(F.explode("ids").alias("id")).select("id.key")
-    sample = known.join(F.broadcast(chosen.distinct()), "key").select("text", "lang").mapInArrow(_sampled(per_text), "raw binary, lang string").toArrow()
+    once = known.join(F.broadcast(chosen.distinct()), "key").groupBy("key", "lang").agg(F.min("text").alias("text"))
+    sample = once.select("text", "lang").mapInArrow(_sampled(per_text), "raw binary, lang string").toArrow()
     found = sorted((lang, raw) for lang, raw in zip(sample.column("lang").to_pylist(), sample.column("raw").to_pylist()))
     data = np.frombuffer(b"".join(raw for _, raw in found), np.int16).reshape(-1, WINDOW)
     place = {name: n for n, name in enumerate(names)}
@@ -201,7 +202,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], names: list[str], te
     """
     rows = small_batches(docs).select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("lang_text"))
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(_named(model, names, list(keep)), f"{kinds}, lang_pred string, lang_score double")
+    return rows.mapInArrow(released(_named(model, names, list(keep))), f"{kinds}, lang_pred string, lang_score double")
 
 
 def _selected(model, names: list[str], least: float):
@@ -227,7 +228,7 @@ def keep_known_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """
     model, names = fit(docs, F.lit(True))
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_selected(model, names, least), kinds)
+    return small_batches(docs).mapInArrow(released(_selected(model, names, least)), kinds)
 
 
 def classify(docs: DataFrame) -> DataFrame:

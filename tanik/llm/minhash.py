@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tanik.llm.common import small_batches
+from tanik.llm.common import released, small_batches
 from tanik.operators.components import connected_components
 from tanik.session import saved
 
@@ -32,7 +32,7 @@ BLOCK = 512
 #: Bits of the filter that saves making sets of documents which no pair needs.
 FILTER_BITS = 1 << 24
 #: Entries kept of the memory of words, per worker process; it is dropped when full.
-MEMORY = 300_000
+MEMORY = 200_000
 
 _draw = np.random.default_rng(2024)
 _A = _draw.integers(1 << 62, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,7 +125,7 @@ def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     bits[np.asarray(words.column("word"), np.int64)] = np.asarray(words.column("bits"), np.int64).view(np.uint64)
-    return texts.where("id IS NOT NULL").select("id", "text", bit.alias("bit")).mapInArrow(_wanted(bits), "id long, set array<long>").dropDuplicates(["id", "set"])
+    return texts.where("id IS NOT NULL").select("id", "text", bit.alias("bit")).mapInArrow(released(_wanted(bits)), "id long, set array<long>").dropDuplicates(["id", "set"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def link_documents(docs: DataFrame, percent: int = 85, text: str = "text", key:
     numbers. An empty table gives an empty one; other columns are left out.
     """
     texts = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    signed = saved(texts.mapInArrow(_signed, "id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    signed = saved(texts.mapInArrow(released(_signed), "id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     classes = saved(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
 
     dealt = classes.select("rep", F.explode("bands").alias("bucket")).distinct()

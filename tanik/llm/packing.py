@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from tanik.llm.bpe import alphabet_bytes
-from tanik.llm.common import small_batches
+from tanik.llm.common import released, small_batches
 from tanik.session import saved
 
 #: The pattern by which byte-level vocabularies cut a text into words.
@@ -180,7 +180,7 @@ def pack_documents(docs: DataFrame, path: str, most: int = 2048, end: int = 0, p
     ``sequence_id`` numbers are not gapless; offsets within a sequence are.
     """
     kind = docs.schema[key].dataType.simpleString()
-    pieces = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(_pieces(path, most, end), f"key {kind}, piece int, start long, length long, ids_crc32 long")
+    pieces = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(released(_pieces(path, most, end)), f"key {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = saved(pieces)
     shards = max(1, -(-pieces.count() // per_shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "start"), F.lit(shards)))

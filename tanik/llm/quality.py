@@ -101,12 +101,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
 
     Bounded sample: at most ``most`` labelled rows, those with the smallest hash of the key, whatever
     the size of the tables. Rows with a null key or a label other than 0 or 1 are not used; a key
-    labelled twice counts with its larger label, once. Without usable rows all weights are 0.
+    labelled twice counts with its larger label, once; of several rows of a key the smallest text counts. Without usable rows all weights are 0.
     """
     chosen = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(f"`{key}`").alias("key")).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.where("key IS NOT NULL").where(learn).orderBy(F.xxhash64("key"), "key").limit(most)
     texts = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "key").select("text", "label").mapInArrow(_vectors, "index array<int>, value array<float>, label int")
+    once = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    rows = once.select("text", "label").mapInArrow(_vectors, "index array<int>, value array<float>, label int")
     table = rows.toArrow()  # at most `most` keys
     lists = zip(table.column("index"), table.column("value"), table.column("label").to_pylist())
     examples = [(np.asarray(i.values, np.int64), np.asarray(v.values, float), y) for i, v, y in lists]

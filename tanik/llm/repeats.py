@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tanik.llm.common import small_batches
+from tanik.llm.common import released, small_batches
 from tanik.llm.minhash import FILTER_BITS
 from tanik.session import saved
 
@@ -459,16 +459,16 @@ def _named(docs: DataFrame, least: int, text: str, key: str, everything: bool, b
     # different texts under one key are told apart by their place in ``tags``; nearly always there are none
     tags = saved(sums.groupBy("id").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("id").join(sums, "id").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags")))
 
-    found = rows.mapInArrow(_anchored(least, buckets, stretch), "bucket long, hashes binary, docs binary, places binary").groupBy("bucket").applyInArrow(_shared, "id long, place long")
+    found = rows.mapInArrow(released(_anchored(least, buckets, stretch)), "bucket long, hashes binary, docs binary, places binary").groupBy("bucket").applyInArrow(_shared, "id long, place long")
     places = found.groupBy("id").agg(F.collect_list("place").alias("places"))
     if not everything:
         places = places.join(copies.select("id").distinct().join(tags, "id", "left_anti"), "id", "left_anti")
     places = saved(places.join(tags, "id", "left"))
     kept = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    parts, groups = max(1, -(-kept // bucket_runs)), max(1, -(-kept // (8 * bucket_runs)))
+    parts, groups = (max(1, -(-kept // bucket_runs)),) * 2
     squeezed = tagged.withColumn("bit", _bit("id")).mapInArrow(_selected(_bitmap(places), "bit", True, "text", True), "id long, text binary, tag long")
     joined = squeezed.join(places, "id").select("id", "text", F.coalesce(F.array_position("tags", F.col("tag")), F.lit(0)).cast("int").alias("version"), "places")
-    runs = joined.mapInArrow(_runs(least, parts, groups, stretch), _RUNS_SCHEMA)
+    runs = joined.mapInArrow(released(_runs(least, parts, groups, stretch)), _RUNS_SCHEMA)
     named = runs.groupBy("bucket").applyInArrow(_names(least, groups, everything), _NAMED_SCHEMA + ", copied boolean")
     return copies, tags, named, groups
 

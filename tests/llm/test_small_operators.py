@@ -126,7 +126,7 @@ def test_packing_odd_rows_and_the_number_of_sequences(spark):
     lengths = sorted((r.length for r in split), reverse=True)
     whole = len({s for s, _ in packing.best_fit(lengths, 2048)})
     assert whole <= len({r.sequence_id for r in packing.pack_documents(many, BYTES).collect()}) <= whole  # one shard is one global packing
-    assert len({r.sequence_id for r in split}) <= whole + len(lengths) // 100 + 1  # at most about a sequence for each shard
+    assert len({r.sequence_id for r in split}) <= whole + 2 * (len(lengths) // 100 + 1)  # one or two sequences for each shard
     assert whole <= -(-sum(lengths) // 2048) * 1.03 + 1
 
 
