@@ -214,9 +214,13 @@ def h12_chunk_blocks(spark, sf):
     return html.chunk_blocks(rows, 100).groupBy("document_id").agg(F.count("*").alias("windows"))
 
 
-@query("SELECT o_orderkey, o_totalprice AS value FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN (o_custkey % 11)::DOUBLE ELSE o_totalprice END AS value FROM orders")
 def h4_read_number(spark, sf):
-    shown = F.when(F.col("o_orderkey") % 2 == 0, F.replace(F.col("o_totalprice").cast("string"), F.lit("."), F.lit(","))).otherwise(F.col("o_totalprice").cast("string"))
+    """Words up to ten, and digits with a point or a comma."""
+    words = F.array(*[F.lit(w) for w in ("sıfır", "bir", "iki", "üç", "dört", "beş", "altı", "Yedi", "sekiz", "dokuz", "on")])
+    digits = F.col("o_totalprice").cast("string")
+    kind = F.col("o_orderkey") % 3
+    shown = F.when(kind == 0, F.element_at(words, (F.col("o_custkey") % 11 + 1).cast("int"))).when(kind == 1, F.replace(digits, F.lit("."), F.lit(","))).otherwise(digits)
     return table(spark, sf, "orders").select("o_orderkey", read_number(shown).alias("value"))
 
 

@@ -295,19 +295,32 @@ def c11_search_aliases(spark, sf):
     return answers.search_aliases(asked, said).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH {FACTS} SELECT l.id, CASE WHEN value::INT % 10 = 0 THEN value || ',5' ELSE value END AS shown FROM facts l""")
+_MONTHS = "['Ocak', 'Şubat', 'Mart', 'Nisan', 'Mayıs', 'Haziran', 'Temmuz', 'Ağustos', 'Eylül', 'Ekim', 'Kasım', 'Aralık']"
+_DAY = f"day({{0}}) || ' ' || {_MONTHS}[month({{0}})] || ' ' || year({{0}})"
+
+
+@query(f"""SELECT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN l_quantity::INT || ',5' WHEN 1 THEN CASE WHEN l_quantity < 10 THEN '' ELSE (l_quantity::INT // 10) || '.' END || CASE WHEN l_quantity < 10 THEN l_quantity::INT::VARCHAR ELSE lpad((l_quantity::INT % 10)::VARCHAR, 1, '0') || '00' END || ',75 TRY'
+  WHEN 2 THEN {_DAY.format('l_shipdate')} WHEN 3 THEN {_DAY.format('l_shipdate')} || ' – ' || {_DAY.format('(l_shipdate + INTERVAL 9 DAY)')} WHEN 4 THEN CASE WHEN l_quantity < 20 THEN 'Evet' ELSE 'Hayır' END WHEN 5 THEN {_DAY.format('(l_shipdate + INTERVAL 9200 DAY)')} || ' 13:30' END AS shown FROM lineitem""")
 def h16_format_value(spark, sf):
-    rows = shapes.facts(spark, sf)
-    value = F.when(F.col("value.value").cast("int") % 10 == 0, F.col("value").withField("value", F.concat("value.value", F.lit(".5")))).otherwise(F.col("value"))
-    return rows.select("id", answers.format_value(value).alias("shown"))
+    """Numbers, money with and without thousands, days, ranges, yes and no, times, and a link, which has no text."""
+    case, whole, none = ((F.col("l_orderkey") + F.col("l_linenumber")) % 7).cast("int"), F.col("l_quantity").cast("int"), F.lit(None).cast("string")
+    day = lambda add: F.date_format(F.date_add("l_shipdate", add), "yyyy-MM-dd")
+    text = F.when(case == 0, F.concat(whole.cast("string"), F.lit(".5"))).when(case.isin(2, 3), day(0)).when(case == 4, F.when(F.col("l_quantity") < 20, "true").otherwise("false")).when(case == 5, F.concat(day(9200), F.lit("T10:30:00Z"))).otherwise("https://x.org")
+    amount = F.concat(F.when(whole < 10, whole).otherwise(whole * 100).cast("string"), F.lit(".75"))
+    kinds = F.array(*[F.lit(k) for k in ("number", "money", "date", "date_range", "boolean", "datetime", "url")])
+    value = F.struct(F.element_at(kinds, case + 1).alias("type"), text.alias("value"), day(0).alias("start"), day(9).alias("end"), amount.alias("amount"), F.lit("TRY").alias("currency"), none.alias("schema_key"), none.alias("json"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"), answers.format_value(value).alias("shown"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') || ',' || strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-05') || ',' || strftime(o_orderdate, '%Y-%m-09') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS days FROM orders""")
 def h6_parse_dates(spark, sf):
+    """Single days, a list of two, and a range inside a month."""
     months = F.array(*[F.lit(m) for m in ("ocak", "subat", "mart", "nisan", "mayis", "haziran", "temmuz", "agustos", "eylul", "ekim", "kasim", "aralik")])
-    day = F.col("o_orderdate")
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "dd.MM.yyyy")).otherwise(F.concat_ws(" ", F.dayofmonth(day).cast("string"), F.element_at(months, F.month(day)), F.year(day).cast("string")))
-    return table(spark, sf, "orders").select("o_orderkey", F.get(parse_dates(text), F.lit(0)).alias("day"))
+    day, kind = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    numeric = lambda d: F.date_format(d, "dd.MM.yyyy")
+    month = F.concat_ws(" ", F.element_at(months, F.month(day)), F.year(day).cast("string"))
+    text = F.when(kind == 0, numeric(day)).when(kind == 1, F.concat_ws(" ", F.dayofmonth(day).cast("string"), month)).when(kind == 2, F.concat(numeric(day), F.lit("-"), numeric(F.date_add(day.cast("date"), 3)))).otherwise(F.concat(F.lit("5-9 "), month))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(parse_dates(text), ",").alias("days"))
 
 
 @query(f"""SELECT event_id::VARCHAR AS id, event_type AS title, event_type AS category, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published_at, CASE WHEN event_id % 2 = 0 THEN 'official' ELSE 'event' END AS origin FROM events WHERE event_type = 'view' ORDER BY ts DESC, id LIMIT 50""")
@@ -344,11 +357,16 @@ def d13_public_events(spark, sf):
     return out.select("event_id", "stale", "primary_report_id", F.size("sources").cast("long").alias("n_sources"))
 
 
-@query(r"""SELECT category, count(*) AS n FROM (SELECT CASE WHEN event_type = 'click' THEN 'spor' WHEN regexp_matches(event_type, '\b(view)\b') THEN 'dunya' WHEN event_type = 'error' THEN 'gundem' ELSE 'ekonomi' END AS category FROM (SELECT event_type FROM events)) GROUP BY 1""")
+_CATEGORY = r"""CASE WHEN regexp_matches({0}, '\b(?:the|les)\b') THEN 'dunya' WHEN regexp_matches({0}, '\b(?:der|die|los)\b') THEN 'ekonomi'"""
+
+
+@query(rf"""WITH n AS (SELECT doc_id, {_N.replace('text', 'text[1:80]')} AS title, {_N} AS body FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'spor' ELSE coalesce({_CATEGORY.format('title')} END, CASE WHEN doc_id % 5 = 1 THEN 'gundem' WHEN doc_id % 7 = 0 THEN 'egitim' END, {_CATEGORY.format('body')} ELSE 'gundem' END) END AS category FROM n""")
 def b7_news_category(spark, sf):
-    kind = F.when(F.col("event_type") == "click", "sports").when(F.col("event_type") == "error", "crime").otherwise("general")
-    rows = table(spark, sf, "events").select(news_category(F.col("event_type"), F.col("event_type"), kind, F.lit("x"), (("dunya", "view"), ("ekonomi", "purchase|signup"))).alias("category"))
-    return rows.groupBy("category").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("doc_id") % 5 == 0, "sports").when(F.col("doc_id") % 5 == 1, "crime").otherwise("general")
+    source = F.when(F.col("doc_id") % 7 == 0, "yok").otherwise("x")
+    rows = table(spark, sf, "documents").select("doc_id", normalize_text(F.substring("text", 1, 80)).alias("title"), normalize_text("text").alias("body"))
+    return rows.select("doc_id", news_category(F.col("title"), F.col("body"), kind, source, (("dunya", "the|les"), ("ekonomi", "der|die|los"))).alias("category"))
 
 
 @query("""WITH RECURSIVE t AS (SELECT p_partkey AS topic_id, CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 4 WHEN p_partkey % 10 = 7 THEN p_partkey - 4 WHEN p_partkey > 1 THEN p_partkey - 1 - p_partkey % 7 END AS parent_id FROM part),
