@@ -66,7 +66,7 @@ def b15_registry_problems(spark, sf):
 
 
 #: Text of a piece of a page in SQL: no tags, entities read, white space as one space.
-_PLAIN = "trim(regexp_replace(html_unescape(regexp_replace(regexp_replace({0}, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')), '\\s+', ' ', 'g'))".replace("html_unescape(", "replace(replace(replace(").replace("'', 'g'))", "'', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')", 1)
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _BLOCKS = f"""art AS (SELECT page_id, url, html, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS head, list_filter(list_transform(string_split(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<p>')[2:], lambda x: {_PLAIN.format("string_split(x, '</p>')[1]")}), lambda x: x <> '') AS paras FROM pages)"""
 
 
