@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tanik.llm import bpe, embeddings, hnsw, langid, minhash, packing, pii, quality, repeats, warc
+from tanik.llm import bpe, embeddings, hnsw, langid, minhash, packing, pii, quality, repeats, turns, warc
 from tanik.session import table
 
 
@@ -58,4 +58,9 @@ def op10_repeats(spark, sf_dir):
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op5_neardup, op6_pii, op7_language, op8_vectors, op9_neighbours, op10_repeats)}
+def op11_repair(spark, sf_dir):
+    """The cheapest repair of every conversation after planted damage."""
+    return turns.digest(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op5_neardup, op6_pii, op7_language, op8_vectors, op9_neighbours, op10_repeats, op11_repair)}
