@@ -62,4 +62,14 @@ SELECT record_id, canonical_url, status, base_id, CASE WHEN status = 'resolved'
   'content-length: ' || bn || '; content-type: text/html; date: ' || fd || CASE WHEN coalesce(fe, be) IS NOT NULL THEN '; etag: ' || coalesce(fe, be) ELSE '' END || '; last-modified: ' || fm ELSE '' END AS headers
 FROM m"""
 
-ORACLES = {"op1_revisits": OP1, "op6_pii": OP6}
+OP13 = """WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)"""
+
+ORACLES = {"op1_revisits": OP1, "op6_pii": OP6, "op13_negatives": OP13}
