@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tanik.llm import bpe, embeddings, hnsw, langid, minhash, negatives, packing, pii, quality, repeats, turns, warc
+from tanik.llm import bpe, embeddings, hnsw, langid, minhash, negatives, packing, pii, quality, repeats, turns, warc, weighting
 from tanik.session import table
 
 
@@ -63,9 +63,14 @@ def op11_repair(spark, sf_dir):
     return turns.digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_weighting(spark, sf_dir):
+    """A context-tree-weighting score of every text of documents."""
+    return weighting.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark, sf_dir):
     """Hard negatives of every hundredth vector of embeddings."""
     return negatives.digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op5_neardup, op6_pii, op7_language, op8_vectors, op9_neighbours, op10_repeats, op11_repair, op13_negatives)}
+QUERIES = {f.__name__: f for f in (op1_revisits, op2_packing, op3_quality, op4_bpe, op5_neardup, op6_pii, op7_language, op8_vectors, op9_neighbours, op10_repeats, op11_repair, op12_weighting, op13_negatives)}
