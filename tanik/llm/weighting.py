@@ -36,6 +36,8 @@ END = b"\xff"
 #: Levels of the tree that all parts share; deeper ones lie whole in one part.
 TOP = 3
 HALF = math.log(0.5)
+#: A gram of this depth and the number of its piece fit one number of 64 bits.
+MOST_DEPTH = 5
 
 
 def log_gamma(x, log: Callable):
@@ -139,41 +141,56 @@ def _hash(values: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Block:
-    """Pieces of texts: their words, and their grams with the piece of each."""
+    """Pieces of texts: their words, and their grams with the piece of each.
+
+    A gram and its piece are one number, so that one plain sort brings equal grams together and what is
+    summed over them is read in order.
+    """
 
     def __init__(self, raw: bytes, lengths: list[int], learned: list[bool], depth: int):
-        pieces, at, self.words, sizes = [], 0, [], []
+        words, at, sizes = [], 0, []
         for n in lengths:  # a piece: ``depth`` bytes of context, words, then a space or the end
-            pieces.append(raw[at : at + n])
+            own = raw[at + depth : at + n - 1].split()
             at += n
-            words = pieces[-1][depth:-1].split()
-            self.words += words if pieces[-1][-1:] != END else [*words, b""]
-            sizes.append(len(words) + (pieces[-1][-1:] == END))
-        self.word_piece = np.repeat(np.arange(len(pieces)), sizes)
+            if raw[at - 1] == END[0]:
+                own.append(b"")
+            words += own
+            sizes.append(len(own))
+        self.learned = np.array(learned, bool)
+        self.words = list(dict.fromkeys(words))
+        number = dict(zip(self.words, range(len(self.words))))
+        self.word = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        self.word_piece = np.repeat(np.arange(len(lengths)), sizes)
+
         wide = np.frombuffer(raw, np.uint8).astype(np.uint64)
         keys = wide[depth:].copy()
         for back in range(1, depth + 1):
             keys |= wide[depth - back : len(wide) - back] << np.uint64(8 * (depth + 1 - back))
-        starts = np.cumsum([0, *lengths])[:-1]
         inside = np.ones(len(wide), bool)
+        starts = np.cumsum([0, *lengths])[:-1]
         for k in range(depth):
             inside[starts + k] = False
-        self.gram_piece = np.repeat(np.arange(len(pieces)), np.array(lengths) - depth)
-        self.grams = keys[inside[depth:]]
-        self.learned = np.array(learned, bool)
+        keys = keys[inside[depth:]] << np.uint64(16)
+        keys |= np.repeat(np.arange(len(lengths), dtype=np.uint64), np.array(lengths) - depth)
+        keys.sort()
+        self.gram_piece = (keys & np.uint64(0xFFFF)).astype(np.int64)
+        keys >>= np.uint64(16)
+        fresh = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+        self.starts = np.flatnonzero(fresh)
+        self.grams = keys[self.starts]
+
+    def word_counts(self) -> np.ndarray:
+        """How often the learned pieces hold each different word."""
+        return np.bincount(self.word[self.learned[self.word_piece]], minlength=len(self.words)).astype(np.uint32)
 
-    def word_counts(self) -> tuple[list[bytes], np.ndarray]:
-        """Different words in their first order, and how often the learned pieces hold them."""
-        different = list(dict.fromkeys(self.words))
-        taught = Counter(w for w, t in zip(self.words, self.learned[self.word_piece].tolist()) if t)
-        return different, np.array([taught[w] for w in different], np.uint32)
+    def gram_counts(self) -> np.ndarray:
+        return np.add.reduceat(self.learned[self.gram_piece], self.starts, dtype=np.uint32)
 
-    def gram_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        every = np.unique(self.grams)
-        taught, counts = np.unique(self.grams[self.learned[self.gram_piece]], return_counts=True)
-        out = np.zeros(len(every), np.uint32)
-        out[np.searchsorted(every, taught)] = counts
-        return every, out
+    def summed(self, logs: np.ndarray) -> np.ndarray:
+        """The sum over each piece of a value of each different gram."""
+        each = np.repeat(logs, np.diff(self.starts, append=len(self.gram_piece)))
+        return np.bincount(self.gram_piece, each, len(self.learned))
 
 
 def _by_part(of: np.ndarray) -> dict[int, np.ndarray]:
@@ -190,6 +207,9 @@ def _word_parts(words: list[bytes], parts: int) -> dict[int, np.ndarray]:
 def _cut(text: str, depth: int, most: int) -> Iterator[bytes]:
     """A text's pieces with their contexts; words are never cut."""
     words = text.encode("utf-8", "replace").lower().split()
+    if len(text) < most // 4:  # at most four bytes a character
+        yield END * depth + b" ".join(words) + END
+        return
     before, at = END * depth, 0
     while True:
         end, size = at, 0
@@ -215,8 +235,7 @@ def _blocks(depth: int, parts: int, most: int):
         """The row with a block's pieces and a row for each part that it asks."""
         raw, lengths, learned = b"".join(p[0] for p in pieces), [len(p[0]) for p in pieces], [p[2] for p in pieces]
         made = Block(raw, lengths, learned, depth)
-        words, word_counts = made.word_counts()
-        grams, gram_counts = made.gram_counts()
+        words, word_counts, grams, gram_counts = made.words, made.word_counts(), made.grams, made.gram_counts()
         rows = [(block, -1, _pack(raw), lengths, [p[1] for p in pieces], learned, *[None] * 4, [p[3] for p in pieces])]
         of_words, of_grams, none = _word_parts(words, parts), _by_part(_hash(grams, parts)), np.empty(0, np.int64)
         for part in sorted({*of_words, *of_grams}):
@@ -233,7 +252,7 @@ def _blocks(depth: int, parts: int, most: int):
                 for task, text, learn, names_ in zip(*(part.column(n).to_pylist() for n in ("task", "text", "learn", "kept"))):
                     base = task << 33
                     for piece in _cut(text or "", depth, most):
-                        if size and size + len(piece) > most:
+                        if size and (size + len(piece) > most or len(pieces) > 0xFFFF):
                             yield asked(base + made, pieces, kept)
                             pieces, size, made = [], 0, made + 1
                         pieces.append((piece, base + row, learn, names_))
@@ -338,23 +357,19 @@ def _scored(depth: int, parts: int, tokens: int, different: int):
         asked = rows.to_pylist()
         body = next(r for r in asked if r["part"] < 0)
         block = Block(zstandard.decompress(body["data"]), body["lengths"], body["learned"], depth)
-        words = list(dict.fromkeys(block.words))
-        grams, place = np.unique(block.grams, return_inverse=True)
-        of_grams, of_words = _by_part(_hash(grams, parts)), _word_parts(words, parts)
-        logs, counts = np.zeros(len(grams)), np.zeros(len(words))
+        of_grams, of_words = _by_part(_hash(block.grams, parts)), _word_parts(block.words, parts)
+        logs, counts = np.zeros(len(block.grams)), np.zeros(len(block.words))
         for row in asked:
             if row["logs"] is not None and row["part"] in of_grams:
                 logs[of_grams[row["part"]]] = _unpack(row["logs"], np.float32)
             if row["counts"] is not None and row["part"] in of_words:
                 counts[of_words[row["part"]]] = _unpack(row["counts"], np.int64)
         n = len(body["lengths"])
-        number = {w: k for k, w in enumerate(words)}
-        each = counts[np.array([number[w] for w in block.words], np.int64)] if words else counts
-        base = np.log10((each + 0.1) / (tokens + 0.1 * (different + 1)))
-        sums = lambda values, owner: np.bincount(owner, values, n)
+        base = np.log10((counts + 0.1) / (tokens + 0.1 * (different + 1)))
+        sums = lambda values: np.bincount(block.word_piece, values[block.word], n)
         return pa.table({
             "text": pa.array(body["texts"], pa.int64()), "kept": rows.column("kept").filter(pc.is_valid(rows.column("kept"))).combine_chunks().flatten(), "learned": pa.array(body["learned"]), "n_bytes": np.bincount(block.gram_piece, minlength=n).astype(np.int64), "n_tokens": np.bincount(block.word_piece, minlength=n).astype(np.int64),
-            "n_known": sums(each > 0, block.word_piece).astype(np.int64), "base_score": sums(base, block.word_piece), "score": sums(logs[place], block.gram_piece),
+            "n_known": sums(counts > 0).astype(np.int64), "base_score": sums(base), "score": block.summed(logs),
         })
 
     return run
@@ -402,15 +417,15 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
 
     The model learns from the rows where ``learn`` holds (null: it does). ``score`` is its log10 probability of
     the text's words and end, ``bits_per_byte`` the code length over the bytes read, and ``base_score`` that
-    of a smoothed unigram model over the same words. ``depth``: bytes of context, TOP to 7. ``block``:
+    of a smoothed unigram model over the same words. ``depth``: bytes of context, TOP to MOST_DEPTH. ``block``:
     bytes of text of one block; a longer text is cut between words into pieces that know the bytes before
     them, a longer word is a piece of its own. ``per_part``: bytes of text behind one part of the counts.
 
     A null or empty text is the end alone. Every row gives one row, repeated rows and null keys included; an
     empty table gives an empty one; the other columns are left out.
     """
-    if not TOP <= depth <= 7:
-        raise ValueError(f"depth must be {TOP} to 7")
+    if not TOP <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth must be {TOP} to {MOST_DEPTH}")
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first().n or 0
     parts = max(1, -(-int(size) // per_part))
     kept = ", ".join(f"`{k}`: {docs.schema[k].dataType.simpleString()}" for k in keep)

@@ -131,6 +131,6 @@ def test_log_gamma():
 
 
 def test_held_out_texts_score_above_single_words(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = [r for r in weighting.digest(docs).collect() if r.held_out]
-    assert len(held) > 5 and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert len(held) > 50 and sum(r.score for r in held) > sum(r.base_score for r in held)
