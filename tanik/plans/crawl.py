@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tanik.functions import spans
-from tanik.functions.ids import quote_matches, utf16_length
+from tanik.functions.ids import quote_matches, utf16_length, utf16_slice
 from tanik.functions.text import agency_hint, fold_turkish, normalize_query, normalize_text, parse_news_date, private_summary, read_number
 from tanik.operators import answers, facts as fact_jobs, feed, pairs
 from tanik.plans import shapes
@@ -70,22 +70,42 @@ _PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(re
 _BLOCKS = f"""art AS (SELECT page_id, url, html, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS head, list_filter(list_transform(string_split(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<p>')[2:], lambda x: {_PLAIN.format("string_split(x, '</p>')[1]")}), lambda x: x <> '') AS paras FROM pages)"""
 
 
-@query(rf"""WITH {_BLOCKS}, t AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^HTTP', 'http') AS canonical_url, {_PLAIN.format('head')} AS title, array_to_string(paras, chr(10)) AS text FROM art)
-SELECT page_id, canonical_url, title, md5(text) AS text_md5, length(text)::BIGINT AS n, CASE WHEN length(text) < 40 THEN 'article_parser_drift' END AS problem, strftime({START} + to_minutes(page_id), '%Y-%m-%d %H:%M') AS discovered, sha256('["' || page_id || '",' || to_json(canonical_url) || ']') AS key FROM t""")
+@query(rf"""WITH {_BLOCKS}, t AS (SELECT page_id, CASE WHEN page_id % 2 = 1 OR starts_with(url, 'https:') THEN regexp_replace(regexp_replace(url, '#.*$', ''), '^HTTP', 'http') END AS canonical_url, {_PLAIN.format('head')} AS title, array_to_string(paras, chr(10)) AS text FROM art)
+SELECT page_id, canonical_url, title, md5(text) AS text_md5, length(text)::BIGINT AS n, CASE WHEN page_id % 7 = 0 THEN 'source_access_control' WHEN length(text) < 40 THEN 'article_parser_drift' WHEN page_id % 3 = 0 AND length(text) > 900 THEN 'article_text_limit' WHEN canonical_url IS NULL THEN 'source_url_restricted' END AS problem,
+  strftime({START} + to_minutes(page_id), '%Y-%m-%d %H:%M') AS discovered, CASE WHEN page_id % 5 = 0 THEN '2024-03-05 07:08' END AS published, sha256('["' || page_id || '",' || coalesce(to_json(canonical_url), 'null') || ']') AS key FROM t""")
 def a8_parse_articles(spark, sf):
-    rows = _pages(spark, sf).select("page_id", F.col("page_id").cast("string").alias("source_id"), "url", F.col("html").alias("body"), at_minutes(F.col("page_id")).alias("checked_at"))
-    out = html.parse_articles(rows)
-    return out.select(F.col("source_id").cast("long").alias("page_id"), "canonical_url", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n"), "problem", F.date_format("discovered_at", "yyyy-MM-dd HH:mm").alias("discovered"), "key")
-
-
-@query(rf"""WITH {_BLOCKS}, b AS (SELECT page_id, html, list_concat(list_filter(list_transform(regexp_extract_all(split_part(html, '<article>', 2), '<h1>(.*?)</h1>', 1, 's'), lambda x: {_PLAIN.format('x')}), lambda x: x <> ''), paras) AS t FROM art)
-SELECT page_id, array_to_string(t, chr(10)) AS raw_text, len(t)::BIGINT AS blocks, coalesce(list_sum(list_transform(t, lambda x: length(x))), 0)::BIGINT AS letters, array_to_string(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1), ' ') AS links FROM b""")
+    """Each page is its own source: some hide paragraphs, are closed, hold links to their host or shorten articles."""
+    rows = _pages(spark, sf)
+    more = F.when(F.col("page_id") % 5 == 0, '<time datetime="2024-03-05T07:08:00Z"></time><aside><p>not this</p></aside><p hidden>nor this</p>').otherwise("")
+    wall = F.when(F.col("page_id") % 7 == 0, '<div class="box paywall">pay</div>').otherwise("")
+    body = F.concat(wall, F.replace(F.col("html"), F.lit("</article>"), F.concat(more, F.lit("</article>"))))
+    pages = rows.select(F.col("page_id").cast("string").alias("source_id"), "url", body.alias("body"), at_minutes(F.col("page_id")).alias("checked_at"))
+    hosts = F.when(F.col("page_id") % 2 == 0, F.array(F.lower(F.try_parse_url("url", F.lit("HOST")))))
+    profiles = rows.select(F.col("page_id").cast("string").alias("source_id"), F.lit("article > h1").alias("title"), F.lit("article:not(.teaser)").alias("article"), hosts.alias("hosts"), F.when(F.col("page_id") % 3 == 0, 900).alias("most"))
+    out = html.parse_articles(pages, profiles=profiles)
+    minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return out.select(F.col("source_id").cast("long").alias("page_id"), "canonical_url", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n"), "problem", minute("discovered_at").alias("discovered"), minute("published_at").alias("published"), "key")
+
+
+#: What a9 adds to each article, and the blocks and kinds that come of it.
+_MORE = '<div hidden>no</div><form><p>no</p></form><div>plain <b>bold</b> \U0001f600<p>in</p>tail</div><ul><li>one <p>two</p></li></ul><table><tr><th>a</th><td colspan="2">b \U0001f600</td></tr></table><a href="/f/x.pdf?v=1">file</a>'
+_MORE_BLOCKS = "['paragraph|plain bold \U0001f600', 'paragraph|in', 'paragraph|tail', 'list_item|one two', 'table_row|a | b \U0001f600', 'paragraph|file']"
+
+
+@query(rf"""WITH {_BLOCKS}, b AS (SELECT page_id, url, list_concat(list_filter(list_transform(regexp_extract_all(split_part(html, '<article>', 2), '<h1>(.*?)</h1>', 1, 's'), lambda x: 'heading|' || {_PLAIN.format('x')}), lambda x: x <> 'heading|'), list_transform(paras, lambda x: 'paragraph|' || x), {_MORE_BLOCKS}) AS t FROM art),
+u AS (SELECT page_id, url, t, unnest(t) AS x, generate_subscripts(t, 1) AS n FROM b),
+w AS (SELECT page_id, url, n, split_part(x, '|', 1) AS kind, regexp_replace(x, '^[a-z_]+\|', '') AS x FROM u), l AS (SELECT *, length(x) + len(regexp_extract_all(x, '[\x{{10000}}-\x{{10FFFF}}]')) AS units FROM w),
+o AS (SELECT *, sum(units + 1) OVER (PARTITION BY page_id ORDER BY n) - units - 1 AS start FROM l)
+SELECT page_id, any_value(h.title) AS title, string_agg(x, chr(10) ORDER BY n) AS raw_text, string_agg(kind || ':' || start::BIGINT || ':' || (start + units)::BIGINT, ',' ORDER BY n) AS blocks,
+  any_value(lower(regexp_extract(url, '^[A-Za-z]+://[^/]*'))) || '/f/x.pdf?v=1 application/pdf x.pdf' AS files, 'complex_table_requires_review' AS warnings FROM o JOIN (SELECT page_id, {_PLAIN.format('head')} AS title FROM art) h USING (page_id) GROUP BY page_id""")
 def a9_parse_blocks(spark, sf):
-    """Blocks of the article itself; the length of each is that of its place in the text."""
-    rows = html.parse_blocks(_pages(spark, sf).select("page_id", F.col("html").alias("body")))
-    same = F.forall("blocks", lambda b: F.substring(F.col("raw_text"), b["start"] + 1, b["end"] - b["start"]) == b["text"])
-    letters = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["end"] - b["start"])
-    return rows.select("page_id", "raw_text", F.size("blocks").cast("long").alias("blocks"), F.when(same, letters).alias("letters"), F.array_join("links", " ").alias("links"))
+    """Every block of the article with its place in UTF-16 units; each block must be the text at its place."""
+    rows = _pages(spark, sf).select(F.lit("s").alias("source_id"), "page_id", F.regexp_replace("url", "^HTTP", "http").alias("url"), F.replace(F.col("html"), F.lit("</article>"), F.lit(f"{_MORE}</article>")).alias("body"))
+    profiles = spark.createDataFrame([("s", "h1", "article")], "source_id string, title string, body_selector string")
+    found = html.parse_blocks(rows, profiles)
+    place = lambda b: F.when(utf16_slice(F.col("raw_text"), b["start"], b["end"]) == b["text"], F.concat_ws(":", b["kind"], b["start"], b["end"]))
+    file = lambda x: F.concat_ws(" ", x["url"], x["mime_type"], x["filename"])
+    return found.select("page_id", "title", "raw_text", F.array_join(F.transform("blocks", place), ",", "misplaced").alias("blocks"), F.array_join(F.transform("attachments", file), ",").alias("files"), F.array_join("warnings", ",").alias("warnings"))
 
 
 @query(r"""WITH l AS (SELECT url, list_distinct(list_filter(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1), lambda x: regexp_full_match(x, '/[a-zA-Z]+'))) AS p FROM pages)
@@ -95,20 +115,20 @@ def a10_parse_listing(spark, sf):
 
 
 @query(f"""WITH k AS (SELECT page_id, ['rss', 'atom', 'news_sitemap', 'sitemap', 'index'][page_id % 5 + 1] AS kind, {START} + to_minutes(page_id) AS t FROM pages),
-i AS (SELECT page_id, kind, unnest(CASE WHEN kind = 'index' THEN ['item', 'next'] WHEN kind = 'sitemap' THEN ['item', 'feed'] ELSE ['item'] END) AS role, t FROM k WHERE page_id % 11 <> 0)
-SELECT page_id, role, 'https://x.example.org/' || CASE role WHEN 'item' THEN 'a' WHEN 'next' THEN 'next' ELSE 'more' END || page_id AS url, CASE WHEN kind IN ('rss', 'atom', 'news_sitemap') THEN strftime(t, '%Y-%m-%d %H:%M') END AS published_at FROM i
+i AS (SELECT page_id, kind, unnest(CASE WHEN kind = 'index' THEN ['item', 'next', 'candidate'] WHEN kind = 'sitemap' THEN ['item', 'feed'] ELSE ['item'] END) AS role, t FROM k WHERE page_id % 11 <> 0)
+SELECT page_id, role, 'https://x.example.org/' || CASE role WHEN 'item' THEN 'a' WHEN 'next' THEN 'next' WHEN 'candidate' THEN 'rss' ELSE 'more' END || page_id AS url, CASE WHEN kind IN ('rss', 'atom', 'news_sitemap') THEN strftime(t, '%Y-%m-%d %H:%M') END AS published_at FROM i
 UNION ALL SELECT page_id, 'parser_drift', NULL, NULL FROM k WHERE page_id % 11 = 0""")
 def a7_parse_feeds(spark, sf):
     """Each page's own feed in one of five forms, in which its item comes twice; one in eleven is empty."""
     key, at = F.col("page_id").cast("string"), at_minutes(F.col("page_id"))
     link, iso = F.concat(F.lit("https://x.example.org/a"), key), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rss = F.concat(F.lit("<item><link>"), link, F.lit("</link><pubDate>Mon, "), F.date_format(at, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
-    atom = F.concat(F.lit('<entry><link rel="alternate" href="'), link, F.lit('"/><updated>'), iso, F.lit("</updated></entry>"))
+    rss = F.concat(F.lit("<item><title><![CDATA[a <link>no</link> b]]></title><link><![CDATA["), link, F.lit("]]></link><pubDate>Mon, "), F.date_format(at, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    atom = F.concat(F.lit('<entry><link href="https://x.example.org/edit" rel="edit"/><link rel="alternate" href="'), link, F.lit('"/><updated>2030-01-01T00:00:00Z</updated><published>'), iso, F.lit("</published></entry>"))
     news = F.concat(F.lit("<url><loc>"), link, F.lit("</loc><news:publication_date>"), iso, F.lit("</news:publication_date></url>"))
     plain = F.concat(F.lit("<url><loc>"), link, F.lit("</loc><lastmod>"), iso, F.lit("</lastmod></url>"))
     more = F.concat(F.lit("<sitemap><loc>https://x.example.org/more"), key, F.lit("</loc></sitemap>"))
-    after = F.concat(F.lit('<link rel="next" href="/next'), key, F.lit('">'))
-    forms = F.array(F.concat(rss, rss), F.concat(atom, atom), F.concat(news, news), F.concat(plain, plain, more), F.concat(F.lit('<a href="/a'), key, F.lit('">t</a><a href="/a'), key, F.lit('#part">u</a>'), after))
+    after = F.concat(F.lit('<link type="application/rss+xml" rel="alternate" href="/rss'), key, F.lit('"><a rel="next" href="/next'), key, F.lit('">n</a>'))
+    forms = F.array(F.concat(rss, rss), F.concat(atom, atom), F.concat(news, news), F.concat(plain, plain, more), F.concat(F.lit('<a href="/menu">m</a><article><a href="/a'), key, F.lit('">t</a><a href="/a'), key, F.lit('#part">u</a></article>'), after))
     kind = (F.col("page_id") % 5 + 1).cast("int")
     body = F.when(F.col("page_id") % 11 == 0, F.lit("")).otherwise(F.element_at(forms, kind))
     rows = _pages(spark, sf).select(key.alias("source_id"), F.lit("https://x.example.org/feed").alias("url"), F.element_at(F.array(*[F.lit(k) for k in ("rss", "atom", "news_sitemap", "sitemap", "index")]), kind).alias("kind"), body.alias("body"))

@@ -1,225 +1,302 @@
-"""Stored feed and page bodies to rows, on Arrow batches with the standard library's parsers."""
+"""Stored feed and page bodies to rows: a document tree and the selectors of each source's profile, on Arrow batches."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from html.parser import HTMLParser
+from collections.abc import Iterator
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tanik.functions import vocab
+from tanik.functions.ids import utf16_length
 from tanik.functions.text import fold_turkish, normalize_content, parse_news_date
+from tanik.sources import dom
 from tanik.sources.reports import with_identity
-from tanik.sources.urls import resolved_url, without_fragment
+from tanik.sources.urls import resolved_rows, resolved_url, without_fragment
 
-BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "list_item", "tr": "table_row"}
-SKIPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside"}
+#: Settings of a source's pages, columns of a table of profiles by source_id; each may be null or absent. title, article, body,
+#: publication, listing and next are CSS selectors; attachments, pattern and leading_date patterns of Python or,
+#: for pattern, of Java; hosts the hosts to which links are held; most the longest text of an article.
+PROFILE = {"title": "string", "article": "string", "body_selector": "string", "publication": "string", "attachments": "string", "leading_date": "string", "listing": "string", "next": "string", "pattern": "string", "hosts": "array<string>", "most": "int"}
 
+# --- fixed values: what is no part of an article, what closes it, blocks, and elements that run within a line
+HIDDEN = 'script, style, noscript, iframe, form, nav, aside, [hidden], [aria-hidden="true"]'
+CLOSED = "[data-paywall], .paywall, .g-recaptcha"
+CLOSED_TEXT = r'"isAccessibleForFree"\s*:\s*(?:false|"false")'
+BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "div": "paragraph"}
+NESTED = frozenset("h1 h2 h3 h4 h5 h6 p div ul ol table section".split())
+WITHIN = frozenset("span a strong em b i br".split())
+LEAST, MOST = 40, 100_000
+#: Nesting beyond which an element's text is one block.
+DEEPEST = 150
 
-#: Settings of a source's pages, as columns beside each page; each may be null or absent.
-PROFILE = ("container", "skipped", "pattern")
 
+def with_profiles(pages: DataFrame, profiles: DataFrame | None) -> DataFrame:
+    """Pages with the settings of their source (profiles: source_id and any of PROFILE), null where it has none."""
+    rows = pages.drop(*PROFILE)
+    rows = rows if profiles is None else rows.join(profiles, "source_id", "left")
+    for name, kind in PROFILE.items():
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    return rows
 
-class Page(HTMLParser):
-    """Blocks of text, links, title and metadata of a page; forgiving about unclosed tags.
 
-    ``container``: the element whose blocks are an article's; ``skipped``: elements without text.
-    """
+def clean(text: str) -> str:
+    return " ".join(text.split())
+
+
+def units(text: str) -> int:
+    """Length in UTF-16 units."""
+    return len(text) + sum(c > "\uffff" for c in text)
 
-    def __init__(self, container: str | None = None, skipped: Iterable[str] | None = None):
-        super().__init__(convert_charrefs=True)
-        self.container, self.skipped = container or "article", SKIPPED if skipped is None else set(skipped)
-        self.blocks: list[list[str]] = []  # [kind, text]
-        self.links: list[list[str]] = []  # [href, label]
-        self.meta: dict[str, str] = {}
-        self.title, self.warnings, self.articles = "", [], 0
-        self._skip, self._kind, self._in_title, self._link, self._article = 0, None, False, None, 0
-
-    def handle_starttag(self, tag, attrs):
-        at = dict(attrs)
-        if tag in self.skipped:
-            self._skip += 1
-        elif tag == "title":
-            self._in_title = True
-        elif tag == "meta" and (name := at.get("property") or at.get("name") or at.get("itemprop")):
-            self.meta.setdefault(name.lower(), at.get("content") or "")
-        elif tag == "link" and (at.get("rel") or "").lower() == "canonical":
-            self.meta.setdefault("canonical", at.get("href") or "")
-        elif tag == "time" and at.get("datetime"):
-            self.meta.setdefault("time", at["datetime"])
-        elif tag == self.container:
-            self._article += 1
-            self.articles += 1
-        elif tag == "a" and at.get("href"):
-            self._link = [at["href"], ""]
-            self.links.append(self._link)
-        if tag in ("td", "th") and any((at.get(k) or "1").strip() not in ("0", "1") for k in ("rowspan", "colspan")):
-            self.warnings.append("table_span")
-        if tag in BLOCKS and not self._skip:
-            self._kind = BLOCKS[tag]
-            self.blocks.append([self._kind, "", str(self._article > 0)])
-        elif tag in ("td", "th") and self._kind == "table_row" and self.blocks[-1][1]:
-            self.blocks[-1][1] += " | "
-        elif tag == "br" and self._kind:
-            self.blocks[-1][1] += " "
-
-    def handle_endtag(self, tag):
-        if tag in self.skipped:
-            self._skip = max(0, self._skip - 1)
-        elif tag == "title":
-            self._in_title = False
-        elif tag == self.container:
-            self._article = max(0, self._article - 1)
-        elif tag == "a":
-            self._link = None
-        elif tag in BLOCKS:
-            self._kind = None
-
-    def handle_data(self, data):
-        if self._in_title:
-            self.title += data
-        elif not self._skip:
-            if self._kind:
-                self.blocks[-1][1] += data
-            if self._link is not None:
-                self._link[1] += data
-
-    def text_blocks(self) -> list[tuple[str, str, bool]]:
-        found = [(kind, " ".join(text.split()), inside == "True") for kind, text, inside in self.blocks]
-        return [b for b in found if b[1]]
-
-
-def parsed(body: str | None, container: str | None = None, skipped: Iterable[str] | None = None) -> Page:
-    page = Page(container, skipped)
-    page.feed(body or "")
-    page.close()
-    return page
+
+def _attribute(node: dom.Node | None, name: str) -> str | None:
+    return (node.attrs.get(name) or None) if node else None
+
+
+def _text_of(node: dom.Node | None) -> str | None:
+    return (clean(node.text()) or None) if node else None
+
+
+def _article(body: str, title: str | None, article: str | None, publication: str | None) -> tuple:
+    page = dom.parsed(body)
+    closed = bool(re.search(CLOSED_TEXT, body, re.I)) or dom.first(page, CLOSED) is not None
+    head = _text_of(dom.first(page, title or "h1"))
+    if not title and not head:
+        head = _attribute(dom.first(page, 'meta[property="og:title"]'), "content") or _text_of(dom.first(page, "title"))
+    root = dom.first(page, article or "article")
+    if root is None and not article:
+        root = dom.first(page, "body") or page
+    dates = [_attribute(dom.first(page, 'meta[property="article:published_time"]'), "content")]
+    text = ""
+    if root is not None:
+        dom.drop(root, HIDDEN)
+        dates.append(_attribute(dom.first(root, "time[datetime]"), "datetime"))
+        text = "\n".join(t for p in dom.select(root, "p") if (t := clean(p.text()))) or clean(root.text())
+    dates.append(_text_of(dom.first(page, publication)))
+    canonical = _attribute(dom.first(page, 'link[rel="canonical"]'), "href")
+    modified = _attribute(dom.first(page, 'meta[property="article:modified_time"]'), "content")
+    return head or "", text, root is not None, canonical, next((d for d in dates if d), None), modified, closed
 
 
 def _articles(batches):
     for pdf in batches:
-        rows = []
-        for source, url, body in zip(pdf["source_id"], pdf["url"], pdf["body"]):
-            page = parsed(body)
-            inside = [t for kind, t, article in page.text_blocks() if kind == "paragraph" and (article or not page.articles)]
-            title = next((t for kind, t, _ in page.text_blocks() if kind == "heading"), "") or page.meta.get("og:title", "") or " ".join(page.title.split())
-            dates = [page.meta.get(k) for k in ("article:published_time", "datepublished", "time")]
-            rows.append((source, url, title, "\n".join(inside), page.meta.get("canonical") or None, next((d for d in dates if d), None), page.meta.get("article:modified_time") or page.meta.get("datemodified") or None, page.meta.get("isaccessibleforfree", "").lower() == "false"))
-        yield pd.DataFrame(rows, columns=["source_id", "url", "title", "text", "canonical", "published", "modified", "closed"])
+        rows = [_article(body or "", *settings) for body, *settings in zip(pdf["body"], pdf["title"], pdf["article"], pdf["publication"])]
+        out = pdf[["source_id", "url", "checked_at", "hosts", "most"]].reset_index(drop=True)
+        found = pd.DataFrame(rows, columns=["title", "text", "found", "canonical", "published", "modified", "closed"])
+        yield pd.concat([out, found], axis=1)
 
 
-def parse_articles(pages: DataFrame, feed_dates: DataFrame | None = None) -> DataFrame:
+def parse_articles(pages: DataFrame, feed_dates: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Report rows of article pages (source_id, url, body, checked_at), with ``problem`` where there is none.
 
-    Paragraphs of the article joined by newlines. problem: source_access_control, article_parser_drift
-    (under 40 characters), article_text_limit (over 100,000). A page without a date takes that of its
-    feed item (feed_dates: source_id, url, published_at).
+    The profile's ``title`` and ``article`` select the title and the article; without them these are the
+    first h1 (else the page's own title) and the first article (else the page). Hidden elements go; the text is
+    the article's paragraphs joined by newlines, or all of it where it has no paragraph. The date is
+    that of the page's metadata, else of the article's first time, else of what ``publication`` selects,
+    else that of its feed item (feed_dates: source_id, url, published_at).
+
+    problem, the first that holds: source_access_control, article_parser_drift (no title or article, or under
+    40 units of text), article_text_limit (over ``most``), source_url_restricted (the canonical URL is not
+    https on one of ``hosts``, where the profile names any).
     """
-    rows = pages.select("source_id", "url", "body").mapInPandas(_articles, "source_id string, url string, title string, text string, canonical string, published string, modified string, closed boolean")
-    rows = rows.join(pages.select("source_id", "url", "checked_at").dropDuplicates(["source_id", "url"]), ["source_id", "url"])
+    rows = with_profiles(pages, profiles).select("source_id", "url", "body", "checked_at", "title", "article", "publication", "hosts", "most")
+    kinds = dict(rows.dtypes)
+    rows = rows.mapInPandas(_articles, f"source_id {kinds['source_id']}, url string, checked_at {kinds['checked_at']}, hosts array<string>, most int, title string, text string, found boolean, canonical string, published string, modified string, closed boolean")
     date = lambda c: parse_news_date(F.col(c), fold_turkish(F.col(c)))
     rows = rows.withColumn("published_at", date("published")).withColumn("modified_at", date("modified"))
     if feed_dates is not None:
         dates = feed_dates.groupBy("source_id", "url").agg(F.max("published_at").alias("feed_date"))
         rows = rows.join(dates, ["source_id", "url"], "left").withColumn("published_at", F.coalesce("published_at", "feed_date"))
-    link = F.when(F.col("canonical").isNotNull(), resolved_url(F.col("canonical"), F.col("url"))).otherwise(F.col("url"))
-    problem = F.when(F.col("closed"), "source_access_control").when(F.length("text") < 40, "article_parser_drift").when(F.length("text") > 100000, "article_text_limit")
-    out = rows.select("source_id", "url", without_fragment(link).alias("canonical_url"), "title", "text", "published_at", "modified_at", F.col("checked_at").alias("discovered_at"), problem.alias("problem"))
+    rows = resolved_rows(rows.withColumn("raw", F.coalesce("canonical", "url")), "raw", "url")
+    link = F.when(F.col("hosts").isNull(), F.col("full_url")).otherwise(F.col("allowed_url"))
+    length = utf16_length(F.col("text"))
+    drift = (F.col("title") == "") | ~F.col("found") | (length < LEAST)
+    problem = F.when(F.col("closed"), "source_access_control").when(drift, "article_parser_drift").when(length > F.coalesce("most", F.lit(MOST)), "article_text_limit").when(link.isNull(), "source_url_restricted")
+    out = rows.select("source_id", "url", link.alias("canonical_url"), "title", "text", "published_at", "modified_at", F.col("checked_at").alias("discovered_at"), problem.alias("problem"))
     return with_identity(out)
 
 
+def _feed_rows(body: str, kind: str, listing: str | None) -> Iterator[tuple[str, str, str | None]]:
+    """(role, raw link, date) in the order of the feed."""
+    tree = dom.parsed(body, xml=kind in ("rss", "atom", "sitemap", "news_sitemap"))
+    if kind in ("rss", "atom"):
+        for item in dom.select(tree, "item, entry"):
+            link = next((n for n in dom.select(item, "link") if n.attrs.get("rel", "alternate") == "alternate"), None)
+            date = _text_of(dom.first(item, "pubdate, published"))
+            if link is not None and (raw := link.attrs.get("href") or link.text().strip()):
+                yield "item", raw, date
+    elif kind in ("sitemap", "news_sitemap"):
+        for place in dom.select(tree, "sitemap > loc"):
+            yield "feed", place.text().strip(), None
+        for item in dom.select(tree, "url"):  # its lastmod is no publication date
+            place = next((n for n in item.elements() if n.tag == "loc"), None)
+            if place is not None:
+                yield "item", place.text().strip(), _text_of(dom.first(item, "news\\:publication_date"))
+    else:
+        for role, selector in (("item", listing or "article a[href]"), ("next", 'a[rel="next"]')):
+            for link in dom.select(tree, selector):
+                if link.attrs.get("href"):
+                    yield role, link.attrs["href"], None
+        for link in dom.select(tree, 'link[rel="alternate"]'):
+            if re.search("rss|atom", link.attrs.get("type", "")) and link.attrs.get("href"):
+                yield "candidate", link.attrs["href"], None
+
+
 def _feeds(batches):
     for pdf in batches:
         rows = []
-        for source, url, kind, body in zip(pdf["source_id"], pdf["url"], pdf["kind"], pdf["body"]):
-            text = body or ""
-            if kind in ("rss", "atom", "sitemap", "news_sitemap"):
-                item = {"rss": "item", "atom": "entry"}.get(kind, "url")
-                for part in re.findall(rf"<{item}\b[^>]*>(.*?)</{item}>", text, re.S | re.I):
-                    if kind == "atom":
-                        link = re.search(r"<link\b[^>]*href=[\"']([^\"']+)", part, re.I)
-                    else:
-                        link = re.search(rf"<{'link' if kind == 'rss' else 'loc'}>\s*(?:<!\[CDATA\[)?\s*([^<\]]+)", part, re.I)
-                    # a sitemap's lastmod is no publication date
-                    date = re.search({"rss": r"<pubDate>([^<]+)", "atom": r"<(?:published|updated)>([^<]+)", "news_sitemap": r"<news:publication_date>([^<]+)"}.get(kind, r"(?!)"), part, re.I)
-                    if link:
-                        rows.append((source, url, len(rows), "item", link[1].strip().replace("&amp;", "&"), date[1].strip() if date else None))
-                if kind.endswith("sitemap"):
-                    rows += [(source, url, len(rows), "feed", m.strip(), None) for m in re.findall(r"<sitemap\b[^>]*>.*?<loc>\s*([^<]+)", text, re.S | re.I)]
-            else:
-                page = parsed(text)
-                rows += [(source, url, len(rows) + k, "item", href, None) for k, (href, _) in enumerate(page.links)]
-                rows += [(source, url, len(rows), "next", m, None) for m in re.findall(r"<(?:a|link)\b[^>]*rel=[\"']next[\"'][^>]*href=[\"']([^\"']+)", text, re.I)]
-        yield pd.DataFrame(rows, columns=["source_id", "feed_url", "position", "role", "raw", "date"])
-
-
-def parse_feeds(feeds: DataFrame) -> DataFrame:
+        for source, url, kind, body, listing, hosts in zip(*(pdf[c] for c in ("source_id", "url", "kind", "body", "listing", "hosts"))):
+            rows += [(source, url, n, role, raw, date, hosts) for n, (role, raw, date) in enumerate(_feed_rows(body or "", kind, listing))]
+        yield pd.DataFrame(rows, columns=["source_id", "feed_url", "position", "role", "raw", "date", "hosts"])
+
+
+def parse_feeds(feeds: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """(source_id, feed_url, role, url, published_at, position) of feed bodies (source_id, url, kind, body).
 
-    role: item, next or feed, or parser_drift for a feed without any item. Of items with one URL the
-    last one counts, at the place of the first.
+    kind: rss, atom, sitemap, news_sitemap, or index for a page of links (those that the profile's ``listing``
+    selects, else links of articles). role: item, next, feed (of a sitemap of sitemaps), candidate (a feed
+    that a page names), or parser_drift for a feed without any item, next page or feed. Of items with one
+    URL the last one counts, at the place of the first. Where the profile names ``hosts``, other links go.
     """
-    rows = feeds.select("source_id", "url", "kind", "body").mapInPandas(_feeds, "source_id string, feed_url string, position long, role string, raw string, date string")
-    rows = rows.withColumn("url", without_fragment(resolved_url(F.col("raw"), F.col("feed_url")))).withColumn("published_at", parse_news_date(F.col("date"), fold_turkish(F.col("date"))))
-    items = rows.groupBy("source_id", "feed_url", "role", "url").agg(F.max_by("published_at", "position").alias("published_at"), F.min("position").alias("position"))
-    empty = feeds.select("source_id", F.col("url").alias("feed_url")).distinct().join(items.where("role IN ('item', 'feed')"), ["source_id", "feed_url"], "left_anti")
+    rows = with_profiles(feeds, profiles).select("source_id", "url", "kind", "body", "listing", "hosts")
+    kinds = dict(rows.dtypes)
+    rows = rows.mapInPandas(_feeds, f"source_id {kinds['source_id']}, feed_url string, position long, role string, raw string, date string, hosts array<string>")
+    rows = resolved_rows(rows, "raw", "feed_url")
+    held = F.when(F.col("hosts").isNull() | (F.col("role") == "candidate"), F.col("full_url")).otherwise(F.col("allowed_url"))
+    items = rows.withColumn("url", held).groupBy("source_id", "feed_url", "role", "url").agg(F.max_by("date", "position").alias("date"), F.min("position").alias("position")).where("url IS NOT NULL")
+    items = items.withColumn("folded", fold_turkish(F.col("date")))
+    items = items.select("source_id", "feed_url", "role", "url", parse_news_date(F.col("date"), F.col("folded")).alias("published_at"), "position")
+    empty = feeds.select("source_id", F.col("url").alias("feed_url")).distinct().join(items.where("role <> 'candidate'"), ["source_id", "feed_url"], "left_anti")
     drift = empty.select("source_id", "feed_url", F.lit("parser_drift").alias("role"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("long").alias("position"))
     return items.unionByName(drift)
 
 
-def with_profiles(pages: DataFrame, profiles: DataFrame | None) -> DataFrame:
-    """Pages with the settings of their source (profiles: source_id and any of PROFILE), null where it has none."""
-    rows = pages if profiles is None else pages.join(profiles, "source_id", "left")
-    kinds = {"container": "string", "skipped": "array<string>", "pattern": "string"}
-    for name in PROFILE:
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kinds[name]))
-    return rows
+def _pieces(node: dom.Node, path: str, depth: int = 0) -> Iterator[tuple[str, str, str, dom.Node | None]]:
+    """(kind, text, path, element) of the blocks under an element, in order; text between blocks is a paragraph."""
+    if node.tag == "tr":
+        yield "table_row", " | ".join(clean(c.text()) for c in node.elements() if c.tag in ("td", "th")), path, node
+    elif node.tag == "li" or depth > DEEPEST:
+        yield "list_item" if node.tag == "li" else "paragraph", clean(node.text()), path, node
+    elif node.tag in BLOCKS and not any(c.tag in NESTED for c in node.elements()):
+        yield BLOCKS[node.tag], clean(node.text()), path, node
+    else:
+        line, place = [], 0
+        for child in node.children:
+            if isinstance(child, str):
+                line.append(child)
+                continue
+            place += 1
+            if child.tag in WITHIN:
+                line += [child.text(), " "]
+                continue
+            yield "paragraph", clean("".join(line)), path, None
+            line = []
+            yield from _pieces(child, f"{path} > {child.tag}:nth-child({place})", depth + 1)
+        yield "paragraph", clean("".join(line)), path, None
+
+
+def _structured(url: str | None, body: str, title: str | None, selector: str | None, publication: str | None, attachments: str | None, leading_date: str | None) -> tuple:
+    page = dom.parsed(body)
+    head = _text_of(dom.first(page, title or "h1"))
+    root = dom.first(page, selector or "body") or (None if selector else page)
+    if not head or root is None:
+        return head, None, [], [], [], [], [], None, None, "parser_drift"
+    dom.drop(root, HIDDEN)
+    blocks, warnings, at, heading = [], set(), 0, head
+    for kind, text, path, node in _pieces(root, selector or "body"):
+        if not text:
+            continue
+        heading = text if kind == "heading" else heading
+        blocks.append({"kind": kind, "start": at, "end": at + units(text), "heading": heading, "text": text, "selector": path})
+        at += units(text) + 1
+        if kind == "table_row" and dom.first(node, "[rowspan], [colspan]"):
+            warnings.add("complex_table_requires_review")
+    raw = "\n".join(b["text"] for b in blocks)
+    if units(raw) < LEAST:
+        return head, None, [], [], [], [], [], None, None, "parser_drift"
+    links, official, files = [], [], []
+    for link in dom.select(root, "a[href]"):
+        href = link.attrs["href"]
+        links.append(href)
+        try:
+            full = urljoin(url or "", href)
+            parts = urlsplit(full)
+        except ValueError:
+            continue
+        if parts.scheme == "https" and parts.hostname and not parts.username and not parts.password:
+            official.append({"url": full, "text": clean(link.text())})
+        pdf = re.search(r"\.pdf(?:$|[?#])", full, re.I) is not None
+        if parts.scheme in ("http", "https") and (pdf or (attachments and re.search(attachments, full))):
+            files.append({"url": full, "mime_type": "application/pdf" if pdf else None, "filename": parts.path.rsplit("/", 1)[-1]})
+    dated = _text_of(dom.first(page, publication))
+    if leading_date:
+        dated = m[1] if (m := re.match(leading_date, raw)) else None
+    return head, raw, blocks, links, official, files, sorted(warnings), _attribute(dom.first(page, 'meta[property="article:published_time"]'), "content"), dated, None
+
+
+_STRUCTURED = "title string, raw_text string, blocks array<struct<kind:string,start:int,end:int,heading:string,text:string,selector:string>>, links array<string>, official_links array<struct<url:string,text:string>>, attachments array<struct<url:string,mime_type:string,filename:string>>, warnings array<string>, meta_date string, publication_date string, problem string"
 
 
 def _blocks(batches):
+    names = [f.split()[0] for f in _STRUCTURED.split(", ")]
     for pdf in batches:
-        rows = []
-        for key, body, container, skipped in zip(pdf["page_id"], pdf["body"], pdf["container"], pdf["skipped"]):
-            page, at, heading, blocks = parsed(body, container, skipped), 0, None, []
-            for kind, text, inside in page.text_blocks():
-                if container and not inside:
-                    continue
-                heading = text if kind == "heading" else heading
-                blocks.append({"kind": kind, "start": at, "end": at + len(text), "heading": heading, "text": text})
-                at += len(text) + 1
-            rows.append((key, "\n".join(b["text"] for b in blocks), blocks, [h for h, _ in page.links], sorted(set(page.warnings))))
-        yield pd.DataFrame(rows, columns=["page_id", "raw_text", "blocks", "links", "warnings"])
+        settings = ("url", "body", "title", "body_selector", "publication", "attachments", "leading_date")
+        found = pd.DataFrame([_structured(url, body or "", *rest) for url, body, *rest in zip(*(pdf[c] for c in settings))], columns=names)
+        yield pd.concat([pdf[["page_id"]].reset_index(drop=True), found], axis=1)
 
 
-def parse_blocks(pages: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """(page_id, raw_text, blocks, links, warnings) of pages (page_id, body); offsets are code points of raw_text.
+def _explicit_date(text: Column) -> Column:
+    """The time of a date with its month in words, as an institution prints it (UTC+3)."""
+    pattern = rf"^([0-9]{{1,2}}) ({'|'.join(vocab.MONTH_NAMES)}) ([0-9]{{4}})(?: ([0-9]{{2}}:[0-9]{{2}}))?$"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    month = F.lpad(F.array_position(F.array(*[F.lit(m) for m in vocab.MONTH_NAMES]), part(2)).cast("string"), 2, "0")
+    clock = F.when(part(4) == "", "00:00").otherwise(part(4))
+    return F.when(text.rlike(pattern), F.concat(part(3), F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), clock, F.lit(":00+03:00")).try_cast("timestamp"))
+
 
-    ``profiles`` by source_id: with a container only its blocks count.
+def parse_blocks(pages: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """Pages (page_id, body, and url where links matter) as text with typed blocks.
+
+    Gives page_id, title, raw_text, blocks (kind, start, end, heading, text, selector), links, official_links,
+    attachments, warnings, published_at, publication_date, problem. Offsets are UTF-16 units of raw_text, as
+    all readers of blocks count. ``title`` and ``body_selector`` of the profile select title and body, else
+    the first h1 and the page's body. Hidden elements go. Rows of tables and list items stay whole; text beside blocks
+    is a paragraph of its own. problem: parser_drift (no title or body, or under 40 units of text), with
+    null text and no blocks. published_at is the metadata's time if it names its offset, else the date that
+    ``publication`` selects or with which the text begins (``leading_date``, a pattern with one group).
     """
-    rows = with_profiles(pages, profiles).select(F.col("page_id").cast("long").alias("page_id"), "body", "container", "skipped")
-    return rows.mapInPandas(_blocks, "page_id long, raw_text string, blocks array<struct<kind:string,start:int,end:int,heading:string,text:string>>, links array<string>, warnings array<string>")
+    rows = with_profiles(pages, profiles)
+    rows = rows.withColumn("url", F.lit(None).cast("string")) if "url" not in rows.columns else rows
+    rows = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "body", "title", "body_selector", "publication", "attachments", "leading_date")
+    found = rows.mapInPandas(_blocks, f"page_id long, {_STRUCTURED}")
+    meta = F.when(F.col("meta_date").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T.*(?:Z|[+-][0-9]{2}:[0-9]{2})$"), F.col("meta_date").try_cast("timestamp"))
+    return found.withColumn("published_at", F.coalesce(meta, _explicit_date(F.col("publication_date")))).drop("meta_date").select("page_id", "title", "raw_text", "blocks", "links", "official_links", "attachments", "warnings", "published_at", "publication_date", "problem")
 
 
 def _links(batches):
     for pdf in batches:
         rows = []
-        for url, body, pattern in zip(pdf["url"], pdf["body"], pdf["pattern"]):
-            follow = re.search(r"<(?:a|link)\b[^>]*rel=[\"']next[\"'][^>]*href=[\"']([^\"']+)", body or "", re.I)
-            rows += [(url, href, follow[1] if follow else None, pattern) for href, _ in parsed(body).links] or [(url, None, None, pattern)]
+        for url, body, listing, follow, pattern in zip(*(pdf[c] for c in ("url", "body", "listing", "next", "pattern"))):
+            page = dom.parsed(body)
+            after = _attribute(dom.first(page, 'a[rel="next"], link[rel="next"]' if follow is None else follow), "href")
+            found = [n.attrs["href"] for n in dom.select(page, listing or "a[href]") if n.attrs.get("href")]
+            rows += [(url, href, after, pattern) for href in found] or [(url, None, after, pattern)]
         yield pd.DataFrame(rows, columns=["page_url", "raw", "next", "pattern"])
 
 
 def parse_listing(pages: DataFrame, pattern: str | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """(page_url, url, next): distinct document links of listing pages (url, body) whose path matches.
 
-    The pattern of a page's profile counts, else ``pattern``. A page without any such link gives one row
-    with a null url (parser drift).
+    The profile's ``listing`` and ``next`` select the links and the next page's link (else all links, and
+    rel=next; an empty ``next`` selects none); its ``pattern`` counts, else ``pattern``. A page without any
+    such link gives one row with a null url (parser drift).
     """
-    rows = with_profiles(pages, profiles).select("url", "body", F.coalesce("pattern", F.lit(pattern)).alias("pattern"))
+    rows = with_profiles(pages, profiles).select("url", "body", "listing", "next", F.coalesce("pattern", F.lit(pattern)).alias("pattern"))
     rows = rows.mapInPandas(_links, "page_url string, raw string, next string, pattern string").withColumn("url", without_fragment(resolved_url(F.col("raw"), F.col("page_url"))))
-    rows = rows.withColumn("path", F.try_parse_url("url", F.lit("PATH")))
+    rows = rows.withColumn("path", F.try_parse_url("url", F.lit("PATH"))).withColumn("next", resolved_url(F.col("next"), F.col("page_url")))
     good = F.expr("path rlike pattern")
     return rows.select("page_url", F.when(good, F.col("url")).alias("url"), "next").groupBy("page_url").agg(F.array_compact(F.collect_set("url")).alias("urls"), F.first("next", True).alias("next")).select("page_url", F.explode_outer("urls").alias("url"), "next")
 
