@@ -141,16 +141,19 @@ def _sampled(per_text: int):
     return run
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = 1200, per_text: int = 6) -> tuple[dict[str, np.ndarray], list[str]]:
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = 1200, per_text: int = 6, languages: int = 1000) -> tuple[dict[str, np.ndarray], list[str]]:
     """A model and its language names, learned from documents where ``learn`` (over key) holds.
 
     Bounded sample: of every language the ``most`` documents with the smallest hash of the key, fewer
     beyond 64 languages so that all have about 64 * ``most`` at most, and of each ``per_text`` windows
-    spread over the whole text. No language is left out. Of several rows of a key the smallest text counts.
+    spread over the whole text. No language is left out: more than ``languages``
+    are an error, as model and sample grow with them. Of several rows of a key the smallest text counts.
     """
     rows = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     known = rows.where("key IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(learn)
-    names = sorted(r.lang for r in known.select("lang").distinct().collect())
+    names = sorted(r.lang for r in known.select("lang").distinct().limit(languages + 1).collect())
+    if len(names) > languages:
+        raise ValueError(f"more than {languages} languages: the column holds something else, or the parameter is too small")
     if not names:
         return new_model(1), []
     most = max(1, min(most, 64 * most // len(names)))

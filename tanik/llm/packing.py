@@ -1,7 +1,7 @@
 """Tokenised documents packed into fixed-length sequences by best-fit decreasing.
 
 Tokenising yields one narrow row for each piece (no text, no ids), so what is dealt out afterwards is
-small. Pieces are dealt by a hash into shards of about ``per_shard`` pieces; each shard is packed on
+small. Pieces are dealt evenly into shards of about ``per_shard`` pieces; each shard is packed on
 its own, longest piece first, always into the open sequence that it fills tightest. A segment tree
 over the remaining capacities finds that sequence in logarithmic time. A shard mixes all lengths, so
 it loses about one half-filled sequence against packing everything at once.
@@ -183,6 +183,7 @@ def pack_documents(docs: DataFrame, path: str, most: int = 2048, end: int = 0, p
     pieces = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(released(_pieces(path, most, end)), f"key {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = saved(pieces)
     shards = max(1, -(-pieces.count() // per_shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "start"), F.lit(shards)))
+    # by a number of the row, not by its key: repeated rows spread like all others (the pieces are saved, so the number stays)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInArrow(_packed(most), f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return packed.withColumnRenamed("key", key)

@@ -2,7 +2,9 @@
 
 Everything on the path is a built-in Spark function. Positions are code points, ends exclusive.
 Java's matcher gives the same matches to ``regexp_extract_all`` and ``split``, so the lengths of the
-pieces between matches give the offsets without any Python.
+pieces between matches give the offsets without any Python. Running sums and maxima double their reach
+in each round, and text at a place is read from chunks of fixed length, so that the work on a text with
+very many matches does not grow with their square.
 
 The patterns are written so that matching stays linear on long texts: a possessive quantifier never
 gives characters back, and ``\\G`` / look-behind stop a failed run of characters from being tried
@@ -11,6 +13,7 @@ again at each of its positions. Neither changes what the plain patterns find.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -73,25 +76,45 @@ def _confirmed(kind: str, found: Column, before: Column, after: Column) -> Colum
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
+#: Characters of one chunk of a text.
+CHUNK = 256
 
 
-def _spans(text: Column, kind: Kind, near: int) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Of each element the combination of all up to it; as many rounds as the length has binary digits."""
+    reach = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+    return F.aggregate(reach, values, lambda done, s: F.transform(done, lambda x, i: F.when(i >= s, combine(x, F.get(done, i - s))).otherwise(x)))
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters [start, end) of a text given as its chunks; reads only the chunks that hold them."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(F.greatest(start, end - 1) / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(held, start - first * CHUNK + 1, end - start)).otherwise("")
+
+
+def _spans(text: Column, chunks: Column, kind: Kind, near: int) -> Column:
     """The kept spans of one kind with their scores, by position."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("found"))
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), matches.alias("found")), lambda p: p["found"].isNotNull())
 
-    def step(done, pair):
-        start = done["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["found"])), lambda a, b: a + b)
+        return F.zip_with(pairs, ends, lambda p, end: F.struct((end - F.length(p["found"])).alias("start"), end.alias("end"), p["found"].alias("found")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans"))
-    located = F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), start, step, lambda done: done["spans"])
-    before = lambda s: F.substring(text, F.greatest(s["start"] - near + 1, F.lit(1)), F.least(s["start"], F.lit(near)))
-    after = lambda s: F.substring(text, s["end"] + 1, F.lit(near))
-    kept = F.filter(located, lambda s: _confirmed(kind.name, s["found"], before(s), after(s)))
+    before = lambda s: _between(chunks, F.greatest(s["start"] - near, F.lit(0)), s["start"])
+    after = lambda s: _between(chunks, s["end"], s["end"] + near)
+    kept = F.filter(let(pairs, placed), lambda s: _confirmed(kind.name, s["found"], before(s), after(s)))
 
     def scored(s):
         words = rf"(?i)\b(?:{kind.words})"
@@ -111,9 +134,14 @@ def find_pii(docs: DataFrame, text: str = "text", near: int = 40, least: float =
     ``pii_spans`` is replaced; all other columns stay.
     """
     clean = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    parts = [_spans(clean, kind, near) for kind in KINDS]
-    parts[4:] = [F.filter(part, lambda s: s["score"] >= least) for part in parts[4:]]
-    return docs.withColumn("pii_spans", F.concat(*parts))
+
+    def every(chunks: Column) -> Column:
+        parts = [_spans(clean, chunks, kind, near) for kind in KINDS]
+        parts[4:] = [F.filter(part, lambda s: s["score"] >= least) for part in parts[4:]]
+        return F.concat(*parts)
+
+    hinted = clean.rlike("|".join(kind.hint for kind in KINDS))
+    return docs.withColumn("pii_spans", F.when(hinted, let(_chunks(clean), every)).otherwise(F.array().cast(_SPANS)))
 
 
 def redact(docs: DataFrame, text: str = "text", near: int = 40) -> DataFrame:
@@ -125,18 +153,26 @@ def redact(docs: DataFrame, text: str = "text", near: int = 40) -> DataFrame:
     ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     body = F.col(f"`{text}`")
 
-    def step(done, s):
-        gap = F.substring(body, done["at"] + 1, s["start"] - done["at"])
-        fresh = F.struct(F.concat(done["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("at"))
-        longer = F.struct(done["out"].alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= done["at"], fresh).otherwise(longer)
+    def runs(spans: Column) -> Column:
+        """Spans that overlap, as one: from the first start to the farthest end."""
+        far = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return let(far, lambda far: let(_heads(spans, far), lambda heads: F.transform(heads, lambda h, k: F.struct(F.get(spans, h)["start"].alias("start"), F.get(far, F.coalesce(F.get(heads, k + 1), F.size(spans)) - 1).alias("end"), F.get(spans, h)["kind"].alias("kind")))))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    end = lambda done: F.concat(done["out"], F.substring(body, done["at"] + 1, F.length(body)))
-    clean = F.when(F.size("pii_spans") == 0, body).otherwise(F.aggregate(ordered, start, step, end))
+    def written(chunks: Column, runs: Column) -> Column:
+        from_ = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(runs, k - 1)["end"])
+        parts = F.transform(runs, lambda r, k: F.concat(_between(chunks, from_(k), r["start"]), F.lit("["), F.upper(r["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _between(chunks, F.element_at(runs, -1)["end"], F.length(body)))
+
+    clean = F.when(F.size("pii_spans") == 0, body).otherwise(let(_chunks(body), lambda chunks: let(let(ordered, runs), lambda r: written(chunks, r))))
     return found.withColumn(text, clean).drop("pii_spans")
 
 
+def _heads(spans: Column, far: Column) -> Column:
+    """The places of the spans that start at or behind all ends before them."""
+    places = F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(far, i - 1)), i))
+    return F.array_compact(places)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the count of each base kind, the hash of the base spans and all spans as text."""
     found = find_pii(docs.select("doc_id", "text"))

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -34,6 +36,48 @@ def test_pii_matches_and_scores(spark):
     assert pii.digest(docs.limit(0)).count() == 0
 
 
+def test_pii_very_many_matches(spark):
+    """A megabyte of figures and addresses: places and redaction stay quick, and every span is at its place."""
+    text = "".join(f"{n % 90 + 10}\n1.2.3.{n % 256} \U0001f600 a{n}@b.co; " for n in range(40000))
+    docs = spark.createDataFrame([(1, text), (None, text[:2000]), (None, text[:2000])], "doc_id long, text string").withColumn("pii_spans", F.lit("own")).withColumn("chunks", F.lit(1))
+    began = time.time()
+    found = pii.digest(docs).orderBy("doc_id").collect()
+    clean = pii.redact(docs.where("doc_id = 1")).first().text
+    assert time.time() - began < 60 and [r.n_ip for r in found] == [r.n_email for r in found] and found[2].n_ip == 40000
+    spans = [s.split(":") for s in found[2].spans.split(",")]
+    assert all(re.fullmatch(r"a[0-9]+@b\.co" if kind == "email" else r"[0-9.]{7,9}", text[int(a) : int(b)]) for kind, a, b in spans)
+    assert clean == "".join(f"{n % 90 + 10}\n[IP] \U0001f600 [EMAIL]; " for n in range(40000))
+
+
+def test_packing_spreads_a_repeated_key(spark):
+    """All rows of one key and of the null key: no shard gets more than its share."""
+    docs = spark.createDataFrame([(7, "same text here")] * 600 + [(None, f"other {k}") for k in range(600)], "doc_id long, text string")
+    found = packing.pack_documents(docs, BYTES, most=16, per_shard=100).collect()
+    shards = {}
+    for r in found:
+        shards[r.sequence_id >> 40] = shards.get(r.sequence_id >> 40, 0) + 1
+    assert len(shards) == 12 and max(shards.values()) < 160 and len(found) == 1200
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", f"l{k}") for k in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(True), languages=20)
+
+
+def test_pii_overlapping_spans_become_one(spark):
+    texts = ["+1 2345 6789 0123 4111 1111 1111 1111@a.bc x", "x 4111 1111 1111 1111", "a@b.c" * 3, "1.1.1.1.1.1.1.1 +90 (555) 123 4567"]
+    found = pii.find_pii(documents(spark, texts)).select("doc_id", "text", "pii_spans").collect()
+    clean = {r.doc_id: r.text for r in pii.redact(documents(spark, texts)).collect()}
+    for r in found:
+        out, at = "", 0
+        for s in sorted(r.pii_spans, key=lambda s: (s.start, s.end, s.kind)):
+            if s.start >= at:
+                out += r.text[at : s.start] + f"[{s.kind.upper()}]"
+            at = max(at, s.end)
+        assert clean[r.doc_id] == out + r.text[at:]
+
+
 def test_bpe_equals_the_library(spark):
     library = Tokenizer.from_file(WORDS)
     draw = random.Random(3)
