@@ -256,7 +256,7 @@ FINAL = ("superseded", "revoked", "expired")
 
 
 def replay_reviews(facts: DataFrame, actions: DataFrame) -> DataFrame:
-    """(fact_id, status, refused): each fact's status after its actions in order of (at, action_id).
+    """(fact_id, status, refused): each fact's status after its actions in order of (at, action_id, action).
 
     publish needs verified; review needs verified or published; reject needs needs_review or verified;
     correct (supersede) needs published. A final status takes no action. Refused actions are listed.

@@ -232,7 +232,7 @@ def e11_fact_history(spark, sf):
     return fact_jobs.fact_history(shapes.facts(spark, sf), done).select("fact_id", F.date_format("at", "yyyy-MM-dd").alias("at_day"), "action", "origin")
 
 
-@query("""WITH RECURSIVE a AS (SELECT l_orderkey::VARCHAR AS fact_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS n, l_linenumber::VARCHAR AS id, ['publish', 'review', 'reject', 'correct'][l_suppkey % 4 + 1] AS act FROM lineitem),
+@query("""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY l_shipdate, l_linenumber, act) AS n FROM (SELECT l_orderkey::VARCHAR AS fact_id, l_shipdate, l_linenumber, l_linenumber::VARCHAR AS id, ['publish', 'review', 'reject', 'correct'][l_suppkey % 4 + 1] AS act FROM lineitem)),
 r AS (SELECT DISTINCT fact_id, 0::BIGINT AS n, 'verified' AS status, '' AS refused FROM a UNION ALL
   SELECT r.fact_id, a.n, CASE WHEN act = 'publish' AND status = 'verified' THEN 'published' WHEN act = 'review' AND status IN ('verified', 'published') THEN 'needs_review' WHEN act = 'reject' AND status IN ('needs_review', 'verified') THEN 'revoked' WHEN act = 'correct' AND status = 'published' THEN 'superseded' ELSE status END,
     CASE WHEN (act = 'publish' AND status = 'verified') OR (act = 'review' AND status IN ('verified', 'published')) OR (act = 'reject' AND status IN ('needs_review', 'verified')) OR (act = 'correct' AND status = 'published') THEN refused WHEN refused = '' THEN id ELSE refused || ',' || id END

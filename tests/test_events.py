@@ -148,3 +148,51 @@ def test_components(spark):
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{k: 1 for k in range(1, 41)}, 100: 100, 105: 100, 103: 100, 200: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def reports_of_a_hot_entity(spark, n=360):
+    """Half of all reports name one team, at all times; the rest name some of twenty people."""
+    import numpy as np
+
+    draw = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(n):
+        things = [("team", "hot")] if k % 2 else [("person", f"p{draw.integers(0, 20)}")]
+        if draw.random() < 0.5:
+            things.append(("city", f"c{draw.integers(0, 3)}"))
+        if draw.random() < 0.2:
+            things.append(("road", f"d{draw.integers(0, 2)}"))
+        minutes = int(draw.integers(0, 60 * 24 * 6)) if k % 3 else 3000 + int(draw.integers(0, 90))  # a third within an hour and a half
+        tokens = sorted(set(draw.choice(words, int(draw.integers(1, 12))).tolist()))
+        rows.append((f"r{k:04}", f"k{k % 350}", f"kind{k % 2}" if k % 17 else None, BASE + timedelta(minutes=minutes) if k % 23 else None, things, tokens, tokens[:3]))
+    return spark.createDataFrame(rows, "id string, key string, kind string, at timestamp, entities array<struct<kind:string,value:string>>, tokens array<string>, body_tokens array<string>")
+
+
+def test_a_hot_entity_loses_no_pair(spark):
+    from pyspark.sql import functions as F
+
+    from tanik.operators import pairs
+
+    rows = reports_of_a_hot_entity(spark).cache()
+    every = rows.select(F.col("id").alias("a")).crossJoin(rows.select(F.col("id").alias("b"))).where("a < b")
+    want = {(r.a, r.b): r.score for r in pairs.score_pairs(every, rows).where("score >= 0.7").collect()}
+    for block in (8, 1024):
+        scored = pairs.score_pairs(pairs.candidate_pairs(rows, block=block), rows).where("score >= 0.7")
+        assert {(r.a, r.b): r.score for r in scored.collect()} == want and len(want) > 1000
+    raised = {(r.a, r.b) for r in pairs.score_pairs(every.withColumn("sim", F.lit(1.0)), rows, "sim").where("score >= 0.7").collect()}
+    outside = pairs.candidate_pairs(rows, outside=True, block=8).withColumn("sim", F.lit(1.0))
+    specific = {(r.a, r.b) for r in pairs.score_pairs(outside, rows, "sim").where("score >= 0.7").collect()}
+    assert specific <= raised and specific > set(want)
+
+
+def test_no_cell_outgrows_its_block(spark):
+    from pyspark.sql import functions as F
+
+    from tanik.operators import pairs
+
+    rows = spark.range(4000).select(F.format_string("r%05d", "id").alias("id"), F.lit("hot").alias("value"), (F.lit(BASE) + F.make_interval(mins=(F.col("id") % 5000).cast("int"))).alias("at"))
+    left, right = pairs.grid(rows, ["value"], 36, 100)
+    sizes = [side.groupBy("cell").count().agg(F.max("count"), F.sum("count")).first() for side in (left, right)]
+    assert all(most < 160 for most, _ in sizes)
+    assert left.join(right.select(F.col("id").alias("other"), "cell", F.col("at").alias("to")), "cell").where("id < other AND abs(cast(at AS double) - cast(to AS double)) <= 129600").count() == sum(min(3999 - k, 2160) for k in range(4000))
