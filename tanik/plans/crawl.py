@@ -94,7 +94,7 @@ _MORE_BLOCKS = "['paragraph|plain bold \U0001f600', 'paragraph|in', 'paragraph|t
 
 @query(rf"""WITH {_BLOCKS}, b AS (SELECT page_id, url, list_concat(list_filter(list_transform(regexp_extract_all(split_part(html, '<article>', 2), '<h1>(.*?)</h1>', 1, 's'), lambda x: 'heading|' || {_PLAIN.format('x')}), lambda x: x <> 'heading|'), list_transform(paras, lambda x: 'paragraph|' || x), {_MORE_BLOCKS}) AS t FROM art),
 u AS (SELECT page_id, url, t, unnest(t) AS x, generate_subscripts(t, 1) AS n FROM b),
-w AS (SELECT page_id, url, n, split_part(x, '|', 1) AS kind, regexp_replace(x, '^[a-z_]+\|', '') AS x FROM u), l AS (SELECT *, length(x) + len(regexp_extract_all(x, '[\x{{10000}}-\x{{10FFFF}}]')) AS units FROM w),
+w AS MATERIALIZED (SELECT page_id, url, n, split_part(x, '|', 1) AS kind, regexp_replace(x, '^[a-z_]+\|', '') AS x FROM u), l AS (SELECT *, length(x) + len(regexp_extract_all(x, '[\x{{10000}}-\x{{10FFFF}}]')) AS units FROM w),
 o AS (SELECT *, sum(units + 1) OVER (PARTITION BY page_id ORDER BY n) - units - 1 AS start FROM l)
 SELECT page_id, any_value(h.title) AS title, string_agg(x, chr(10) ORDER BY n) AS raw_text, string_agg(kind || ':' || start::BIGINT || ':' || (start + units)::BIGINT, ',' ORDER BY n) AS blocks,
   any_value(lower(regexp_extract(url, '^[A-Za-z]+://[^/]*'))) || '/f/x.pdf?v=1 application/pdf x.pdf' AS files, 'complex_table_requires_review' AS warnings FROM o JOIN (SELECT page_id, {_PLAIN.format('head')} AS title FROM art) h USING (page_id) GROUP BY page_id""")
@@ -336,11 +336,11 @@ def j6_answer_news(spark, sf):
 
 
 _NOW = "TIMESTAMP '1996-06-01 00:00:00'"
-_ANSWERS = f"""{shapes.FACTS}, {shapes.RULES}, live AS (SELECT * FROM rules WHERE status = 'active' AND coalesce(valid_from <= {_NOW}, true) AND coalesce(valid_until > {_NOW}, true)),
-asked AS (SELECT DISTINCT subject_entity_id AS e, topic_id AS t, predicate AS p, reference_period AS y FROM facts),
-may AS (SELECT DISTINCT asked.*, source_id FROM asked JOIN live ON topic_id = t AND predicate = p AND (subject_entity_id IS NULL OR subject_entity_id = e)),
-told AS (SELECT m.e, m.t, m.p, m.y, f.* FROM may m JOIN facts f ON f.subject_entity_id = m.e AND f.topic_id = m.t AND f.predicate = m.p AND f.reference_period = m.y AND f.authority_source_id = m.source_id),
-g AS (SELECT e, t, p, y, count(DISTINCT value) FILTER (status IN ('verified', 'published')) AS vals, count(*) FILTER (status = 'published') AS pub, count(*) FILTER (status = 'published' AND valid_until <= {_NOW}) AS ended, count(*) FILTER (status = 'superseded') AS gone,
+_ANSWERS = f"""{shapes.FACTS}, {shapes.RULES}, live AS MATERIALIZED (SELECT * FROM rules WHERE status = 'active' AND coalesce(valid_from <= {_NOW}, true) AND coalesce(valid_until > {_NOW}, true)),
+asked AS MATERIALIZED (SELECT DISTINCT subject_entity_id AS e, topic_id AS t, predicate AS p, reference_period AS y FROM facts),
+may AS MATERIALIZED (SELECT DISTINCT asked.*, source_id FROM asked JOIN live ON topic_id = t AND predicate = p AND (subject_entity_id IS NULL OR subject_entity_id = e)),
+told AS MATERIALIZED (SELECT m.e, m.t, m.p, m.y, f.* FROM may m JOIN facts f ON f.subject_entity_id = m.e AND f.topic_id = m.t AND f.predicate = m.p AND f.reference_period = m.y AND f.authority_source_id = m.source_id),
+g AS MATERIALIZED (SELECT e, t, p, y, count(DISTINCT value) FILTER (status IN ('verified', 'published')) AS vals, count(*) FILTER (status = 'published') AS pub, count(*) FILTER (status = 'published' AND valid_until <= {_NOW}) AS ended, count(*) FILTER (status = 'superseded') AS gone,
   arg_max({{'id': id, 'value': value, 'at': verified_at, 'day': created_at::DATE}}, (verified_at, id)) FILTER (status = 'published') AS best FROM told GROUP BY ALL),
 w AS (SELECT e, t, p, y, bool_and(source_id % 2 = 0) AS complete FROM may GROUP BY ALL),
 answers AS (SELECT e || '-' || t || '-' || p AS resource, y AS year, CASE WHEN coalesce(vals, 0) > 1 THEN 'needs_review' WHEN pub > 0 AND best.day > DATE '1996-06-01' THEN 'future_announced' WHEN pub > 0 AND best.day < DATE '1996-06-01' THEN 'expired' WHEN pub > 0 THEN 'current'
@@ -376,7 +376,7 @@ def d14_answer_quality(spark, sf):
 
 
 @query(f"""WITH {PAIRS} SELECT a, b, round(score, 6) AS score, CASE WHEN score = 1 AND same THEN 'same_logical_report' WHEN h <= 6 AND na >= 15 AND nb >= 15 AND copy >= 0.85 THEN 'syndicated_body,time_hours:' || printf('%.2f', h::DOUBLE)
-  ELSE CASE WHEN spec THEN 'shared_distinctive_entity,' ELSE '' END || 'time_hours:' || printf('%.2f', h::DOUBLE) || ',lexical' END AS reasons FROM s JOIN q USING (a, b) WHERE score >= 0.7""")
+  ELSE CASE WHEN spec THEN 'shared_distinctive_entity,' ELSE '' END || 'time_hours:' || printf('%.2f', h::DOUBLE) || ',lexical' END AS reasons FROM s WHERE score >= 0.7""")
 def c12_explain_pairs(spark, sf):
     """Why reports belong together; the measure of common words is compared by the score."""
     rows = saved(features(spark, sf))

@@ -36,9 +36,9 @@ FEATURES = rf"""f AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, sha256(source
 g AS (SELECT *, list_filter(tokens, lambda x: length(x) >= 16) AS things FROM f)"""
 PAIRS = f"""{FEATURES}, p AS (SELECT a.id AS a, b.id AS b, a.key = b.key AS same, a.kind = b.kind AS kin, abs(a.doc_id - b.doc_id) * 5 / 60.0 AS h, len(list_intersect(a.things, b.things)) > 0 AS spec,
     len(list_intersect(a.tokens, b.tokens)) AS shared, len(a.tokens) AS na, len(b.tokens) AS nb
-  FROM g a JOIN g b ON a.id < b.id AND abs(a.doc_id - b.doc_id) <= 432),
+  FROM g a JOIN g b ON a.id < b.id AND abs(a.doc_id - b.doc_id) <= 432 AND (a.kind = b.kind OR a.key = b.key)),
 q AS (SELECT *, shared / greatest(1, na + nb - shared)::DOUBLE AS lex, lex AS copy FROM p),
-s AS (SELECT a, b, CASE WHEN same THEN 1.0::DOUBLE WHEN NOT kin THEN 0 WHEN h <= 6 AND na >= 15 AND nb >= 15 AND copy >= 0.85 THEN 0.95
+s AS (SELECT a, b, same, h, spec, na, nb, copy, CASE WHEN same THEN 1.0::DOUBLE WHEN NOT kin THEN 0 WHEN h <= 6 AND na >= 15 AND nb >= 15 AND copy >= 0.85 THEN 0.95
   WHEN NOT spec AND NOT (lex >= 0.65 AND h <= 6) THEN 0 ELSE least(1.0, 0.2::DOUBLE + CASE WHEN spec THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN h <= 6 THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END + lex * CASE WHEN spec THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END) END AS score FROM q)"""
 
 
