@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tanik.functions import spans
@@ -12,8 +14,9 @@ from tanik.plans import shapes
 from tanik.plans.news import PAIRS, features
 from tanik.plans.query import query
 from tanik.plans.shapes import START, at_minutes, now
-from tanik.session import saved, table
+from tanik.session import saved, shared_folder, table
 from tanik.sources import html, reports as report_jobs, urls
+from tanik.sources.store import BatchStore
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
 _CLEAN = "regexp_replace(url, '#.*$', '')"
@@ -155,10 +158,15 @@ def a2_split_reports(spark, sf):
     return good.select("doc_id", F.lit(True).alias("good")).unionByName(bad.select("doc_id", F.lit(False).alias("good")))
 
 
-@query("""WITH r AS (SELECT doc_id, source, doc_id % 97 AS u, text, doc_id * 5 AS t FROM documents) SELECT count(*) AS new_rows FROM r WHERE doc_id % 4 <> 0""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS batch, strlen(text)::BIGINT AS bytes FROM documents""")
 def a4_new_reports(spark, sf):
+    """A second batch holds all reports, some twice, and arrives twice."""
     rows = _reports(spark, sf)
-    return report_jobs.new_reports(rows.unionAll(rows.where("doc_id % 2 = 1")), rows.where("doc_id % 4 = 0")).agg(F.count("*").alias("new_rows"))
+    store = BatchStore(spark, f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}", {"reports": rows.schema})
+    store.write(0, {"reports": rows.where("doc_id % 4 = 0")})
+    for _ in range(2):
+        report_jobs.append_reports(rows.unionAll(rows.where("doc_id % 2 = 1")), store, 1)
+    return store.read("reports").select("doc_id", "batch", F.octet_length("text").cast("long").alias("bytes"))
 
 
 def _middle(rows):

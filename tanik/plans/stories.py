@@ -161,8 +161,11 @@ def a5_event_tables(spark, sf):
     none = F.lit(None).cast("timestamp")
     base = rows.groupBy("event_id").agg(F.collect_list(F.struct("report_id", none.alias("occurred_at"), "published_at", F.col("published_at").alias("discovered_at"))).alias("reports"), F.collect_list(F.struct(F.concat(F.lit("u"), "report_id").alias("update_id"), F.col("published_at").alias("at"))).alias("timeline"))
     folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    report_jobs.write_event_tables(base.join(told, "event_id").withColumn("kind", F.lit("general")), "main", folder)
-    read = lambda name: spark.read.parquet(f"{folder}/{name}").withColumn("event_id", F.col("event_id").cast("string"))
+    snapshots = saved(base.join(told, "event_id").withColumn("kind", F.lit("general")))
+    for _ in range(2):
+        report_jobs.write_event_tables(snapshots, "main", folder)
+    store = report_jobs.event_store(spark, snapshots, folder)
+    read = lambda name: store.read(name).withColumnRenamed("batch", "namespace")
     n = lambda name: read(name).groupBy("event_id").agg(F.count("*").alias({"event_reports": "reports"}.get(name, name)))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     out = read("events").select("namespace", "event_id", day("range_start").alias("first_day"), day("range_end").alias("last_day"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tanik.functions.ids import json_hash
+from tanik.sources.store import BatchStore
 
 REPORT = (
     "id string, key string, source_id string, source_family string, source_reliability double, canonical_url string, title string, text string, "
@@ -57,9 +58,9 @@ def new_reports(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return once.join(stored.select("id"), "id", "left_anti").join(stored.select(*place), place, "left_anti").select(*batch.columns)
 
 
-def append_reports(batch: DataFrame, stored: DataFrame, path: str) -> None:
-    """Appends the new rows of a batch; a repeated call adds nothing."""
-    new_reports(batch, stored).write.mode("append").parquet(path)
+def append_reports(batch: DataFrame, store: BatchStore, name: int | str, table: str = "reports") -> bool:
+    """Adds the new rows of a batch to a table of a store under the batch's name; a repeated call does nothing."""
+    return not store.counts(name) and store.write(name, {table: new_reports(batch, store.read(table).drop("batch"))})
 
 
 def publication_range(reports: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -119,7 +120,12 @@ def event_tables(events: DataFrame, namespace: str) -> dict[str, DataFrame]:
     return {"events": base.select("namespace", "event_id", "kind").join(span, "event_id", "left"), "event_reports": reports, "claims": claims.drop("evidence"), "evidence": evidence, "updates": updates}
 
 
-def write_event_tables(events: DataFrame, namespace: str, folder: str) -> None:
-    """Writes the flat tables as parquet, partitioned by namespace."""
-    for name, rows in event_tables(events, namespace).items():
-        rows.write.mode("append").partitionBy("namespace").parquet(f"{folder}/{name}")
+def event_store(spark: SparkSession, events: DataFrame, folder: str) -> BatchStore:
+    """The flat tables of events like these in a folder; a batch is a namespace."""
+    return BatchStore(spark, folder, {name: rows.drop("namespace").schema for name, rows in event_tables(events, "").items()}, "string")
+
+
+def write_event_tables(events: DataFrame, namespace: str, folder: str) -> bool:
+    """Writes the flat tables of a namespace; readers see all of them or none, and a repeated call does nothing."""
+    tables = {name: rows.drop("namespace") for name, rows in event_tables(events, namespace).items()}
+    return event_store(events.sparkSession, events, folder).write(namespace, tables)
