@@ -39,10 +39,14 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return done.groupBy("endpoint_id").agg(newest, last).select("endpoint_id", "newest.*", "last_success_at")
 
 
+def patience(poll_seconds, official):
+    """Seconds without a success after which a source is stale: max(3 polls, 1 hour) for official ones, max(2 polls, 30 minutes) for others."""
+    return F.when(official, F.greatest(3 * poll_seconds, F.lit(3600))).otherwise(F.greatest(2 * poll_seconds, F.lit(1800)))
+
+
 def is_stale(last_success, now, poll_seconds, official):
-    """No success within max(3 polls, 1 hour) for official sources, max(2 polls, 30 minutes) for others."""
-    limit = F.when(official, F.greatest(3 * poll_seconds, F.lit(3600))).otherwise(F.greatest(2 * poll_seconds, F.lit(1800)))
-    return last_success.isNull() | (now.cast("double") - last_success.cast("double") > limit)
+    """No success for longer than the source's ``patience``."""
+    return last_success.isNull() | (now.cast("double") - last_success.cast("double") > patience(poll_seconds, official))
 
 
 def source_health(sources: DataFrame, reports: DataFrame, attempts: DataFrame, assigned: DataFrame, now) -> DataFrame:

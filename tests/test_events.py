@@ -196,3 +196,15 @@ def test_no_cell_outgrows_its_block(spark):
     sizes = [side.groupBy("cell").count().agg(F.max("count"), F.sum("count")).first() for side in (left, right)]
     assert all(most < 160 for most, _ in sizes)
     assert left.join(right.select(F.col("id").alias("other"), "cell", F.col("at").alias("to")), "cell").where("id < other AND abs(cast(at AS double) - cast(to AS double)) <= 129600").count() == sum(min(3999 - k, 2160) for k in range(4000))
+
+
+def test_similarity_from_outside(spark):
+    """A pair between the borders joins with a similarity; one above them does not use it; other values are errors."""
+    rows = spark.createDataFrame([("a", "k1", "x", BASE, [("team", "t")], ["m", "n"]), ("b", "k2", "x", BASE + timedelta(hours=20), [("team", "t")], ["o", "p"]), ("c", "k3", "x", BASE + timedelta(hours=1), [("team", "t")], ["q", "r"])], "id string, key string, kind string, at timestamp, entities array<struct<kind:string,value:string>>, tokens array<string>").withColumn("body_tokens", F.col("tokens"))
+    plain = {(r.a, r.b): round(r.score, 6) for r in pairs.strong_pairs(rows).collect()}
+    assert plain == {("a", "c"): 0.75}
+    told = spark.createDataFrame([("a", "b", 0.6), ("a", "c", 0.0)], "a string, b string, similarity double")
+    assert {(r.a, r.b): round(r.score, 6) for r in pairs.strong_pairs(rows, similarity=told).collect()} == {("a", "b"): 0.71, ("a", "c"): 0.75}
+    for wrong in (-0.1, 1.5):
+        with pytest.raises(Exception, match="outside"):
+            pairs.strong_pairs(rows, similarity=spark.createDataFrame([("a", "b", wrong)], told.schema))

@@ -90,3 +90,10 @@ def test_anchored_limits(spark):
     assert jobs.anchored([0, 1_000_000, 2_000_000, 11_000_000], 2, 10)[0] == [True, True, False, True]
     rows = spark.createDataFrame([("k", n, NOW + timedelta(seconds=s)) for n, s in enumerate((0, 1, 2, 11))], "key string, request_id long, at timestamp")
     assert [r.allowed for r in jobs.limit_windows(rows, 2, 10).orderBy("request_id").collect()] == [True, True, False, True]
+
+
+def test_actions_of_one_time_and_number_go_by_name(spark):
+    rows = spark.createDataFrame([("f", "published")], "id string, status string")
+    acts = spark.createDataFrame([("f", 1, "review"), ("f", 1, "correct")], "fact_id string, action_id long, action string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    for order in (acts, acts.orderBy("action"), acts.orderBy(F.desc("action"))):
+        assert facts.replay_reviews(rows, order).first()[1:] == ("superseded", ["1"])
