@@ -236,6 +236,33 @@ def topic_cycles(topics: DataFrame) -> DataFrame:
     return paths.select("topic_id", F.when(~cycle, F.col("depth")).cast("int").alias("depth"), cycle.alias("cycle"))
 
 
+def topic_ancestors(topics: DataFrame) -> DataFrame:
+    """(topic_id, ancestor_id, depth): every ancestor of each topic and the fewest steps to it.
+
+    ``topics``: topic_id, parent_id; a topic may have several parents. A topic of a circle is an ancestor of
+    itself, at the length of the circle. A parent that is not in the table is an ancestor without parents.
+    Round k joins what is known within 2**k steps to the ends of paths of just 2**k steps, so the rounds are
+    the logarithm of the longest shortest path; a round without new pairs is the last.
+    """
+    links = topics.where("topic_id IS NOT NULL AND parent_id IS NOT NULL").select("topic_id", F.col("parent_id").alias("ancestor_id")).distinct()
+    known, jumps = saved(links.withColumn("depth", F.lit(1).cast("long"))), saved(links)
+    steps, pairs, before = 1, known.count(), -1
+    while pairs != before:
+        over = jumps.select("topic_id", F.col("ancestor_id").alias("via"))
+        further = over.join(known.withColumnRenamed("topic_id", "via"), "via").select("topic_id", "ancestor_id", (F.col("depth") + steps).alias("depth"))
+        known = saved(known.unionByName(further).groupBy("topic_id", "ancestor_id").agg(F.min("depth").alias("depth")))
+        jumps = saved(over.join(jumps.withColumnRenamed("topic_id", "via"), "via").select("topic_id", "ancestor_id").distinct())
+        steps, pairs, before = steps * 2, known.count(), pairs
+    return known.select("topic_id", "ancestor_id", F.col("depth").cast("int").alias("depth"))
+
+
+def refused_parents(topics: DataFrame, changes: DataFrame) -> DataFrame:
+    """(topic_id, parent_id) of changes that would make a topic its own ancestor, each judged on ``topics`` alone."""
+    asked = changes.where("topic_id IS NOT NULL AND parent_id IS NOT NULL").select("topic_id", "parent_id").distinct()
+    above = topic_ancestors(topics).select(F.col("topic_id").alias("parent_id"), F.col("ancestor_id").alias("topic_id"))
+    return asked.join(above, ["topic_id", "parent_id"], "left_semi").unionByName(asked.where("topic_id = parent_id")).distinct()
+
+
 def canonical_path(group: Column, year: Column, event: Column) -> Column:
     """The public path of an answer."""
     return F.concat(F.lit("/"), F.concat_ws("/", group, year.cast("string"), event))

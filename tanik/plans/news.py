@@ -379,6 +379,35 @@ def g6_topic_cycles(spark, sf):
     return answers.topic_cycles(table(spark, sf, "part").select(key.alias("topic_id"), parent.alias("parent_id")))
 
 
+#: Topics of a tree of eight children each; every hundredth top is a circle of three.
+_TREE = "t AS (SELECT c_custkey AS topic_id, CASE WHEN c_custkey % 100 IN (1, 2) THEN c_custkey + 1 WHEN c_custkey % 100 = 3 THEN c_custkey - 2 WHEN c_custkey > 8 THEN c_custkey // 8 END AS parent_id FROM customer)"
+
+
+def _tree(spark, sf):
+    key = F.col("c_custkey")
+    parent = F.when((key % 100).isin(1, 2), key + 1).when(key % 100 == 3, key - 2).when(key > 8, F.floor(key / 8))
+    return table(spark, sf, "customer").select(key.alias("topic_id"), parent.cast("long").alias("parent_id"))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT topic_id, parent_id AS ancestor_id, 1 AS depth FROM t WHERE parent_id IS NOT NULL UNION ALL SELECT w.topic_id, t.parent_id, depth + 1 FROM w JOIN t ON t.topic_id = w.ancestor_id WHERE t.parent_id IS NOT NULL AND depth < 40)
+SELECT topic_id, ancestor_id, min(depth)::INT AS depth FROM w GROUP BY ALL""")
+def g6_topic_ancestors(spark, sf):
+    """All ancestors of all topics, circles among them."""
+    return answers.topic_ancestors(_tree(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, c AS (SELECT c_custkey AS topic_id, c_custkey * 8 + c_nationkey % 8 AS parent_id FROM customer UNION SELECT c_custkey, c_nationkey FROM customer UNION SELECT c_custkey, c_custkey FROM customer WHERE c_nationkey = 0),
+a AS (SELECT topic_id AS x, parent_id AS up FROM t),
+z AS (SELECT x, up, 1 AS depth FROM a WHERE up IS NOT NULL UNION ALL SELECT z.x, a.up, depth + 1 FROM z JOIN a ON a.x = z.up WHERE a.up IS NOT NULL AND depth < 40)
+SELECT DISTINCT topic_id, parent_id FROM c WHERE topic_id = parent_id OR EXISTS (SELECT 1 FROM z WHERE z.x = c.parent_id AND z.up = c.topic_id)""")
+def g6_refused_parents(spark, sf):
+    """Topics moved under a child, under a small topic, under themselves."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey").cast("long")
+    rows = table(spark, sf, "customer")
+    changes = rows.select(key.alias("topic_id"), (key * 8 + nation % 8).alias("parent_id")).unionByName(rows.select(key.alias("topic_id"), nation.alias("parent_id"))).unionByName(rows.where(nation == 0).select(key.alias("topic_id"), key.alias("parent_id")))
+    return answers.refused_parents(_tree(spark, sf), changes)
+
+
 @query("""SELECT p_type AS resource, 'entity' AS gap FROM part WHERE p_partkey % 4 = 0 GROUP BY 1 UNION ALL SELECT p_type, 'topic' FROM part WHERE p_size % 7 = 0 GROUP BY 1 UNION ALL SELECT p_type, 'authority' FROM part WHERE p_size % 5 = 1 GROUP BY 1
 UNION ALL SELECT p_type, 'answer' FROM part GROUP BY 1 HAVING max(p_size) < 50 UNION ALL SELECT DISTINCT 'https://x/' || CASE WHEN p_partkey % 9 = 0 THEN 'Fixture/' ELSE '' END || p_partkey, 'fixture_document' FROM part WHERE p_partkey % 9 = 0""")
 def c9_catalog_gaps(spark, sf):

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tanik.operators import answers, facts, versions
+from tanik.operators import answers, facts, limits, versions
 from tanik.sources import urls
 from tanik.streaming import jobs
 
@@ -89,7 +89,7 @@ def test_versions_and_stream_agree(spark, tmp_path):
 def test_anchored_limits(spark):
     assert jobs.anchored([0, 1_000_000, 2_000_000, 11_000_000], 2, 10)[0] == [True, True, False, True]
     rows = spark.createDataFrame([("k", n, NOW + timedelta(seconds=s)) for n, s in enumerate((0, 1, 2, 11))], "key string, request_id long, at timestamp")
-    assert [r.allowed for r in jobs.limit_windows(rows, 2, 10).orderBy("request_id").collect()] == [True, True, False, True]
+    assert [r.allowed for r in limits.limit_windows(rows, 2, 10).orderBy("request_id").collect()] == [True, True, False, True]
 
 
 def test_actions_of_one_time_and_number_go_by_name(spark):
@@ -97,3 +97,15 @@ def test_actions_of_one_time_and_number_go_by_name(spark):
     acts = spark.createDataFrame([("f", 1, "review"), ("f", 1, "correct")], "fact_id string, action_id long, action string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
     for order in (acts, acts.orderBy("action"), acts.orderBy(F.desc("action"))):
         assert facts.replay_reviews(rows, order).first()[1:] == ("superseded", ["1"])
+
+
+def test_ancestors_of_topics(spark):
+    chain = [(k, k - 1) for k in range(1, 40)] + [(0, None)]  # a path of 39 steps
+    rows = spark.createDataFrame(chain + [(100, 101), (101, 102), (102, 100), (103, 100), (200, 999), (201, None), (1, 0), (300, 300), (None, 5)], "topic_id long, parent_id long")
+    got = {(r.topic_id, r.ancestor_id): r.depth for r in answers.topic_ancestors(rows).collect()}
+    want = {(k, j): k - j for k in range(40) for j in range(k)}
+    want |= {(a, b): d for a, some in {100: (101, 102, 100), 101: (102, 100, 101), 102: (100, 101, 102), 103: (100, 101, 102)}.items() for d, b in enumerate(some, 1)}
+    assert got == want | {(200, 999): 1, (300, 300): 1}
+    changes = spark.createDataFrame([(0, 39), (39, 0), (7, 7), (201, 200), (5, 4), (4, 5), (None, 1), (1, None)], "topic_id long, parent_id long")
+    assert sorted(map(tuple, answers.refused_parents(rows, changes).collect())) == [(0, 39), (4, 5), (7, 7)]
+    assert answers.topic_ancestors(rows.where("false")).count() == 0
