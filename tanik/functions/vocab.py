@@ -114,3 +114,16 @@ PREFERENCE_RANGE = (
     r"([0-9]{1,2})\s+(Ocak|Şubat|Mart|Nisan|Mayıs|Haziran|Temmuz|Ağustos|Eylül|Ekim|Kasım|Aralık)\s+([0-9]{4}))\s+tarihleri arasında"
 )
 MONTH_NAMES = ("Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık")
+
+# --- fixed values: official announcements: blocks that are quoted, text that opens none, labels of action links
+QUOTED_KINDS = ("paragraph", "list_item")
+BOILERPLATE = r"^DUYURU\b|^ÖSYM BAŞKANLIĞI|^Adaylara ve kamuoyuna"
+#: (host, word of the title, label), the first that fits; an empty word fits every title.
+ACTION_LABELS = (
+    ("sonuc.osym.gov.tr", "YKS", "YKS sonuçlarını görüntüle"),
+    ("sonuc.osym.gov.tr", "", "Sonuçları görüntüle"),
+    ("ykssonuc.osym.gov.tr", "YKS", "YKS sonuçlarını görüntüle"),
+    ("ykssonuc.osym.gov.tr", "", "Sonuçları görüntüle"),
+    ("ais.osym.gov.tr", "", "ÖSYM Aday İşlemleri’ne git"),
+)
+ACTION_WORDS = "sonuç|başvur|tercih|kılavuz"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tanik.functions import spans
 from tanik.functions.ids import quote_matches, utf16_length, utf16_slice
 from tanik.functions.text import agency_hint, fold_turkish, normalize_query, normalize_text, parse_news_date, private_summary, read_number
-from tanik.operators import answers, facts as fact_jobs, feed, pairs
+from tanik.operators import announcements, answers, facts as fact_jobs, feed, pairs
 from tanik.plans import shapes
 from tanik.plans.news import PAIRS, features
 from tanik.plans.query import query
@@ -234,6 +234,52 @@ def h15_text_links(spark, sf):
     return rows.select("doc_id", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "").cast("binary")).alias("joined"), F.array_join(F.transform("parts", lambda p: p["href"]), " ").alias("links"))
 
 
+@query("""SELECT doc_id, md5('www.a' || doc_id % 5 || '.org/x ve https://B.org/' || doc_id || '. ' || text || ' (http://c.org)') AS joined, 'https://t.org/' || doc_id || ' https://b.org/' || doc_id || ' https://z.org/' AS links FROM documents""")
+def h15_link_targets(spark, sf):
+    """Three addresses around the whole text: the first and last have one target, the second has two."""
+    key = F.col("doc_id").cast("string")
+    first, second = F.concat(F.lit("www.a"), (F.col("doc_id") % 5).cast("string"), F.lit(".org/x")), F.concat(F.lit("https://b.org/"), key)
+    link = lambda text, url: F.struct(text.alias("text"), url.alias("url"))
+    links = F.array(link(first, F.concat(F.lit("https://t.org/"), key)), link(second, F.lit("https://t.org/1")), link(second, F.lit("https://t.org/2")), link(F.lit(" http://c.org:80/ "), F.lit("https://z.org")))
+    text = F.concat(first, F.lit(" ve https://B.org/"), key, F.lit(". "), F.col("text"), F.lit(" (http://c.org)"))
+    rows = table(spark, sf, "documents").select("doc_id", spans.text_links(text, links).alias("parts"))
+    return rows.select("doc_id", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "").cast("binary")).alias("joined"), F.array_join(F.transform("parts", lambda p: p["href"]), " ").alias("links"))
+
+
+_HEADING, _NOTICE = "Başlık burada durur ve bu da yeterince uzun bir cümledir.", "DUYURU bu bölüm kalıp olduğu için hiç alıntılanmaz diye yazıldı."
+_SPOKEN, _ROW = "“Sonuçlar \U0001f600 bugün saat 10.30’da kesin olarak açıklandı!”", "Tablo satırı da bir cümle gibi görünür ama alıntılanmaz burada."
+_FOURTH = "Dördüncü olarak bu cümle her belgede alıntılanacak kadar uzundur."
+
+
+@query(f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'YKS ' ELSE 'ALES ' END || doc_id AS title, 'Sınav no. ' || doc_id || ' yaklaşık 4.5 saat sürecek ve 2. oturum da yapılacak.' AS a, {_LETTERS} AS w FROM documents),
+q AS (SELECT *, length('{_HEADING}') + length(title) + length('{_NOTICE}') + 3 AS p1 FROM p), r AS (SELECT *, p1 + length(a) + 7 AS p2 FROM q), s AS (SELECT *, p2 + length('{_SPOKEN}') + 1 + 1 + length('{_ROW}') + 1 AS p3 FROM r), t AS (SELECT *, p3 + length(w) + 2 + length(a) + 1 AS p4 FROM s)
+SELECT doc_id, concat_ws(',', md5(a) || ':' || p1 || ':' || (p1 + length(a)), md5('{_SPOKEN}') || ':' || p2 || ':' || (p2 + length('{_SPOKEN}') + 1), CASE WHEN length(w) + 1 >= 35 THEN md5(w || '.') || ':' || p3 || ':' || (p3 + length(w) + 1) END, md5('{_FOURTH}') || ':' || p4 || ':' || (p4 + length('{_FOURTH}'))) AS excerpts,
+  concat_ws(',', CASE WHEN doc_id % 2 = 0 THEN 'YKS sonuçlarını görüntüle' ELSE 'Sonuçları görüntüle' END || '|https://sonuc.osym.gov.tr/' || doc_id, left('Kılavuz ' || w, 140) || '|https://www.osym.gov.tr/k' || doc_id % 7, CASE WHEN doc_id % 3 = 0 THEN 'ÖSYM Aday İşlemleri’ne git|https://ais.osym.gov.tr/' END) AS actions, NULL::VARCHAR AS reason FROM t WHERE doc_id % 11 <> 0
+UNION ALL SELECT doc_id, '', '', 'parser_requires_review' FROM t WHERE doc_id % 11 = 0""")
+def h14_extract_news(spark, sf):
+    """Excerpts and actions of announcements that hold the words of the whole text as a list item; of each eleventh the parser warned."""
+    key = F.col("doc_id").cast("string")
+    title = F.concat(F.when(F.col("doc_id") % 2 == 0, "YKS ").otherwise("ALES "), key)
+    one = F.concat(F.lit("Sınav no. "), key, F.lit(" yaklaşık 4.5 saat sürecek ve 2. oturum da yapılacak."))
+    words = F.trim(F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z ]", " "), " +", " "))
+    parts = [("heading", F.lit(_HEADING)), ("paragraph", title), ("paragraph", F.lit(_NOTICE)), ("paragraph", F.concat(one, F.lit(f" Kısa. {_SPOKEN}"))), ("table_row", F.lit(_ROW)), ("list_item", F.concat(words, F.lit("."))), ("paragraph", F.concat(one, F.lit(f" {_FOURTH}")))]
+    link = lambda url, text: F.struct(url.alias("url"), text.alias("text"))
+    site = lambda url, end=key: F.concat(F.lit(url), end)
+    links = F.array(
+        link(site("http://sonuc.osym.gov.tr/"), F.lit("x")), link(site("https://sonuc.osym.gov.tr/"), F.lit("x")), link(site("https://sonuc.osym.gov.tr/"), F.lit("y")), link(site("https://example.org/"), F.lit("Sonuç")),
+        link(site("https://www.osym.gov.tr/k", (F.col("doc_id") % 7).cast("string")), F.concat(F.lit("Kılavuz "), words)), link(F.lit("https://www.osym.gov.tr/n"), F.lit("diğer")), link(F.when(F.col("doc_id") % 3 == 0, "https://ais.osym.gov.tr/"), F.lit("x")))
+    warnings = F.when(F.col("doc_id") % 11 == 0, F.array(F.lit("complex_table_requires_review"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.lit("s").alias("source_id"), title.alias("title"), F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in parts]).alias("parts"), F.lit("text/html").alias("mime_type"), warnings.alias("warnings"), links.alias("official_links"))
+    rows = rows.withColumn("raw_text", F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
+    sizes = F.transform("parts", lambda p: utf16_length(p["text"]))
+    begin = lambda i: F.aggregate(F.slice(F.col("sizes"), 1, i), F.lit(0), lambda n, x: n + x + 1)
+    rows = rows.withColumn("sizes", sizes).withColumn("blocks", F.transform("parts", lambda p, i: F.struct(p["kind"].alias("kind"), begin(i).alias("start"), (begin(i) + F.get("sizes", i)).alias("end"))))
+    hosts = spark.createDataFrame([("s", "osym.gov.tr", True, "active")], "source_id string, hostname string, include_subdomains boolean, status string")
+    out = announcements.extract_news(rows, hosts).join(rows.select("document_id", "raw_text"), "document_id")
+    place = lambda q: F.when(quote_matches(F.col("raw_text"), q["text"], q["start"], q["end"]), F.concat_ws(":", F.md5(q["text"].cast("binary")), q["start"], q["end"])).otherwise("misplaced")
+    return out.select(F.col("document_id").alias("doc_id"), F.array_join(F.transform("excerpts", place), ",").alias("excerpts"), F.array_join(F.transform("actions", lambda a: F.concat_ws("|", a["label"], a["url"])), ",").alias("actions"), "reason")
+
+
 @query("""SELECT o_orderkey AS document_id, (o_custkey % 9 + 1)::BIGINT AS windows FROM orders""")
 def h12_chunk_blocks(spark, sf):
     count = (F.col("o_custkey") % 9 + 1).cast("int")

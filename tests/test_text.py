@@ -60,11 +60,25 @@ def test_entity_limit():
 
 
 def test_links():
-    parts = spans.links_of("see (https://a.org/x). or www.b.org, me@www.c.org", {})
-    assert [p["href"] for p in parts if p["href"]] == ["https://a.org/x", "https://www.b.org"]
+    parts = spans.links_of("see (https://a.org/x). or www.b.org, me@www.c.org", [])
+    assert [p["href"] for p in parts if p["href"]] == ["https://a.org/x", "https://www.b.org/"]
     assert "".join(p["text"] for p in parts) == "see (https://a.org/x). or www.b.org, me@www.c.org"
 
 
+def test_links_lead_to_their_one_target(spark):
+    shown = lambda text, known=(): [p["href"] for p in spans.links_of(text, list(known)) if p["href"]]
+    assert shown("WWW.B.ORG:443/a]] ‘https://c.org/ş’ x:www.d.org http://u:p@e.org http:// https://[::1]/x") == ["https://www.b.org/a", "https://c.org/%C5%9F", "https://[::1]/x"]
+    one, two = ("https://A.org", "https://a.org/result?x=1"), ("www.b.org", "https://b.org/other")
+    assert shown("https://a.org www.b.org", [one, two, one]) == ["https://a.org/result?x=1", "https://b.org/other"]
+    assert shown("https://a.org", [one, ("https://a.org/", "https://a.org/second")]) == ["https://a.org/"]
+    assert shown("https://a.org", [("https://a.org", "mailto:x"), ("a.org", "https://z.org")]) == ["https://a.org/"]
+    long = "www.a.org/" + ")" * 200_000
+    assert shown(long) == ["https://www.a.org/"]
+    row = spark.sql("SELECT 'https://a.org' AS t, array(named_struct('text', 'https://a.org', 'url', 'https://a.org/x'), named_struct('text', null, 'url', 'y'), null) AS l")
+    assert row.select(spans.text_links(F.col("t"), F.col("l")).alias("p")).first().p[0].href == "https://a.org/x"
+    assert row.select(spans.text_links(F.lit(None).cast("string"), F.lit(None).cast(row.schema["l"].dataType)).alias("p")).first().p == []
+
+
 def test_category_and_breaking(spark):
     rows = spark.createDataFrame([("borsa yukseldi", "", "politics", "x"), ("meclis", "okul", "politics", "x"), ("x", "okul acildi", "general", "x"), ("x", "y", "sports", "x"), ("x", "y", "general", "yok")], "t string, e string, k string, s string")
     found = [r.c for r in rows.select(text.news_category(F.col("t"), F.col("e"), F.col("k"), F.col("s")).alias("c")).collect()]
