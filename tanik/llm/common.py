@@ -28,14 +28,30 @@ def small_batches(texts: DataFrame) -> DataFrame:
     return texts
 
 
+def give_back() -> None:
+    """Returns memory that this process holds and does not use to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over batches; at its end the worker process, which goes on with other tasks, gives back what it no longer uses."""
 
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim is not None:
-            trim(0)
+        give_back()
+
+    return wrapped
+
+
+def released_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for ``run`` of one group."""
+
+    def wrapped(rows: pa.Table) -> pa.Table:
+        found = run(rows)
+        give_back()
+        return found
 
     return wrapped

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tanik.llm.common import fold, released, small_batches
+from tanik.llm.common import fold, give_back, released, small_batches
 from tanik.llm.vectors import smallest_ids
 
 WINDOW = 64
@@ -165,7 +165,10 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     data = np.frombuffer(b"".join(raw for _, raw in found), np.int16).reshape(-1, WINDOW)
     place = {name: n for n, name in enumerate(names)}
     label = np.array([place[lang] for lang, _ in found])
-    return train(data, label, len(names)), names
+    model = train(data, label, len(names))
+    del sample, found, data, label
+    give_back()  # the driver goes on with other stages
+    return model, names
 
 
 def document_probabilities(model, texts: list[str], block: int = 2048) -> np.ndarray:

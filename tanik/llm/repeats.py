@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tanik.llm.common import released, small_batches
+from tanik.llm.common import released, released_group, small_batches
 from tanik.llm.minhash import FILTER_BITS
 from tanik.session import saved
 
@@ -459,17 +459,17 @@ def _named(docs: DataFrame, least: int, text: str, key: str, everything: bool, b
     # different texts under one key are told apart by their place in ``tags``; nearly always there are none
     tags = saved(sums.groupBy("id").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("id").join(sums, "id").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags")))
 
-    found = rows.mapInArrow(released(_anchored(least, buckets, stretch)), "bucket long, hashes binary, docs binary, places binary").groupBy("bucket").applyInArrow(_shared, "id long, place long")
+    found = rows.mapInArrow(released(_anchored(least, buckets, stretch)), "bucket long, hashes binary, docs binary, places binary").groupBy("bucket").applyInArrow(released_group(_shared), "id long, place long")
     places = found.groupBy("id").agg(F.collect_list("place").alias("places"))
     if not everything:
         places = places.join(copies.select("id").distinct().join(tags, "id", "left_anti"), "id", "left_anti")
     places = saved(places.join(tags, "id", "left"))
     kept = places.agg(F.sum(F.size("places"))).first()[0] or 0
     parts, groups = (max(1, -(-kept // bucket_runs)),) * 2
-    squeezed = tagged.withColumn("bit", _bit("id")).mapInArrow(_selected(_bitmap(places), "bit", True, "text", True), "id long, text binary, tag long")
+    squeezed = tagged.withColumn("bit", _bit("id")).mapInArrow(released(_selected(_bitmap(places), "bit", True, "text", True)), "id long, text binary, tag long")
     joined = squeezed.join(places, "id").select("id", "text", F.coalesce(F.array_position("tags", F.col("tag")), F.lit(0)).cast("int").alias("version"), "places")
     runs = joined.mapInArrow(released(_runs(least, parts, groups, stretch)), _RUNS_SCHEMA)
-    named = runs.groupBy("bucket").applyInArrow(_names(least, groups, everything), _NAMED_SCHEMA + ", copied boolean")
+    named = runs.groupBy("bucket").applyInArrow(released_group(_names(least, groups, everything)), _NAMED_SCHEMA + ", copied boolean")
     return copies, tags, named, groups
 
 
@@ -506,7 +506,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text", key: st
     whose equal runs are sent once.
     """
     copies, tags, named, _ = _named(docs, least, text, key, False, bucket_bytes, bucket_runs, stretch)
-    spans = named.groupBy("bucket").applyInArrow(_covered(least), "id long, version int, starts array<long>, ends array<long>")
+    spans = named.groupBy("bucket").applyInArrow(released_group(_covered(least)), "id long, version int, starts array<long>, ends array<long>")
     spans = spans.join(tags, "id", "left").select("id", F.get("tags", F.col("version") - 1).alias("tag"), "starts", "ends")
     whole = copies.join(tags, "id", "left").select("id", F.when(F.col("tags").isNotNull(), F.col("tag")).alias("tag"), F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
     return saved(spans.unionByName(whole).groupBy("id").agg(F.collect_list(F.struct("tag", "starts", "ends")).alias("spans")))
@@ -524,11 +524,11 @@ def _applied(docs: DataFrame, key: str, least: int, text: str, each, kinds: str)
     marked = docs.withColumn(bit, _bit(F.col(f"`{key}`").cast("long")))
     own = lambda small: ", ".join(f"`{n}` {'binary' if small and n == text else t}" for n, t in docs.dtypes)
     tagged = docs.withColumn(bit, _bit(F.col(f"`{key}`").cast("long"))).withColumn(f"tag{pad}", F.xxhash64(F.col(f"`{text}`")))
-    found = tagged.mapInArrow(_selected(bits, bit, True, text, True), own(True) + f", `tag{pad}` long").join(spans.select(F.col("id").alias(f"id{pad}"), F.col("spans").alias(mine)), F.col(f"`{key}`").cast("long") == F.col(f"id{pad}"), "left")
+    found = tagged.mapInArrow(released(_selected(bits, bit, True, text, True)), own(True) + f", `tag{pad}` long").join(spans.select(F.col("id").alias(f"id{pad}"), F.col("spans").alias(mine)), F.col(f"`{key}`").cast("long") == F.col(f"id{pad}"), "left")
     fits = F.get(F.filter(mine, lambda s: s["tag"].isNull() | (s["tag"] == F.col(f"tag{pad}"))), 0)
     found = found.withColumn(f"starts{pad}", fits["starts"]).withColumn(f"ends{pad}", fits["ends"]).drop(mine, f"id{pad}", f"tag{pad}")
-    rest = marked.mapInArrow(_selected(bits, bit, False, text, False), own(False))
-    return found.mapInArrow(each(text, f"starts{pad}", f"ends{pad}"), kinds).unionAll(rest.mapInArrow(each(text, None, None), kinds))
+    rest = marked.mapInArrow(released(_selected(bits, bit, False, text, False)), own(False))
+    return found.mapInArrow(released(each(text, f"starts{pad}", f"ends{pad}")), kinds).unionAll(rest.mapInArrow(released(each(text, None, None)), kinds))
 
 
 def _cut(text: bytes, starts: list[int], ends: list[int]) -> bytes:
