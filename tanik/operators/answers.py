@@ -75,6 +75,29 @@ def resolve_answers(resources: DataFrame, rules: DataFrame, facts: DataFrame, pu
     return rows.select(*key, state.alias("state"), pick("fact_id").alias("fact_id"), pick("shown").alias("value"), pick("verified_at").alias("verified_at"), stale.alias("stale"))
 
 
+def explain_answers(answers: DataFrame, resources: DataFrame, rules: DataFrame, endpoints: DataFrame, bundles: DataFrame, now: Column) -> DataFrame:
+    """Adds ``checked_at``, ``authority`` and ``evidence`` to answers as of ``resolve_answers``.
+
+    checked_at: when the longest unchecked endpoint of the authorities was last read with success (``endpoints``:
+    source_id, successful_at; later times than ``now`` do not count), null if none was. authority: the
+    sources that may answer, in order. evidence: (version_id, document_id, title, url, published_at, excerpt,
+    locator) of the shown fact in order, from ``bundles`` (fact_id, version_id, document_id, title, url,
+    published_at, excerpt, page, heading, as joined by ``evidence_bundles``); empty where no fact is shown. Only
+    the bundles of shown facts are dealt out.
+    """
+    key = ["resource", "year"]
+    read = endpoints.where(F.col("successful_at") <= now).groupBy("source_id").agg(F.min("successful_at").alias("read_at"))
+    may = authority_match(resources, rules, now).join(read, "source_id", "left").groupBy(*key).agg(F.min("read_at").alias("checked_at"), F.sort_array(F.collect_set("source_id")).alias("authority"))
+    shown = answers.where("fact_id IS NOT NULL").select("fact_id").distinct()
+    place = F.when(F.col("page").isNotNull(), F.concat(F.lit("Sayfa "), F.col("page").cast("string"))).otherwise(F.coalesce("heading", F.lit("Belgedeki ilgili bölüm")))
+    item = F.struct("version_id", "document_id", "title", "url", "published_at", "excerpt", place.alias("locator"))
+    proof = bundles.join(shown, "fact_id", "left_semi").groupBy("fact_id").agg(F.array_sort(F.collect_set(item)).alias("evidence"))
+    rows = answers.join(may, key, "left").join(proof, "fact_id", "left")
+    none = F.array().cast(proof.schema["evidence"].dataType)
+    sources = F.coalesce("authority", F.array().cast(may.schema["authority"].dataType))
+    return rows.select(*answers.columns, "checked_at", sources.alias("authority"), F.coalesce("evidence", none).alias("evidence"))
+
+
 def related_answers(answers: DataFrame, groups: DataFrame) -> DataFrame:
     """(resource, year, related): other answered resources of the same group and year."""
     rows = answers.join(groups, "resource")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tanik.functions.ids import quote_matches
 
@@ -14,6 +14,45 @@ def crawl_stats(items: DataFrame) -> DataFrame:
     return counts.withColumn("status", status)
 
 
+def source_crawl_stats(sources: DataFrame, endpoints: DataFrame, found: DataFrame, responses: DataFrame, begin: Column | None = None, end: Column | None = None) -> DataFrame:
+    """What a crawl did at each source: one row per source, zeros where nothing happened.
+
+    ``sources``: source_id, max_reports, max_pages. ``endpoints``: source_id, url, visited, problem (null: read).
+    ``found``: source_id, url, position: links of the endpoints, repeats included. ``responses``: source_id, url,
+    fetched, not_modified, problem (null: parsed), published_at, date_problem. discovered: different links, as many
+    as max_reports allows; bounded: a link came after them, or endpoints were left; parsed: without a problem and,
+    where dated, within [begin, end]; publication_missing and date_problems also count those outside. Nulls are
+    false. Only sums and extremes are dealt out, so a source with most rows is no task of its own.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    read = yes("visited") & F.col("problem").isNull()
+    by_endpoint = endpoints.groupBy("source_id").agg(F.count_if(read).alias("discovery_successes"), F.count_if(yes("visited") & F.col("problem").isNotNull()).alias("discovery_failures"), F.max(~yes("visited")).alias("left_over"))
+    links = found.where("url IS NOT NULL").groupBy("source_id", "url").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    by_link = links.groupBy("source_id").agg(F.count("*").alias("links"), F.max("first").alias("newest"), F.max("last").alias("latest"))
+    parsed = yes("fetched") & F.col("problem").isNull()
+    told = parsed & F.col("published_at").isNotNull()
+    outside = F.lit(False)
+    if begin is not None:
+        outside = outside | (told & (F.col("published_at") < begin))
+    if end is not None:
+        outside = outside | (told & (F.col("published_at") > end))
+    by_response = responses.groupBy("source_id").agg(
+        F.count_if(yes("fetched")).alias("fetched"), F.count_if(yes("fetched") & yes("not_modified")).alias("unchanged"), F.count_if(parsed & ~outside).alias("parsed"), F.count_if(~parsed).alias("failed"),
+        F.count_if(parsed & F.col("published_at").isNull()).alias("publication_missing"), F.count_if(parsed & yes("date_problem")).alias("date_problems"))
+    rows = sources.join(by_link, "source_id", "left").join(by_endpoint, "source_id", "left").join(by_response, "source_id", "left")
+    full = F.coalesce((F.col("links") > F.col("max_reports")) | ((F.col("links") == F.col("max_reports")) & (F.col("latest") > F.col("newest"))), F.lit(False))
+    counts = ("fetched", "unchanged", "parsed", "failed", "publication_missing", "date_problems", "discovery_successes", "discovery_failures")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return rows.select("source_id", zero(F.least("links", "max_reports")).alias("discovered"), *[zero(F.col(c)).alias(c) for c in counts], (full | yes("left_over")).alias("bounded"))
+
+
+def crawl_errors(endpoints: DataFrame, responses: DataFrame) -> DataFrame:
+    """(source_id, url, reason): what went wrong in a crawl; an endpoint that was not visited is no error."""
+    first = endpoints.where(F.col("visited") & F.col("problem").isNotNull()).select("source_id", "url", F.col("problem").alias("reason"))
+    failed = F.when(F.col("problem").isNotNull(), F.col("problem")).when(~F.coalesce(F.col("fetched"), F.lit(False)), "report_failed")
+    return first.unionByName(responses.select("source_id", "url", failed.alias("reason")).where("reason IS NOT NULL"))
+
+
 def assess_coverage(runs: DataFrame, back: int = 10, share: float = 0.3) -> DataFrame:
     """Adds ``reasons`` and ``complete`` to runs (endpoint_id, started_at, run_id, status, discovered).
 

@@ -408,6 +408,23 @@ def j3_resolve_answers(spark, sf):
     return _answers(spark, sf).withColumn("verified", F.date_format("verified_at", "yyyy-MM-dd")).drop("verified_at")
 
 
+@query(f"""WITH {_ANSWERS}, a AS (SELECT e || '-' || t || '-' || p AS resource, y AS year, string_agg(source_id::VARCHAR, ',' ORDER BY source_id) AS authority, min(CASE WHEN source_id % 3 <> 0 THEN TIMESTAMP '1996-05-01' + to_days((source_id % 50)::INT) END) FILTER (source_id % 50 <= 31) AS checked FROM may GROUP BY ALL),
+b AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS fact_id, l_orderkey AS v, l_linenumber AS n, unnest(CASE WHEN l_orderkey % 5 = 0 THEN [0, 1] ELSE [0] END) AS k FROM lineitem WHERE l_orderkey % 3 <> 0),
+p AS (SELECT fact_id, string_agg(concat_ws('|', v, v % 100, 't' || n, 'https://x.gov.tr/' || v, 'q' || k, CASE WHEN k = 1 THEN 'Sayfa ' || n WHEN n % 2 = 0 THEN 'h' || n ELSE 'Belgedeki ilgili bölüm' END), ';' ORDER BY k) AS evidence FROM b GROUP BY 1)
+SELECT resource, year, state, fact_id, strftime(checked, '%Y-%m-%d') AS checked, coalesce(authority, '') AS authority, coalesce(evidence, '') AS evidence FROM answers LEFT JOIN a USING (resource, year) LEFT JOIN p USING (fact_id)""")
+def j3_explain_answers(spark, sf):
+    """Answers with their authorities, the time of the last check, and the evidence of the shown fact."""
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    rows = table(spark, sf, "lineitem").where("l_orderkey % 3 <> 0").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"), order, line, F.explode(F.when(order % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
+    bundles = rows.select("fact_id", order.alias("version_id"), (order % 100).alias("document_id"), F.concat(F.lit("t"), line.cast("string")).alias("title"), F.concat(F.lit("https://x.gov.tr/"), order.cast("string")).alias("url"), F.lit(None).cast("timestamp").alias("published_at"), F.concat(F.lit("q"), F.col("k").cast("string")).alias("excerpt"), F.when(F.col("k") == 1, line).alias("page"), F.when(line % 2 == 0, F.concat(F.lit("h"), line.cast("string"))).alias("heading"))
+    number = F.col("source_id")
+    points = shapes.rules(spark, sf).select("source_id").distinct().select("source_id", F.when(number % 3 != 0, F.expr("TIMESTAMP '1996-05-01 00:00:00'") + F.make_dt_interval(days=(number % 50).cast("int"))).alias("successful_at"))
+    when = F.expr("TIMESTAMP '1996-06-01 00:00:00'")
+    out = answers.explain_answers(_answers(spark, sf), _asked(shapes.facts(spark, sf)), shapes.rules(spark, sf), points, bundles, when)
+    item = lambda e: F.concat_ws("|", *[e[n].cast("string") for n in ("version_id", "document_id", "title", "url", "published_at", "excerpt", "locator")])
+    return out.select("resource", "year", "state", "fact_id", F.date_format("checked_at", "yyyy-MM-dd").alias("checked"), F.array_join("authority", ",").alias("authority"), F.array_join(F.transform("evidence", item), ";").alias("evidence"))
+
+
 @query(f"""WITH {_ANSWERS} SELECT resource, year, 'missing_evidence' AS problem FROM answers WHERE state IN ('current', 'future_announced') AND split_part(fact_id, '-', 1)::BIGINT % 3 = 0""")
 def d14_invalid_answers(spark, sf):
     """Facts of every third order have lost their evidence."""
@@ -415,9 +432,13 @@ def d14_invalid_answers(spark, sf):
     return answers.invalid_answers(_answers(spark, sf), rows)
 
 
+def _asked(rows):
+    return rows.select("subject_entity_id", "topic_id", "predicate", "reference_period").distinct().select(F.concat_ws("-", "subject_entity_id", "topic_id", "predicate").alias("resource"), F.col("subject_entity_id").alias("entity_id"), "topic_id", "predicate", F.col("reference_period").alias("year"))
+
+
 def _answers(spark, sf):
     rows = saved(shapes.facts(spark, sf))
-    asked = rows.select("subject_entity_id", "topic_id", "predicate", "reference_period").distinct().select(F.concat_ws("-", "subject_entity_id", "topic_id", "predicate").alias("resource"), F.col("subject_entity_id").alias("entity_id"), "topic_id", "predicate", F.col("reference_period").alias("year"))
+    asked = _asked(rows)
     day = F.to_date("created_at")
     ready = rows.where("status = 'published'").select(F.col("id").alias("fact_id"), answers.format_value(F.col("value")).alias("shown"), day.alias("start_day"), day.alias("end_day"), F.lit(True).alias("evidence_healthy"))
     points = shapes.rules(spark, sf).select("source_id").distinct().select("source_id", F.lit(True).alias("healthy"), (F.col("source_id") % 2 == 0).alias("complete"))

@@ -119,6 +119,39 @@ def d6_crawl_stats(spark, sf):
     return health.crawl_stats(table(spark, sf, "events").select(F.col("user_id").alias("crawl_run_id"), outcome.alias("outcome")))
 
 
+def _crawled(spark, sf):
+    """events as what happened at 40 sources: endpoints (signups), links (clicks and views) and responses (the others)."""
+    n, rows = F.col("event_id"), table(spark, sf, "events").withColumn("source_id", F.col("user_id") % 40)
+    sources = rows.select("source_id").distinct().select("source_id", (F.col("source_id") * 7 + 3).cast("int").alias("max_reports"), F.lit(9).alias("max_pages"))
+    endpoints = rows.where("event_type = 'signup'").select("source_id", F.concat(F.lit("e"), n.cast("string")).alias("url"), (n % 97 != 0).alias("visited"), F.when(n % 5 == 0, "discovery_failed").alias("problem"))
+    found = rows.where("event_type IN ('click', 'view')").select("source_id", F.concat(F.lit("u"), (n % 211).cast("string")).alias("url"), n.alias("position"))
+    problem = F.when(n % 9 == 0, "parser_drift")
+    responses = rows.where("event_type IN ('purchase', 'error')").select("source_id", F.concat(F.lit("u"), n.cast("string")).alias("url"), (F.col("event_type") != "error").alias("fetched"), (n % 4 == 0).alias("not_modified"), problem.alias("problem"), F.when(n % 7 != 0, F.col("ts").cast("timestamp")).alias("published_at"), (n % 14 == 0).alias("date_problem"))
+    return sources, endpoints, found, responses
+
+
+_CRAWLED = "v AS (SELECT *, user_id % 40 AS s, event_id AS n FROM events)"
+
+
+@query(f"""WITH {_CRAWLED}, src AS (SELECT DISTINCT s, s * 7 + 3 AS most FROM v), f AS (SELECT s, n, n % 211 AS u, row_number() OVER (PARTITION BY s, n % 211 ORDER BY n) AS k FROM v WHERE event_type IN ('click', 'view')),
+g AS (SELECT *, count(*) FILTER (k = 1) OVER (PARTITION BY s ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f), l AS (SELECT s, count(DISTINCT u) AS links, bool_or(before >= most) AS full FROM g JOIN src USING (s) GROUP BY s),
+e AS (SELECT s, count(*) FILTER (n % 97 <> 0 AND n % 5 <> 0) AS ok, count(*) FILTER (n % 97 <> 0 AND n % 5 = 0) AS bad, bool_or(n % 97 = 0) AS more FROM v WHERE event_type = 'signup' GROUP BY s),
+r AS (SELECT s, count(*) FILTER (NOT lost) AS fetched, count(*) FILTER (NOT lost AND n % 4 = 0) AS unchanged, count(*) FILTER (fine AND (n % 7 = 0 OR ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20')) AS parsed, count(*) FILTER (NOT fine) AS failed, count(*) FILTER (fine AND n % 7 = 0) AS missing, count(*) FILTER (fine AND n % 14 = 0) AS dates
+  FROM (SELECT *, event_type = 'error' AS lost, event_type <> 'error' AND n % 9 <> 0 AS fine FROM v WHERE event_type IN ('purchase', 'error')) GROUP BY s)
+SELECT s AS source_id, least(coalesce(links, 0), most) AS discovered, coalesce(fetched, 0) AS fetched, coalesce(unchanged, 0) AS unchanged, coalesce(parsed, 0) AS parsed, coalesce(failed, 0) AS failed, coalesce(missing, 0) AS publication_missing, coalesce(dates, 0) AS date_problems,
+  coalesce(ok, 0) AS discovery_successes, coalesce(bad, 0) AS discovery_failures, coalesce("full", false) OR coalesce(more, false) AS bounded FROM src LEFT JOIN l USING (s) LEFT JOIN e USING (s) LEFT JOIN r USING (s)""")
+def d6_source_stats(spark, sf):
+    """Counts of each source for reports of fifteen days."""
+    return health.source_crawl_stats(*_crawled(spark, sf), F.expr("TIMESTAMP '2024-01-05 00:00:00'"), F.expr("TIMESTAMP '2024-01-20 00:00:00'"))
+
+
+@query(f"""WITH {_CRAWLED} SELECT s AS source_id, 'e' || n AS url, 'discovery_failed' AS reason FROM v WHERE event_type = 'signup' AND n % 97 <> 0 AND n % 5 = 0
+UNION ALL SELECT s, 'u' || n, CASE WHEN n % 9 = 0 THEN 'parser_drift' ELSE 'report_failed' END FROM v WHERE (event_type = 'purchase' AND n % 9 = 0) OR event_type = 'error'""")
+def d6_crawl_errors(spark, sf):
+    _, endpoints, _, responses = _crawled(spark, sf)
+    return health.crawl_errors(endpoints, responses)
+
+
 @query(f"""WITH {RUNS}, w AS (SELECT *, list_sort(list_filter(list_transform(list({{'s': status, 'd': discovered}}) OVER b, lambda x: CASE WHEN x.s = 'success' THEN x.d END), lambda x: x IS NOT NULL)) AS wins,
   lag(status, 1) OVER o AS l1, lag(status, 2) OVER o AS l2 FROM runs WINDOW o AS (PARTITION BY endpoint_id ORDER BY started_at, run_id), b AS (PARTITION BY endpoint_id ORDER BY started_at, run_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
 r AS (SELECT endpoint_id, run_id, array_to_string(list_filter([CASE WHEN len(wins) >= 3 AND discovered < wins[len(wins) // 2 + 1] * 0.3 THEN 'parser_drift_count_collapse' END,
