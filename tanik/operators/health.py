@@ -43,7 +43,7 @@ def source_crawl_stats(sources: DataFrame, endpoints: DataFrame, found: DataFram
     full = F.coalesce((F.col("links") > F.col("max_reports")) | ((F.col("links") == F.col("max_reports")) & (F.col("latest") > F.col("newest"))), F.lit(False))
     counts = ("fetched", "unchanged", "parsed", "failed", "publication_missing", "date_problems", "discovery_successes", "discovery_failures")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return rows.select("source_id", zero(F.least("links", "max_reports")).alias("discovered"), *[zero(F.col(c)).alias(c) for c in counts], (full | yes("left_over")).alias("bounded"))
+    return rows.select("source_id", zero(F.least(F.coalesce("links", F.lit(0)), F.col("max_reports"))).alias("discovered"), *[zero(F.col(c)).alias(c) for c in counts], (full | yes("left_over")).alias("bounded"))
 
 
 def crawl_errors(endpoints: DataFrame, responses: DataFrame) -> DataFrame:
