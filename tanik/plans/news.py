@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tanik.functions.text import event_kind, news_category, normalize_text, parse_dates, word_set
-from tanik.operators import answers, claims, events, facts as fact_jobs, feed, pairs
+from tanik.operators import answers, claims, events, facts as fact_jobs, feed, pairs, public
 from tanik.operators.components import connected_components
 from tanik.plans import shapes
 from tanik.plans.query import query
@@ -357,6 +357,46 @@ def d13_public_events(spark, sf):
     return out.select("event_id", "stale", "primary_report_id", F.size("sources").cast("long").alias("n_sources"))
 
 
+_SHOWN = """x AS (SELECT DISTINCT l_partkey AS event_id, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS report_id, l_orderkey AS k, l_linenumber AS n, l_suppkey % 5 AS s, 'f' || (l_suppkey % 7) AS family, l_returnflag AS predicate, 'event' AS scope, (l_quantity::INT % 4)::VARCHAR AS value, l_shipdate AS d, l_tax >= 0.07 AS correction FROM lineitem),
+rep AS (SELECT *, CASE WHEN k % 7 <> 0 THEN d END AS pub, CASE WHEN k % 3 = 0 THEN repeat('x', 400) ELSE 'Haber X ' END || report_id || ' değer ' || value || '.' AS body FROM x WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0 AND k % 19 <> 0 AND s <> 4 AND (k % 7 = 0 OR d <= TIMESTAMP '1998-01-01')),
+m AS (SELECT *, NOT (coalesce(EXISTS (SELECT 1 FROM rep n WHERE n.event_id = e.event_id AND n.k = e.k AND n.d > e.d), false) OR EXISTS (SELECT 1 FROM rep n WHERE n.event_id = e.event_id AND n.family = e.family AND n.predicate = e.predicate AND n.report_id <> e.report_id AND n.correction AND n.d > e.d)) AS active FROM rep e),
+c AS (SELECT event_id, predicate, scope, value, bool_and(k % 23 <> 0) AS exact, count(*) AS evidence, count(*) FILTER (active) AS active_evidence, count(DISTINCT family) FILTER (active) AS families FROM m GROUP BY ALL),
+cl AS (SELECT *, CASE WHEN active_evidence = 0 THEN 'superseded' WHEN count(*) FILTER (active_evidence > 0) OVER (PARTITION BY event_id, predicate, scope) > 1 THEN 'conflicting' WHEN families >= 2 THEN 'supported' ELSE 'weakly_supported' END AS status FROM c)"""
+
+
+def _view(spark, sf):
+    """lineitem as reports of parts; some are official, tests, on foreign or odd addresses, or of the future, some quotes are misplaced."""
+    k, line, supplier = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
+    rows = table(spark, sf, "lineitem").select("l_partkey", k, line, supplier, "l_returnflag", "l_quantity", "l_shipdate", "l_tax").distinct()
+    rid, value, day = F.concat_ws("-", k, line, supplier), (F.col("l_quantity").cast("int") % 4).cast("string"), F.col("l_shipdate").cast("timestamp")
+    head = F.when(k % 3 == 0, F.repeat(F.lit("x"), 400)).otherwise("Haber \U0001f600 ")
+    site = F.when(k % 17 == 0, "http://s0.org/").when(k % 19 == 0, "https://s0.org:8443/").otherwise(F.concat(F.lit("https://S"), (supplier % 5).cast("string"), F.lit(".org/")))
+    reports = rows.select(F.col("l_partkey").alias("event_id"), rid.alias("report_id"), (supplier % 5).alias("source_id"), F.concat(F.lit("t"), rid).alias("title"), F.concat(head, rid, F.lit(" değer "), value, F.lit(".")).alias("text"), F.concat(site, rid).alias("canonical_url"), F.when(k % 7 != 0, day).alias("published_at"), F.when(k % 11 == 0, "v").alias("official_version_id"), (k % 13 == 0).alias("fixture"))
+    start = F.when(k % 3 == 0, 400).otherwise(9) + F.length(rid) + 1 + F.when(k % 23 == 0, 1).otherwise(0)
+    quote = F.concat(F.lit("değer "), value)
+    known = rows.select(F.col("l_partkey").alias("event_id"), rid.alias("report_id"), k.cast("string").alias("key"), F.concat(F.lit("f"), (supplier % 7).cast("string")).alias("family"), F.col("l_returnflag").alias("predicate"), F.lit("event").alias("scope"), value.alias("value"), day.alias("as_of"), (F.col("l_tax") >= 0.07).alias("correction"), day.alias("correction_as_of"), day.alias("discovered_at"), F.lit(None).cast("string").alias("official_version_id"), quote.alias("quote"), start.alias("start"), (start + F.length(quote)).alias("end"))
+    sources = spark.sql("""SELECT * FROM VALUES (0, 's0', array('s0.org'), 3600, TIMESTAMP '1997-12-31 22:30:00', null, 0), (1, 's1', array('s1.org'), 600, TIMESTAMP '1997-12-31 23:29:00', null, 0), (2, 's2', array('a.org', 's2.org'), 3600, TIMESTAMP '1997-12-31 23:00:00', 'lost', 0),
+      (3, 's3', array('s3.org'), 600, TIMESTAMP '1997-12-31 23:31:00', null, 0), (4, 's4', array('other.org'), 600, TIMESTAMP '1997-12-31 23:59:00', null, 0) AS t(source_id, name, hosts, interval_seconds, checked_at, error, failures)""")
+    return public.public_view(reports, sources, known, F.expr("TIMESTAMP '1998-01-01 00:00:00'"))
+
+
+@query(f"""WITH {_SHOWN}, b AS (SELECT event_id, arg_min(report_id, (-coalesce(epoch(pub), 0), report_id)) AS primary_report_id, strftime(max(CASE s WHEN 0 THEN TIMESTAMP '1997-12-31 22:30:00' WHEN 1 THEN TIMESTAMP '1997-12-31 23:29:00' WHEN 2 THEN TIMESTAMP '1997-12-31 23:00:00' ELSE TIMESTAMP '1997-12-31 23:31:00' END), '%H:%M') AS checked, count(*) AS reports, bool_or(s IN (1, 2)) AS stale FROM rep GROUP BY 1),
+f AS (SELECT event_id, bool_or(status = 'conflicting') AS conflicts, count(*) FILTER (status <> 'superseded') AS claims FROM cl WHERE exact GROUP BY 1)
+SELECT event_id, primary_report_id, 't' || primary_report_id AS title, checked, reports, stale, coalesce(conflicts, false) AS conflicts, coalesce(claims, 0) AS claims FROM b LEFT JOIN f USING (event_id)""")
+def d13_event_view(spark, sf):
+    return _view(spark, sf).events.withColumn("checked", F.date_format("checked_at", "HH:mm")).drop("checked_at", "published_at")
+
+
+@query(f"""WITH {_SHOWN} SELECT event_id, report_id, s AS source_id, strftime(pub, '%Y-%m-%d') AS published, s IN (1, 2) AS stale, CASE WHEN k % 3 = 0 THEN repeat('x', 300) || '…' ELSE replace(body, 'X', '😀') END AS excerpt FROM rep""")
+def d13_event_sources(spark, sf):
+    return _view(spark, sf).sources.select("event_id", "report_id", "source_id", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "stale", "excerpt")
+
+
+@query(f"""WITH {_SHOWN} SELECT event_id, predicate, scope, value, status, evidence, active_evidence, families FROM cl WHERE exact AND status <> 'superseded'""")
+def d13_event_claims(spark, sf):
+    return _view(spark, sf).claims.drop("claim_id")
+
+
 _CATEGORY = r"""CASE WHEN regexp_matches({0}, '\b(?:the|les)\b') THEN 'dunya' WHEN regexp_matches({0}, '\b(?:der|die|los)\b') THEN 'ekonomi'"""
 
 
