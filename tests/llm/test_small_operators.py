@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -159,6 +160,40 @@ def test_packed_ids_are_those_of_the_library(spark):
         assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
 
 
+def test_packing_tokenises_new_words_together(monkeypatch):
+    """Texts full of words not met before: the rank coder gets them many at a time, and all ids are those of the library."""
+
+    class Counted:
+        def __init__(self, words):
+            self.words, self.calls = words, 0
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return self.words.encode_ordinary(text)
+
+    draw, library = random.Random(5), Tokenizer.from_file(BYTES)
+    texts = [" ".join("".join(draw.choice("abcdefgé,") for _ in range(9)) for _ in range(200)) for _ in range(100)]
+    code = packing.coder(BYTES)
+    monkeypatch.setattr(code, "words", counted := Counted(code.words))
+    rows = [r for b in packing._pieces(BYTES, 2048, 0)([pa.record_batch({"key": list(range(100)), "text": texts})]) for r in b.to_pylist()]
+    assert counted.calls < 100
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts]
+
+
+def test_ids_of_texts_encoded_together():
+    """Odd and even texts of one batch keep their own ids and order, wherever the batch is cut."""
+    library, draw = Tokenizer.from_file(BYTES), random.Random(6)
+    bits = ["a", " ", "  ", "\n", "\x0b", "\x85", "é", "\u200b", " b", "c ", "'s", "x" * 101, "<|endoftext|>", "12"]
+    texts = [*ODD, "\x0b", "a\x0bb c", "one\n", "\ntwo three", *("".join(draw.choice(bits) for _ in range(draw.randint(1, 30))) for _ in range(200)), None]
+    ids, starts = packing.coder(BYTES).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for none in ([], [None], ["", None]):
+        ids, starts = packing.coder(BYTES).encode(pa.array(none, pa.string()))
+        assert len(ids) == 0 and starts.tolist() == [0] * (len(none) + 1)
+    assert packing.together(pa.array(["aaa", None, "é", "b" * 9, "c", ""]), 5) == [(0, 3), (3, 4), (4, 6)]
+    assert packing.together(pa.array([], pa.string())) == []
+
+
 def test_packing_odd_rows_and_the_number_of_sequences(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string").withColumn("piece", F.lit("own"))
     rows = packing.pack_documents(docs, BYTES).collect()
