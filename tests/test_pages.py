@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tanik.functions.ids import utf16_slice
+from tanik.plans import crawl
 from tanik.sources import dom, html
 
 PAGE = """<!doctype html><html><head><title>Own</title><link rel="canonical" href="/news/1#x"><meta property="og:title" content="Graph"></head><body>
@@ -91,3 +92,10 @@ def test_feeds_of_allowed_hosts(spark):
     rows = spark.createDataFrame([("s", "https://x.gov.tr/feed", "rss", feed), ("s", "https://x.gov.tr/sub", "sitemap", "<sitemapindex><sitemap><loc>/more.xml</loc></sitemap></sitemapindex>"), ("s", "https://x.gov.tr/bad", "atom", "<feed><entry><link href='http://x.gov.tr/b'/></entry></feed>")], "source_id string, url string, kind string, body string")
     found = {(r.feed_url[17:], r.role, r.url) for r in html.parse_feeds(rows, profiles(spark, hosts=["x.gov.tr"])).collect()}
     assert found == {("feed", "item", "https://x.gov.tr/a"), ("sub", "feed", "https://x.gov.tr/more.xml"), ("bad", "parser_drift", None)}
+
+
+def test_entities_that_are_cut_off(spark, tmp_path):
+    body = "<article><h1>a&amp;b &copy; c&amp</h1><p>some text that is long enough to be an article &lt;here&gt; &amp</p></article>"
+    spark.createDataFrame([(1, "https://x.org/a", body)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert crawl.a8_parse_articles(spark, tmp_path).first().title == "a&b \u00a9 c&amp"
+    assert dom.parsed("<h1>c&amp</h1>").text() == "c&"  # as the HTML standard asks
