@@ -98,4 +98,6 @@ def test_entities_that_are_cut_off(spark, tmp_path):
     body = "<article><h1>a&amp;b &copy; c&amp</h1><p>some text that is long enough to be an article &lt;here&gt; &amp</p></article>"
     spark.createDataFrame([(1, "https://x.org/a", body)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert crawl.a8_parse_articles(spark, tmp_path).first().title == "a&b \u00a9 c&amp"
+    found = crawl.a9_parse_blocks(spark, tmp_path).first()
+    assert found.title == "a&b \u00a9 c&amp" and "article <here> &amp\nplain bold" in found.raw_text
     assert dom.parsed("<h1>c&amp</h1>").text() == "c&"  # as the HTML standard asks
