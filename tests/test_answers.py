@@ -38,3 +38,17 @@ def test_authorities_are_distinct_before_they_meet(spark):
 
 def asked(spark, *rows):
     return spark.createDataFrame(rows, "resource string, entity_id string, topic_id string, predicate string, year string")
+
+
+def test_resources_of_several_subjects(spark):
+    live = rules(spark, ("t", "p", None, 1), ("t", "p", None, 2), ("t", "q", "b", 3), ("t", "q", "b", 1))
+    resources = asked(spark, ("r", "a", "t", "p", "2026"), ("r", "b", "t", "q", "2026"), ("s", "a", "t", "p", "2026"), ("n", "z", "u", "p", "2026"))
+    day = datetime(2026, 9, 1)
+    fact = lambda i, entity, predicate, source, status, value: (i, entity, "t", predicate, "2026", source, status, (value,), day, None)
+    facts = spark.createDataFrame([fact("f", "a", "p", 1, "published", "x"), fact("g", "b", "q", 3, "verified", "y"), fact("h", "a", "p", 9, "verified", "z")], FACT)
+    shown = spark.createDataFrame([("f", "X", None, None, True)], "fact_id string, shown string, start_day date, end_day date, evidence_healthy boolean")
+    points = spark.createDataFrame([(1, True, True), (2, True, False), (3, False, True)], "source_id int, healthy boolean, complete boolean")
+    told = answers.resolve_answers(resources, live, facts, shown, points, F.lit(NOW))
+    # two values hide r; h has no authority, so s has one value; n has no source
+    assert {r.resource: (r.state, r.fact_id, r.stale) for r in told.collect()} == {"r": ("needs_review", None, True), "s": ("current", "f", False), "n": ("no_verified_fact", None, True)}
+    assert "by_all" in plan(told)  # facts are held against rules, resources are not paired with sources
