@@ -52,3 +52,7 @@ def test_resources_of_several_subjects(spark):
     # two values hide r; h has no authority, so s has one value; n has no source
     assert {r.resource: (r.state, r.fact_id, r.stale) for r in told.collect()} == {"r": ("needs_review", None, True), "s": ("current", "f", False), "n": ("no_verified_fact", None, True)}
     assert "by_all" in plan(told)  # facts are held against rules, resources are not paired with sources
+    read = points.select("source_id", F.when(F.col("source_id") > 1, F.lit(day)).alias("successful_at"))
+    bundles = spark.createDataFrame([("f", 1, 1, "t", "u", None, "e", None, "h")], "fact_id string, version_id int, document_id int, title string, url string, published_at timestamp, excerpt string, page int, heading string")
+    got = {r.resource: r for r in answers.explain_answers(told, resources, live, read, bundles, F.lit(NOW)).collect()}
+    assert {k: (r.authority, r.checked_at, len(r.evidence)) for k, r in got.items()} == {"r": ([1, 2, 3], day, 0), "s": ([1, 2], day, 1), "n": ([], None, 0)}
