@@ -56,3 +56,11 @@ def test_resources_of_several_subjects(spark):
     bundles = spark.createDataFrame([("f", 1, 1, "t", "u", None, "e", None, "h")], "fact_id string, version_id int, document_id int, title string, url string, published_at timestamp, excerpt string, page int, heading string")
     got = {r.resource: r for r in answers.explain_answers(told, resources, live, read, bundles, F.lit(NOW)).collect()}
     assert {k: (r.authority, r.checked_at, len(r.evidence)) for k, r in got.items()} == {"r": ([1, 2, 3], day, 0), "s": ([1, 2], day, 1), "n": ([], None, 0)}
+
+
+def test_invalid_answers_read_only_their_evidence(spark):
+    told = spark.createDataFrame([("a", "y", "current", "f", "v"), ("b", "y", "current", "g", "v"), ("c", "y", "future_announced", None, None), ("d", "y", "current", "f", None), ("e", "y", "expired", "g", "v")], "resource string, year string, state string, fact_id string, value string")
+    proven = spark.createDataFrame([("f",), ("f",), ("x",)], "fact_id string")
+    out = answers.invalid_answers(told, proven)
+    assert {r.resource: r.problem for r in out.collect()} == {"b": "missing_evidence", "c": "missing_fact", "d": "missing_value"}
+    assert "LeftSemi" in plan(out)
