@@ -64,3 +64,9 @@ def test_invalid_answers_read_only_their_evidence(spark):
     out = answers.invalid_answers(told, proven)
     assert {r.resource: r.problem for r in out.collect()} == {"b": "missing_evidence", "c": "missing_fact", "d": "missing_value"}
     assert "LeftSemi" in plan(out)
+
+
+def test_related_answers_of_a_large_group(spark):
+    told = spark.range(30).select(F.col("id").alias("resource"), F.lit(2026).alias("year"), F.when(F.col("id") % 3 > 0, "x").alias("value"))
+    out = answers.related_answers(told, told.select("resource", F.lit("g").alias("group")))
+    assert out.count() == 30 * 20 - 20 and "_left" in plan(out)
