@@ -218,3 +218,33 @@ def test_similarity_from_outside(spark):
     for wrong in (-0.1, 1.5):
         with pytest.raises(Exception, match="outside"):
             pairs.strong_pairs(rows, similarity=spark.createDataFrame([("a", "b", wrong)], told.schema))
+
+
+def test_pairs_of_a_city_that_a_similarity_lifts(spark):
+    """Seven of seventeen words in common and one city score 0.61, 0.71 with a full similarity."""
+    rows = spark.createDataFrame([(i, k, "x", BASE + timedelta(minutes=m), [("city", "c")], words) for i, k, m, words in (("a", "k1", 0, [f"long{n}" for n in range(5)] + list("abcdefg")), ("b", "k2", 9, [f"other{n}" for n in range(5)] + list("abcdefg")))], "id string, key string, kind string, at timestamp, entities array<struct<kind:string,value:string>>, tokens array<string>").withColumn("body_tokens", F.col("tokens"))
+    assert pairs.strong_pairs(rows).isEmpty()
+    told = spark.createDataFrame([("a", "b", 1.0)], "a string, b string, similarity double")
+    assert [round(r.score, 6) for r in pairs.strong_pairs(rows, similarity=told).collect()] == [0.714706]
+
+
+def test_rows_of_a_search_are_dealt_out_once(spark):
+    rows = spark.range(50).select(F.format_string("r%02d", "id").alias("id"), F.lit("v").alias("value"), (F.lit(BASE) + F.make_interval(mins=(F.col("id") * 30).cast("int"))).alias("at"))
+    near = pairs._near(rows, ["value"], 6)
+    assert sorted((r.a, r.b) for r in near.collect()) == [(f"r{a:02}", f"r{b:02}") for a in range(50) for b in range(a + 1, 50) if b - a <= 12]
+    assert "ReusedExchange" in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_and_their_numbers_give_the_same(spark, accident):
+    numbered = accident.withColumns({c: pairs.word_numbers(F.col(c)) for c in ("tokens", "body_tokens")})
+    scored = lambda rows: sorted((r.a, r.b, r.score) for r in pairs.strong_pairs(rows).collect())
+    assert scored(numbered) == scored(accident) and len(scored(accident)) == 6
+    told = lambda rows: sorted(events.evidence_families(rows.withColumn("event_id", F.lit("e")).withColumn("agency", F.lit(None).cast("string")).withColumn("source_family", F.lit(None).cast("string"))).collect())
+    assert told(numbered) == told(accident)
+
+
+def test_saved_features_hold_words_once_as_numbers(spark):
+    from tanik.plans import news
+
+    rows = news.saved_features(spark, "/root/testdata/sf0.001")
+    assert dict(rows.dtypes)["tokens"] == "array<bigint>" and rows.where("tokens <> body_tokens").isEmpty()
