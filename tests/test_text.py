@@ -83,3 +83,22 @@ def test_category_and_breaking(spark):
     rows = spark.createDataFrame([("borsa yukseldi", "", "politics", "x"), ("meclis", "okul", "politics", "x"), ("x", "okul acildi", "general", "x"), ("x", "y", "sports", "x"), ("x", "y", "general", "yok")], "t string, e string, k string, s string")
     found = [r.c for r in rows.select(text.news_category(F.col("t"), F.col("e"), F.col("k"), F.col("s")).alias("c")).collect()]
     assert found == ["ekonomi", "gundem", "egitim", "spor", "egitim"]
+
+
+def test_normal_forms_of_odd_texts():
+    """Against the rules written out sign by sign; plain texts take a shorter way."""
+    import random
+    import re
+    import unicodedata
+
+    from tanik.functions import spans, text
+
+    bare = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.category(c).startswith("M"))
+    draw = random.Random(3)
+    signs = ["a", "Z", "9", " ", "'", "\u2019", "`", "\n", "\u0130", "\u0131", "\u0307", "\u00e9", "e\u0301", "\ufb01", "\u0903", "\u20dd", "\u1e9e", "\U0001f600", "\u212b", "\u00b2", "\x00", "\U0001d165", "\U0001e944"]
+    for _ in range(3000):
+        raw = "".join(draw.choice(signs if draw.random() < 0.7 else ["b", "C", "-"]) for _ in range(draw.randint(0, 12)))
+        low = unicodedata.normalize("NFKC", raw).lower().replace("\u0131", "i")
+        assert text.plain_normalized(raw) == re.sub("[^a-z0-9]+", " ", re.sub("[\u2019'`]", " ", bare(low))).strip()
+        assert text.plain_folded(raw) == " ".join(bare(raw.lower()).replace("\u0131", "i").split())
+    assert spans._LONGEST.get("ankara", 0) >= 1 and "kelime" not in spans._LONGEST  # words that begin no name are passed by
